@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_counts
 
 QUERIES = {
     "op1_mixing_sources_to_target_weights": mixing.op1_query,
+    "op4_token_counts": token_counts.op4_query,
+    "op5_best_fit_packing": packing.op5_query,
     "op6_exact_dedup": exact_dedup.op6_query,
 }
 
