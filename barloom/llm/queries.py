@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, secrets, token_counts, token_files
+from . import exact_dedup, mixing, packing, secrets, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_mixing_sources_to_target_weights": mixing.op1_query,
     "op4_token_counts": token_counts.op4_query,
     "op5_best_fit_packing": packing.op5_query,
     "op6_exact_dedup": exact_dedup.op6_query,
+    "op7_toxicity": toxicity.op7_query,
     "op9_token_id_files": token_files.op9_query,
     "op10_secret_scans": secrets.op10_query,
 }
