@@ -43,6 +43,21 @@ def text_col(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: At most so many keys can each hold this share (1 / MAX_HOT) of all rows: the bound of the broadcast below.
+MAX_HOT = 256
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with the columns of `table`, one row of which has, under `size`, how many rows a key has.
+
+    The sizes sum to `total` at most, so no more than MAX_HOT keys can have total / MAX_HOT rows or
+    more: those are broadcast, and the rows of a hot key never meet in one task.
+    """
+    is_hot = F.col(size) * MAX_HOT >= F.lit(total)
+    hot, rest = F.broadcast(table.filter(is_hot)), table.filter(~is_hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def with_components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable id of each vertex.
 

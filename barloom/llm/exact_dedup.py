@@ -5,8 +5,8 @@ reduced to one row per digest (with map-side combining, so a group of copies of
 one row per task), deduplicated against the index by a sort-merge anti-join that reads the
 index without shuffling it, and its new digests are appended.
 
-Defined results: a null text equals the empty text; a null doc_id never beats another id, and a
-group that has only null ids has a null keep_id and keeps none; rows that repeat both doc_id and
+Defined results: a null text equals the empty text; a null doc_id never beats another id, and in
+a group that has only null ids all are kept (`keep_first` leaves one); rows that repeat both doc_id and
 text are one document and carry the same flags; an empty batch returns an empty frame; further
 columns of the input are ignored here and kept by `keep_first`.
 """
@@ -18,10 +18,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, text_col
-
-#: At most so many digests can each hold this share (1 / MAX_HOT) of all rows: the bound of the broadcast below.
-MAX_HOT = 256
+from .common import cut, join_by_size, new_path, text_col
 
 
 class DigestIndex:
@@ -58,24 +55,21 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, normalise=None) -> DataFram
     groups = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("own_id"), F.count("*").alias("group_size")), "groups")
     index.append_new(groups.withColumnRenamed("own_id", "keep_id"))
     known = groups.select("digest", "group_size").hint("merge").join(index.rows(), "digest")
-    total = rows.count()
-    # group sizes sum to the number of rows, so fewer than MAX_HOT + 1 groups reach this share
-    is_hot = F.col("group_size") * MAX_HOT >= F.lit(total)
-    hot, rest = F.broadcast(known.filter(is_hot)), known.filter(~is_hot)
-    joined = rows.join(hot, "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(rest, "digest"))
+    joined = join_by_size(rows, known, "digest", "group_size", rows.count())
     return joined.select(
         "doc_id", "keep_id", "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of `docs`, all columns, that stay; one row where a kept row is repeated."""
-    kept = exact_dedup(docs, index).filter("kept").select("doc_id", F.unhex("text_sha256").alias("__digest"))
+    kept = exact_dedup(docs, index).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__same")).distinct()
     marked = docs.withColumn("__digest", F.unhex(F.sha2(text_col().cast("binary"), 256)))
     # only one row per group is left before the rows meet, so no group of copies lands in one task
-    return marked.join(kept.distinct(), ["doc_id", "__digest"], "left_semi").dropDuplicates(["doc_id", "__digest"]).select(docs.columns)
+    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__same"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).select(docs.columns)
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, secrets, token_counts, token_files, toxicity
+from . import exact_dedup, jaccard_join, mixing, packing, secrets, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_mixing_sources_to_target_weights": mixing.op1_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_query,
     "op6_exact_dedup": exact_dedup.op6_query,
     "op7_toxicity": toxicity.op7_query,
+    "op8_ngram_jaccard_join": jaccard_join.op8_query,
     "op9_token_id_files": token_files.op9_query,
     "op10_secret_scans": secrets.op10_query,
 }

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Characters whose case, composition or class the library and Python might see differently.
-ODD = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
+ODD = re.compile("[\x00\x1c-\x1fİɐ-\U0010ffff]")
 DOUBLE_SPACE = re.compile(r"\s\s")
 UNITS = re.compile(r"\s*\S+|\s+")
 CACHE = 400_000
@@ -52,7 +52,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def odd(self, text: str) -> bool:
-        return bool(not text.isascii() and ODD.search(text)) or any(a in text for a in self.added) or bool(text.isascii() and re.search("[\x1c-\x1f]", text))
+        return bool(ODD.search(text)) or any(a in text for a in self.added)
 
     def whole(self, text: str) -> bytes:
         return pack(self.library.encode(text, add_special_tokens=False).ids)
