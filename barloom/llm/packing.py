@@ -23,7 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, text_col
-from .tokenizing import Encoder, pack, vocabulary
+from .tokenizing import encoder as worker_encoder
+from .tokenizing import pack, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -92,7 +93,7 @@ def slots(bins: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(path), pack([end])
+        encoder, last = worker_encoder(path), pack([end])
         for b in batches:
             rows = []
             for i, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, packing, secrets, suffix_dedup, token_counts, token_files, toxicity
+from . import embedding_dedup, exact_dedup, jaccard_join, mixing, packing, secrets, suffix_dedup, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_mixing_sources_to_target_weights": mixing.op1_query,
+    "op2_embedding_near_dedup": embedding_dedup.op2_query,
     "op3_suffix_array_dedup": suffix_dedup.op3_query,
     "op4_token_counts": token_counts.op4_query,
     "op5_best_fit_packing": packing.op5_query,

@@ -13,21 +13,32 @@ empty frame; other columns are ignored.
 from __future__ import annotations
 
 import re
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, text_col
 from .tokenizing import Encoder, load, vocabulary
+from .tokenizing import encoder as worker_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of text in a block, about; a longer text is a block of its own.
 BLOCK = 6_000_000
-BLOCKS = "block string, doc_ids array<bigint>, n_bytes array<bigint>, lengths array<int>, idx array<int>, freq array<int>, vocab array<string>"
+BLOCKS = "block bigint, doc_ids array<bigint>, n_bytes array<bigint>, lengths array<int>, packed binary, vocab array<string>"
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Small integers, byte plane by byte plane, deflated."""
+    return zlib.compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def pre_tokens(encoder: Encoder, text: str) -> list[str]:
@@ -62,12 +73,11 @@ class Block:
             units = self.encoder.units(text)
         self.docs.append(np.fromiter((place.setdefault(u, len(place)) for u in units), dtype=np.int64, count=len(units)))
 
-    def row(self) -> dict:
+    def row(self, block: int) -> dict:
         vocab: dict[str, int] = {}
         parts: list[list[int]] = []
-        split = self.encoder.library.pre_tokenizer.pre_tokenize_str
         for u in self.chunks:
-            pieces = [u[1:]] if u[:1] == "\0" else [x for x, _ in split(u)]
+            pieces = [u[1:]] if u[:1] == "\0" else self.encoder.pieces(u)
             parts.append([vocab.setdefault(x, len(vocab)) for x in pieces])
         n = np.array([len(p) for p in parts] or [0])
         flat = np.array([x for p in parts for x in p], dtype=np.int64)
@@ -82,14 +92,16 @@ class Block:
             freq.append(np.bincount(back, weights=np.repeat(c, reach), minlength=len(w)).astype(np.int32))
             lengths.append(len(w))
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
-        return {"block": uuid.uuid4().hex, "doc_ids": self.ids, "n_bytes": self.sizes, "lengths": lengths, "idx": join(idx), "freq": join(freq), "vocab": list(vocab)}
+        # a document's places ascend: their differences are small
+        packed = squeeze(np.concatenate([np.diff(join(idx), prepend=np.int32(0)), join(freq)]))
+        return {"block": block, "doc_ids": self.ids, "n_bytes": self.sizes, "lengths": lengths, "packed": packed, "vocab": list(vocab)}
 
 
 def _batch(row: dict) -> pa.RecordBatch:
-    kinds = {"block": pa.string(), "doc_ids": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "idx": pa.list_(pa.int32()), "freq": pa.list_(pa.int32()), "vocab": pa.list_(pa.string())}
+    kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "packed": pa.binary(), "vocab": pa.list_(pa.string())}
 
     def column(k, kind):
-        if k == "block":
+        if not pa.types.is_list(kind):
             return pa.array([row[k]], kind)
         values = pa.array(row[k], kind.value_type)
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -102,17 +114,17 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     path = path or vocabulary(VOCABULARY)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder, block = worker_encoder(path), TaskContext.get().partitionId() << 32
         now = Block(encoder)
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py()
                 if now.ids and now.chars + len(t) > BLOCK:
-                    yield _batch(now.row())
-                    now = Block(encoder)
+                    yield _batch(now.row(block))
+                    now, block = Block(encoder), block + 1
                 now.add(i, t)
         if now.ids:
-            yield _batch(now.row())
+            yield _batch(now.row(block))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(path)
@@ -126,7 +138,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
                 get = lambda name: b.column(name)[k].values.to_numpy(zero_copy_only=False) if b.column(name)[k].is_valid else np.zeros(0, np.int64)  # noqa: B023, E731
                 n = np.zeros(int(get("pos").max()) + 1 if len(get("pos")) else 0, np.int64)
                 n[get("pos")] = get("n")
-                sums = np.concatenate([[0], np.cumsum(n[get("idx")] * get("freq").astype(np.int64))])
+                idx, freq = np.split(unsqueeze(b.column("packed")[k].as_py()), 2)
+                sums = np.concatenate([[0], np.cumsum(n[np.cumsum(idx)] * freq.astype(np.int64))])
                 ends = np.cumsum(get("lengths").astype(np.int64))
                 tokens = sums[ends] - sums[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
                 ids = b.column("doc_ids")[k].values
