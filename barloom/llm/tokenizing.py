@@ -18,7 +18,7 @@ ODD = re.compile("[\x00\x1c-\x1fİɐ-\U0010ffff]")
 DOUBLE_SPACE = re.compile(r"\s\s")
 UNITS = re.compile(r"\s*\S+|\s+")
 #: Chunks that a worker remembers, about 250 bytes each.
-CACHE = 1_000_000
+CACHE = 800_000
 
 
 def vocabulary(name: str) -> str:
@@ -79,12 +79,16 @@ class Encoder:
 
     def learn(self, texts: list[list[str]]) -> dict[str, bytes]:
         """The ids of all chunks in `texts`, from the cache or the library."""
-        new = list(set().union(*texts).difference(self.known)) if texts else []
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(set().union(*texts))
-        for x, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[x] = pack(e.ids)
+        seen = set().union(*texts) if texts else set()
+        new = list(seen.difference(self.known))
+        if len(self.known) + len(new) > CACHE:  # what these texts use is what goes on to be used
+            self.known = {x: self.known[x] for x in seen.intersection(self.known)}
+        # chunks are words of their own to the library; many in a call cost less than a call for each
+        parts = [new[at : at + 500] for at in range(0, len(new), 500)]
+        for words, e in zip(parts, self.library.encode_batch(parts, is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids = pack(e.ids)
+            at = (4 * np.searchsorted(np.asarray(e.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
+            self.known.update(zip(words, [ids[s:t] for s, t in zip(at, at[1:], strict=False)], strict=True))
         return self.known
 
     def encode(self, texts: list[str], room: int = 2_000_000):
