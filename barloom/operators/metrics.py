@@ -62,7 +62,7 @@ def compute_metrics(df: DataFrame, by: list[str], ppy: int = 252, rf: float = 0.
     k, m = F.col("n_bars").cast("double"), F.col("_mean") - rf / ppy
     years = k / ppy
     total = ratio("_last", "_first") - 1
-    cagr = F.pow(1 + total, 1 / years) - 1
+    cagr = F.when(1 + total >= 0, F.pow(1 + total, 1 / years) - 1)  # no growth rate leads below nothing
     skew = F.when(k > 2, F.sqrt(k * (k - 1)) / (k - 2) * F.col("_g1")).otherwise(0.0)
     kurt = F.when(k > 3, (k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * F.col("_g2") + 6)).otherwise(0.0)
     sortino = F.when(k < 2, 0.0).when(F.col("_down").isNull(), F.when(m > 0, F.lit(float("inf"))).otherwise(0.0)).when(F.col("_down") < DEGENERATE, 0.0).otherwise(ratio(m, F.col("_down")) * F.sqrt(F.lit(float(ppy))))

@@ -34,7 +34,7 @@ def reality_score(rows: DataFrame) -> DataFrame:
     zero = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 100
     wf = ramp(c["wf_efficiency"], 0.8, -0.2)
     parts: dict[str, Column] = {
-        "significance": ramp(c["p_value"], 0.01, 0.50), "selection": F.coalesce(zero(c["dsr"]), F.lit(50.0)),
+        "significance": ramp(c["p_value"], 0.01, 0.50), "selection": F.when(c["dsr"].isNotNull(), zero(c["dsr"])).otherwise(50.0),
         "walk_forward": F.when(c["wf_efficiency"].isNull(), 50.0).when(c["wf_win_rate"].isNotNull(), 0.7 * wf + 0.3 * zero(c["wf_win_rate"])).otherwise(wf),
         "overfitting": ramp(c["pbo"], 0.05, 0.50), "robustness": ramp(c["cost_ratio"], 0.8, 0.0),
     }
