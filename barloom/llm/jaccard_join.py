@@ -274,3 +274,18 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+c AS (SELECT g, min(doc_id) AS class_id, count(*) AS class_size FROM s WHERE len(g) > 0 GROUP BY g),
+u AS (SELECT class_id, len(g) AS n, unnest(g) AS x FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE k * 5 >= 4 * (na + nb - k)),
+r AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+o AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT s.doc_id, coalesce(c.class_id, s.doc_id) AS class_id, CAST(coalesce(c.class_size, 1) AS BIGINT) AS class_size, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links,
+       coalesce(o.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(o.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.g = s.g AND len(s.g) > 0 LEFT JOIN o ON o.a = c.class_id LEFT JOIN n ON n.a = c.class_id
+"""

@@ -210,6 +210,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = doc_key(docs)
     found = find_anchors(keyed, length)
     often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
+    often = cut(often, "repeated")  # a table, so that Spark may split the rows of a very common anchor in the join
     rows = cut(found.join(often, "h"), "anchors")
     classes = cut(rows.groupBy("h", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("k", "a", "lo", "hi")).alias("m")), "anchor-classes")
     whole = rows.join(classes.filter("n > 1").select("h", "c"), ["h", "c"]).select("k", (F.col("a") - F.col("lo")).alias("start"), (F.col("a") - F.col("hi") + length).alias("end"))

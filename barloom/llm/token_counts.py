@@ -1,9 +1,10 @@
 """Token counts without token ids.
 
 Texts are read once, in blocks. A block lists its distinct pre-tokens and, per document, their
-frequencies. Distinct pre-tokens of all blocks are counted once each by the library's merges,
-joined back to the block vocabularies, and the frequencies of every document are weighted and
-summed. A common pre-token is one row per block, not per document, so the join has no hot key.
+frequencies. The block vocabularies are dealt by the hash of the pre-token, so that all blocks'
+occurrences of one meet in a bucket, where the library's merges count it once; the counts go back
+to the blocks, and the frequencies of every document are weighted and summed. A common pre-token
+is one entry per block, not per document, and a bucket is a share of the vocabulary: no hot key.
 
 Defined results: null text is empty and has 0 tokens; null and repeated doc_ids keep a row each;
 strings of added tokens are one token, as the library has it by default; an empty table gives an
@@ -28,7 +29,9 @@ from .tokenizing import encoder as worker_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of text in a block, about; a longer text is a block of its own.
-BLOCK = 6_000_000
+BLOCK = 8_000_000
+#: Buckets of the vocabulary: as many as there are blocks, within these bounds.
+BUCKETS = (64, 4096)
 BLOCKS = "block bigint, doc_ids array<bigint>, n_bytes array<bigint>, lengths array<int>, packed binary, vocab array<string>"
 
 
@@ -126,30 +129,51 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
         if now.ids:
             yield _batch(now.row(block))
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bucket = np.array([zlib.crc32(w.encode()) for w in words], np.int64) % n_buckets
+                order = np.argsort(bucket, kind="stable")
+                names, first = np.unique(bucket[order], return_index=True)
+                groups = np.split(order, first[1:]) if len(order) else []
+                # byte-level pre-tokens hold no line feed
+                packed = [zlib.compress("\n".join([words[k] for k in g]).encode(), 1) for g in groups]
+                places = [squeeze(np.diff(g, prepend=0)) for g in groups]
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), block, np.int64)), pa.array(packed, pa.binary()), pa.array(places, pa.binary())], names=["bucket", "block", "words", "places"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(path)
+        model, now, known = load(path).model, None, {}
         for b in batches:
-            words = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([1 if w[:1] == "\0" else len(t.model.tokenize(w)) for w in words], pa.int32())], names=["piece", "n"])
+            out = []
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                words = zlib.decompress(data.as_py()).decode().split("\n")
+                for w in set(words).difference(known):
+                    known[w] = 1 if w[:1] == "\0" else len(model.tokenize(w))
+                out.append(squeeze(np.array([known[w] for w in words])))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(out, pa.binary())], names=["block", "places", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                get = lambda name: b.column(name)[k].values.to_numpy(zero_copy_only=False) if b.column(name)[k].is_valid else np.zeros(0, np.int64)  # noqa: B023, E731
-                n = np.zeros(int(get("pos").max()) + 1 if len(get("pos")) else 0, np.int64)
-                n[get("pos")] = get("n")
+                parts = b.column("counted")[k].as_py() or []
+                places = [np.cumsum(unsqueeze(x["places"])) for x in parts]
+                n = np.zeros(sum(map(len, places)), np.int64)
+                for at, x in zip(places, parts, strict=True):
+                    n[at] = unsqueeze(x["counts"])
                 idx, freq = np.split(unsqueeze(b.column("packed")[k].as_py()), 2)
                 sums = np.concatenate([[0], np.cumsum(n[np.cumsum(idx)] * freq.astype(np.int64))])
-                ends = np.cumsum(get("lengths").astype(np.int64))
+                ends = np.cumsum(b.column("lengths")[k].values.to_numpy().astype(np.int64))
                 tokens = sums[ends] - sums[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
                 ids = b.column("doc_ids")[k].values
                 yield pa.RecordBatch.from_arrays([ids, b.column("n_bytes")[k].values, pa.array(tokens, pa.int64()), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     made = cut(docs.select(F.col("doc_id").cast("bigint"), text_col().alias("text")).mapInArrow(blocks, BLOCKS), "blocks")
-    pieces = made.select("block", F.posexplode("vocab").alias("pos", "piece"))
-    counts = pieces.select("piece").distinct().mapInArrow(count, "piece string, n int")
-    # a block's vocabulary is bounded by its text
-    per_block = pieces.join(counts, "piece").groupBy("block").agg(F.collect_list(F.struct("pos", "n")).alias("x")).select("block", F.col("x.pos").alias("pos"), F.col("x.n").alias("n"))
+    n_buckets = min(max(made.count(), BUCKETS[0]), BUCKETS[1])
+    dealt = made.select("block", "vocab").mapInArrow(deal, "bucket int, block bigint, words binary, places binary")
+    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "block bigint, places binary, counts binary")
+    per_block = counted.groupBy("block").agg(F.collect_list(F.struct("places", "counts")).alias("counted"))  # bounded by the block's text
     return made.drop("vocab").join(per_block, "block", "left").mapInArrow(total, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
