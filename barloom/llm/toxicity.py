@@ -7,8 +7,8 @@ model learns from earlier ones as they will be on rows they have not seen. Every
 scored whole in one pass.
 
 Features are words and word beginnings that occur in at least `least` sampled documents and tell
-some category apart by a chi-squared of `signal` or more (10.8: one in a thousand by chance), the
-`most` best of them.
+some category apart by a chi-squared, corrected for continuity, of `signal` or more (10.8: one in
+a thousand by chance), the `most` best of them.
 
 Defined results: null or empty text has the probabilities of a text without features; documents
 with null or repeated doc_ids keep a row each; a document labelled twice counts once per category,
@@ -76,7 +76,7 @@ class Linear:
 
 
 class Chain:
-    def __init__(self, categories: list[str], least: int = 5, most: int = 4096, folds: int = 3, signal: float = 10.8):
+    def __init__(self, categories: list[str], least: int = 3, most: int = 4096, folds: int = 3, signal: float = 10.8):
         self.categories, self.least, self.most, self.folds, self.signal = categories, least, most, folds, signal
 
     def fit(self, texts: list[str], labels: np.ndarray) -> Chain:
@@ -106,7 +106,7 @@ class Chain:
             with_one = np.bincount(idx[each], np.repeat(np.nan_to_num(y), width)[each], len(names))
             with_any = np.bincount(idx[each], minlength=len(names))
             expected = with_any * one / both
-            best = np.maximum(best, (with_one - expected) ** 2 / np.maximum(expected * (1 - one / both), 1e-9))
+            best = np.maximum(best, np.maximum(np.abs(with_one - expected) - 0.5, 0) ** 2 / np.maximum(expected * (1 - one / both), 1e-9))
         order = np.argsort(-best, kind="stable")[: self.most]
         chosen = np.sort(order[best[order] >= self.signal])
         self.names = {names[k]: j for j, k in enumerate(chosen.tolist())}
