@@ -47,7 +47,7 @@ def text_col(name: str = "text") -> Column:
 MAX_HOT = 256
 
 
-def join_by_size(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_by_size(rows: DataFrame, table: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """rows with the columns of `table`, one row of which has, under `size`, how many rows a key has.
 
     The sizes sum to `total` at most, so no more than MAX_HOT keys can have total / MAX_HOT rows or

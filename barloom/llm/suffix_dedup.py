@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, text_col
+from .common import cut, join_by_size, text_col
 from .jaccard_join import _changes, by_group
 from .shingles import BASE, BYTE, U, _powers, mix, utf8
 
@@ -213,7 +213,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     often = cut(often, "repeated")  # a table, so that Spark may split the rows of a very common anchor in the join
     rows = cut(found.join(often, "h"), "anchors")
     classes = cut(rows.groupBy("h", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("k", "a", "lo", "hi")).alias("m")), "anchor-classes")
-    whole = rows.join(classes.filter("n > 1").select("h", "c"), ["h", "c"]).select("k", (F.col("a") - F.col("lo")).alias("start"), (F.col("a") - F.col("hi") + length).alias("end"))
+    whole = join_by_size(rows.drop("mixed"), classes.filter("n > 1").select("h", "c", "n"), ["h", "c"], "n", rows.count()).select("k", (F.col("a") - F.col("lo")).alias("start"), (F.col("a") - F.col("hi") + length).alias("end"))
 
     mixed = classes.filter("mixed").select("h", "c", (F.col("n") == 1).alias("single"), "m.*")
     counts = mixed.groupBy("h").agg(F.count("*").alias("classes"))
