@@ -4,7 +4,8 @@ Each half of the unit vectors has a codebook of its own, fitted on a bounded sam
 form a grid of cells, and every vector is in one. A vector visits the cells nearest to it, in the
 order of its summed distances to both codes (the multi-sequence order), and is compared with all
 vectors of each cell it visits, by cosine in double precision. How many cells are visited is fitted
-to a target recall on a sample of queries held against all vectors.
+to a target recall on pairs made at the threshold itself, so that it holds where links are rare, and
+on the links of sample queries to all other vectors; the larger number counts.
 
 Copies of a vector are one class throughout. A pair is met in the cell of either vector that the
 other one visits and counted once for each; large cells are dealt into blocks, each pair of blocks
@@ -30,8 +31,10 @@ from .common import cut, join_by_size, with_components
 from .jaccard_join import _changes, by_group, least_labels
 
 COSINE = 0.95
-#: Vectors that the codebooks, and queries that the number of visits, are fitted on, at most.
-SAMPLE, QUERIES = 8192, 256
+#: Vectors that the codebooks, and pairs of each kind made at the threshold that the number of visits, are fitted on, at most.
+SAMPLE, PAIRS = 8192, 8192
+#: Queries held against all vectors; more of them where the first have fewer than LINKS links.
+QUERIES, LINKS = (256, 2048), 1000
 RECALL = 0.999
 #: Vectors of an average cell, and most codes of a half.
 CELL, CODES = 32, 1024
@@ -98,6 +101,10 @@ class MultiIndex:
             out[k] = np.searchsorted(np.sort(d2[k]), away - d1[k], "left").sum()
         return out
 
+    def met(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many cells come before the one that each pair is met in, from the nearer side."""
+        return np.minimum(self.rank(x, self.own(y)), self.rank(y, self.own(x)))
+
 
 def vectors_of(b: pa.RecordBatch, dims: int | None = None) -> list[bytes | None]:
     """float32 bytes of each usable vector of a list column."""
@@ -129,23 +136,57 @@ def matrix(column: pa.Array) -> np.ndarray:
     return unit_rows(np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(n, -1))
 
 
-def visits_for(classes: DataFrame, index, queries: np.ndarray, cosine: float, recall: float) -> int:
-    """Cells to visit so that `recall` of the links of the queries, against all vectors, are met."""
-    shared = classes.sparkSession.sparkContext.broadcast(queries)
+def turned(x: np.ndarray, towards: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors at exactly this cosine to x, in the direction of `towards`, and for which of x there is one."""
+    u = towards - (towards * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((u * u).sum(axis=1, keepdims=True))
+    ok = size[:, 0] > 1e-9
+    return cosine * x[ok] + np.sqrt(1 - cosine * cosine) * u[ok] / size[ok], ok
+
+
+def visits_at(index: MultiIndex, points: np.ndarray, cosine: float, recall: float, seed: int = 7) -> int:
+    """Cells to visit so that `recall` of pairs at the threshold are met, turned any way and turned towards other vectors."""
+    rng = np.random.default_rng(seed)
+    n = 2
+    for towards in (rng.normal(size=points.shape), points[rng.permutation(len(points))]):
+        y, ok = turned(points, towards, cosine)
+        if len(y):
+            ranks = np.sort(index.met(points[ok], y))
+            n = max(n, int(ranks[int(np.ceil(recall * len(ranks))) - 1]) + 2)
+    return n
+
+
+def visits_for(classes: DataFrame, index, nodes: list[bytes], queries: np.ndarray, cosine: float, recall: float) -> tuple[int, int]:
+    """Cells to visit so that `recall` of the links of the queries to all other vectors are met, and how many links there are."""
+    shared = classes.sparkSession.sparkContext.broadcast((queries, {x: k for k, x in enumerate(nodes)}))
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, place = shared.value
         for b in batches:
-            x = matrix(b.column(0))
-            i, j = np.nonzero(x @ shared.value.T >= cosine)
-            yield pa.RecordBatch.from_arrays([pa.array(index.value.rank(shared.value[j], index.value.own(x)[i]))], names=["rank"])
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                x = matrix(part.column(1))
+                own = np.array([place.get(y, -1) for y in part.column(0).to_pylist()])
+                i, j = np.nonzero((x @ q.T >= cosine) & (own[:, None] != np.arange(len(q))[None, :]))
+                for k in range(0, len(i), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(index.value.met(x[i[k : k + 20_000]], q[j[k : k + 20_000]]))], names=["rank"])
 
-    seen = classes.select("vec").mapInArrow(ranks, "rank bigint").groupBy("rank").count().orderBy("rank").collect()  # a row per rank
+    seen = classes.select("node", "vec").mapInArrow(ranks, "rank bigint").groupBy("rank").count().orderBy("rank").collect()  # a row per rank
     total, upto = sum(r["count"] for r in seen), 0
     for r in seen:
         upto += r["count"]
         if upto >= recall * total:
-            return int(r["rank"]) + 2
-    return 2
+            return int(r["rank"]) + 2, total
+    return 2, total
+
+
+def fitted_visits(classes: DataFrame, index, nodes: list[bytes], points: np.ndarray, cosine: float, recall: float) -> int:
+    n = visits_at(index.value, points[-PAIRS:], cosine, recall)
+    for queries in QUERIES:
+        real, links = visits_for(classes, index, nodes[-queries:], points[-queries:], cosine, recall)
+        if links >= LINKS or queries >= len(nodes):
+            break
+    return max(n, real)
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -153,13 +194,14 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     spark = embeddings.sparkSession
     rows = cut(read_vectors(embeddings), "vectors")
     classes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.max("vec").alias("vec")), "vector-classes")
-    sample = classes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("vec").toArrow().column(0).combine_chunks()
+    drawn = classes.orderBy(F.xxhash64("node")).limit(SAMPLE + PAIRS).select("node", "vec").toArrow().combine_chunks()
+    sample = drawn.column("vec").combine_chunks()
     if not len(sample):
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    codes = int(np.clip(np.sqrt(classes.count() / CELL), 1, min(CODES, max(1, len(sample) // 4))))
+    codes = int(np.clip(np.sqrt(classes.count() / CELL), 1, min(CODES, max(1, min(SAMPLE, len(sample)) // 4))))
     points = matrix(sample)
-    index = spark.sparkContext.broadcast(MultiIndex(points, codes))
-    n = visits_for(classes, index, points[:QUERIES], cosine, recall)
+    index = spark.sparkContext.broadcast(MultiIndex(points[:SAMPLE], codes))
+    n = fitted_visits(classes, index, drawn.column("node").to_pylist(), points, cosine, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -304,6 +304,22 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_meets_rare_links(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL", 1)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=(60, 64))
+    u -= (u * x[:60]).sum(axis=1, keepdims=True) * x[:60]
+    x[60:120] = 0.952 * x[:60] + np.sqrt(1 - 0.952**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = [r.n_links for r in embedding_dedup.near_duplicates(df).orderBy("vec_id").collect()]
+    v = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (v @ v.T >= 0.95).sum(axis=1) - 1
+    assert near.sum() == 120 and (np.array(got) <= near).all() and sum(got) >= 119
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(5, 5), (1, 0)], "a long, b long")
     got = with_components(spark.range(70), e).collect()
