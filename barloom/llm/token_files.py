@@ -2,9 +2,9 @@
 
 Documents are dealt by ranges of doc_id and written in ascending order as shards. In a shard,
 frequent pairs of ids become nonterminals, round after round: first inside the distinct chunks of
-the shard, whose pair counts are weighted by how often a chunk occurs, then along whole documents.
-A round replaces its most frequent pairs together, left to right where they overlap; no rule spans
-two documents. A shard stores its rules, the expansion length of every rule, the symbols and where
+the shard, whose pair counts are weighted by how often a chunk occurs, then along whole documents,
+until no pair occurs LEAST times. A round replaces its most frequent pairs together, left to right
+where they overlap, and so shortens the sequence; no rule spans two documents. A shard stores its rules, the expansion length of every rule, the symbols and where
 each document's symbols begin, so any range of ids of any document decodes by itself.
 
 The file format is a row per shard: part, shard, n_docs, n_ids and a payload (`write_shard`).
@@ -35,7 +35,7 @@ END = 0
 MAGIC = b"RPG1"
 #: Characters of a shard, about; a longer document is a shard of its own.
 SHARD = 12_000_000
-INSIDE, ALONG, PAIRS, LEAST = 8, 1, 4096, 4
+PAIRS, LEAST = 4096, 4
 FILES = "part int, shard int, n_docs bigint, n_ids bigint, payload binary"
 
 
@@ -102,10 +102,9 @@ def write_shard(doc_ids: list, chunks: list[bytes], docs: list[np.ndarray], base
     seen = np.bincount(np.concatenate(docs) if docs else np.zeros(0, int), minlength=len(chunks))
     s = np.frombuffer(b"".join(chunks), "<u4").astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-    for _ in range(INSIDE):
+    more = True
+    while more:
         s, starts, more = g.round(s, starts, np.repeat(seen, np.diff(np.append(starts, len(s)))))
-        if not more:
-            break
     ends = np.append(starts[1:], len(s))
     order = np.concatenate(docs) if docs else np.zeros(0, np.int64)
     reach = (ends - starts)[order]
@@ -113,10 +112,9 @@ def write_shard(doc_ids: list, chunks: list[bytes], docs: list[np.ndarray], base
     s = s[np.repeat(starts[order] - at[:-1], reach) + np.arange(at[-1])]
     first = at[np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)]
     starts = first[:-1]
-    for _ in range(ALONG):
+    more = True
+    while more:
         s, starts, more = g.round(s, starts, None)
-        if not more:
-            break
     n = np.ones(base + len(g.left), np.int64)
     for k, (a, b) in enumerate(zip(g.left, g.right, strict=True)):
         n[base + k] = n[a] + n[b]

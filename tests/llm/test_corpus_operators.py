@@ -178,6 +178,17 @@ def test_token_files(spark, docs, rows, empty, monkeypatch):
     assert token_files.read_token_files(spark, none).count() == 0
 
 
+def test_token_files_make_rules_of_whole_passages():
+    chunks = [np.array([k], "<u4").tobytes() for k in range(1000)]
+    passage = np.arange(100, 420)
+    docs = [np.array([1 + k, *passage, 500 + k, 0]) for k in range(40)]
+    s = token_files.Shard(token_files.write_shard(list(range(40)), chunks, docs, 1000)[1])
+    assert all((np.frombuffer(s.document(k), "<u4") == d).all() for k, d in enumerate(docs))
+    assert len(s.symbols) <= 40 * 8
+    pairs = Counter(p for a, b in zip(s.starts, s.starts[1:], strict=False) for p in zip(s.symbols[a:b].tolist(), s.symbols[a + 1 : b].tolist(), strict=False))
+    assert max(pairs.values()) < token_files.LEAST
+
+
 # --- 10
 def test_secrets(spark, rows, empty):
     kinds = [
