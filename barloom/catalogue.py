@@ -366,7 +366,7 @@ query("t17_benchmark_correlation", o.query(SMA_BT, f"symbol, {o.r('corr(net, ret
 # --- scores and races
 query("z1_reality_score")(lambda s, d: lab.run_lab(src.bars_market(s, d), lab.LabConfig("momentum", n_permutations=10)).score)
 query("z2_arena")(lambda s, d: lab.run_arena(src.bars_market(s, d), 5))
-query("z3_portfolio_arena")(lambda s, d: lab.run_portfolio_arena(the_panel(s, d), 3))
+query("z3_portfolio_arena")(lambda s, d: lab.run_portfolio_arena(the_panel(s, d), 3, rebalance="M"))
 
 # --- the signal rule, its fills, the environment
 ORDERS = f"{o.MARKET}, {SIGNALS}"

@@ -161,8 +161,8 @@ def run_portfolio_lab(panel: DataFrame, cfg: LabConfig) -> Report:
     return Report(held, metrics, trials, reality_score(_input_row(spark, row)), {"dsr": dsr, "pbo": over, "permutation": test, "walk_forward": forward, "attribution": style, "survivorship": life, "null": null})
 
 
-def run_arena(bars: DataFrame, n_permutations: int = 100, costs: Costs = Costs(), seed: int = 1, ppy: int = 252) -> DataFrame:
-    """Every rule at its defaults: sharpe, p_value, dsr and evidence = (1 - p) * dsr, best first. One backtest plan for all."""
+def run_arena(bars: DataFrame, n_permutations: int = 100, costs: Costs = Costs(), seed: int = 1, ppy: int = 252, grid_limit: int = 40) -> DataFrame:
+    """Every rule at its defaults: metrics, p_value, dsr over the rule's own grid and evidence = (1 - p) * dsr, best first. One backtest plan for all."""
     bars = numbered(bars, ["symbol"])
     rules = [(s, s.clean()) for s in list_strategies()]
     runs = run_backtest(with_targets(bars, ["symbol"], rules), ["symbol", "trial_id"], costs, ppy=ppy)
@@ -174,37 +174,45 @@ def run_arena(bars: DataFrame, n_permutations: int = 100, costs: Costs = Costs()
     obs = obs.join(sharpes(runs, ["trial_id"], ppy), "trial_id")
     tested = obs.join(null, "trial_id").groupBy(*obs.columns).agg(((1 + F.count(F.when(F.col("_null") >= F.col("sharpe"), 1))) / (F.count("*") + 1)).alias("p_value"))
     rows = tested.collect()  # a row per rule
+    more = {r["trial_id"]: r for r in compute_metrics(runs, ["trial_id"], ppy).select("trial_id", "cagr", "max_drawdown", "n_trades").collect()}
     out = []
     for r in rows:
-        dsr = v.deflated_sharpe(r.asDict(), None, len(rules))["dsr"]
-        out.append((rules[r["trial_id"]][0].key, r["sharpe"], r["growth"] - 1, r["p_value"], dsr, (1 - r["p_value"]) * dsr))
-    return _ranked(bars.sparkSession, out)
+        s, m = rules[r["trial_id"]][0], more[r["trial_id"]]
+        dsr = v.deflated_sharpe(r.asDict(), None, len(s.grid(grid_limit)))["dsr"]
+        out.append((s.key, r["sharpe"], r["growth"] - 1, m["cagr"], m["max_drawdown"], float(m["n_trades"]), r["p_value"], dsr, (1 - r["p_value"]) * dsr))
+    return _ranked(bars.sparkSession, out, "cagr double, max_drawdown double, n_trades double")
 
 
-def run_portfolio_arena(panel: DataFrame, n_permutations: int = 50, costs: Costs = Costs(), seed: int = 1, ppy: int = 252) -> DataFrame:
+def run_portfolio_arena(panel: DataFrame, n_permutations: int = 50, costs: Costs = Costs(), seed: int = 1, ppy: int = 252, grid_limit: int = 24, rebalance: str | None = None) -> DataFrame:
+    """Every cross-sectional rule at its defaults, on one schedule: as run_arena, with turnover and the t statistic of alpha over the style factors."""
     rules = [s.key for s in list_xs_strategies()]
     weighted = None
     for i, k in enumerate(rules):
         part = with_weights(panel, k).withColumn("trial_id", F.lit(i))
         weighted = part if weighted is None else weighted.unionByName(part)
-    dates = portfolio_returns(run_portfolio(weighted, ["trial_id"], costs, ppy=ppy), ["trial_id"], costs, ppy)
+    dates = portfolio_returns(run_portfolio(weighted, ["trial_id"], costs, rebalance=rebalance, ppy=ppy), ["trial_id"], costs, ppy)
     free = Costs(0, 0, 0)
-    shown = {r["trial_id"]: r["sharpe"] for r in sharpes(portfolio_returns(run_portfolio(weighted, ["trial_id"], free, ppy=ppy), ["trial_id"], free, ppy), ["trial_id"], ppy).collect()}
+    shown = {r["trial_id"]: r["sharpe"] for r in sharpes(portfolio_returns(run_portfolio(weighted, ["trial_id"], free, rebalance=rebalance, ppy=ppy), ["trial_id"], free, ppy), ["trial_id"], ppy).collect()}
     stats = {r["trial_id"]: r.asDict() for r in dates.groupBy("trial_id").agg(F.count("net").alias("n"), F.avg("net").alias("mean"), F.stddev_samp("net").alias("sd"), F.skewness("net").alias("skew"), (F.kurtosis("net") + 3).alias("kurt"), F.product(1 + F.col("net")).alias("growth")).collect()}
     null: dict[int, list[float]] = {}
-    for r in v.cross_permutation_null(weighted, n_permutations, seed, ppy, by=("trial_id",)).collect():  # a row per rule and permutation
+    for r in v.cross_permutation_null(weighted, n_permutations, seed, ppy, rebalance=rebalance, by=("trial_id",)).collect():  # a row per rule and permutation
         null.setdefault(r["trial_id"], []).append(r["sharpe"])
+    more = {r["trial_id"]: r for r in portfolio_metrics(dates, ["trial_id"], ppy).select("trial_id", "cagr", "max_drawdown", "n_trades", "turnover_ann").collect()}
+    styles = style_factors(panel, ppy).persist()  # a row per factor and date, read once for each rule
+    alpha = [factor_attribution(dates.filter(F.col("trial_id") == i), styles, ppy).get("alpha_t_stat") for i in range(len(rules))]
+    styles.unpersist()
     out = []
     for i, k in enumerate(rules):
+        m = more[i]
         p = (1 + sum(x >= shown[i] for x in null[i])) / (len(null[i]) + 1)
-        dsr = v.deflated_sharpe(stats[i], None, len(rules))
-        out.append((k, dsr["sharpe"] * ppy**0.5, stats[i]["growth"] - 1, p, dsr["dsr"], (1 - p) * dsr["dsr"]))
-    return _ranked(panel.sparkSession, out)
+        dsr = v.deflated_sharpe(stats[i], None, len(get_xs_strategy(k).grid(grid_limit)))
+        out.append((k, dsr["sharpe"] * ppy**0.5, stats[i]["growth"] - 1, m["cagr"], m["max_drawdown"], float(m["n_trades"]), m["turnover_ann"], alpha[i], p, dsr["dsr"], (1 - p) * dsr["dsr"]))
+    return _ranked(panel.sparkSession, out, "cagr double, max_drawdown double, n_trades double, turnover_ann double, alpha_t_stat double")
 
 
-def _ranked(spark, rows: list[tuple]) -> DataFrame:
+def _ranked(spark, rows: list[tuple], more: str) -> DataFrame:
     rows = [(k + 1, *r) for k, r in enumerate(sorted(rows, key=lambda r: -r[-1]))]
-    return spark.createDataFrame(rows, "place int, strategy string, sharpe double, total_return double, p_value double, dsr double, evidence double")
+    return spark.createDataFrame(rows, f"place int, strategy string, sharpe double, total_return double, {more}, p_value double, dsr double, evidence double")
 
 
 def to_json(df: DataFrame) -> DataFrame:

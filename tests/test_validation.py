@@ -97,3 +97,20 @@ def test_environment_and_signals(spark, bars):
     assert s.filter("action = 'hold' and quantity <> 0").count() == 0 and s.filter("action <> 'hold' and quantity < 1").count() == 0
     rate = agentic.fills(s.filter("action <> 'hold'"), BY, 0.5).agg(F.avg(F.col("success").cast("double"))).first()[0]
     assert 0.35 < rate < 0.65
+
+
+def test_arenas_deflate_by_each_rules_own_grid(spark, panel_bars):
+    bars = to_spark(spark, make_bars(200, 3))
+    got = {r.strategy: r for r in lab.run_arena(bars, 2).collect()}
+    for key in ("buy_and_hold", "sma_cross"):
+        s = get_strategy(key)
+        runs = lab.run_backtest(lab.with_targets(numbered(bars, BY), BY, [(s, s.clean())]), BY)
+        assert got[key].dsr == pytest.approx(v.deflated_sharpe(v.moments_of(runs), None, len(s.grid(40)))["dsr"])
+        assert got[key].max_drawdown == pytest.approx(lab.compute_metrics(runs, BY).first()["max_drawdown"])
+    p = make_panel(panel_bars)
+    races = {r.strategy: r for r in lab.run_portfolio_arena(p, 2, rebalance="M").collect()}
+    key = "xs_reversal"
+    dates = lab.portfolio_returns(lab.run_portfolio(with_weights(p, key), rebalance="M"))
+    assert races[key].dsr == pytest.approx(v.deflated_sharpe(v.moments_of(dates), None, len(lab.get_xs_strategy(key).grid(24)))["dsr"])
+    assert races[key].turnover_ann == pytest.approx(lab.portfolio_metrics(dates).first()["turnover_ann"])
+    assert races[key].alpha_t_stat == pytest.approx(lab.factor_attribution(dates, lab.style_factors(p)).get("alpha_t_stat"))
