@@ -336,14 +336,14 @@ _PERM_TG = "ind AS (SELECT *, close / lag(close, 60) OVER (PARTITION BY perm_id
 query("t4_permutation_null", o.query(f"{o.MARKET}, {permuted(20)}, {_PERM_TG}, {o.engine('perm_id', '1.0', 'bar_idx')}, sh AS ({o.sharpe('perm_id')})", f"perm_id, {rr('sharpe')}", "sh"))(
     lambda s, d: cols(validation.permutation_null(src.bars_market(s, d), get_strategy("momentum"), {"lookback": 60}, BY, 20), "perm_id", "sharpe")
 )
-query("t4_p_value")(lambda s, d: validation.p_value(validation.permutation_null(src.bars_market(s, d), get_strategy("sma_cross"), {}, BY, 20), metrics.sharpes(market_run(s, d), BY).first()["sharpe"]))
+query("t4_p_value")(lambda s, d: validation.p_value(validation.permutation_null(src.bars_market(s, d), get_strategy("sma_cross"), {}, BY, 300), metrics.sharpes(market_run(s, d), BY).first()["sharpe"]))
 query("t5_bootstrap_paths", o.query(f"{SMA_BT}, n AS (SELECT count(*) AS n FROM bt), sl AS (SELECT CAST(p AS INT) AS path_id, CAST(b AS INT) AS bar_idx, n FROM n, range(3) x(p), LATERAL (SELECT unnest(range(n)) AS b)), dr AS (SELECT path_id, bar_idx, CAST(floor({o.draw(chr(39) + '1' + chr(39) + ', CAST(path_id AS VARCHAR), CAST(bar_idx AS VARCHAR)')} * n) AS BIGINT) AS pick FROM sl)", "path_id, dr.bar_idx, round(ln(abs(product(1 + net) OVER (PARTITION BY path_id ORDER BY dr.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))), 6) + 0.0 AS log_wealth", "dr JOIN bt ON bt.bar_idx = pick"))(
     lambda s, d: rounded(validation.bootstrap_paths(market_run(s, d).select("bar_idx", "net"), 3).select("path_id", "bar_idx", F.log(F.abs("wealth")).alias("log_wealth")))
 )
 query("t6_permute_within_dates", o.query(f"{o.PANEL}, {XS['xs_reversal']}", "ts, CAST(1 AS INT) AS perm_id, round(sum(weight), 6) + 0.0 AS total, count(CASE WHEN weight > 0 THEN 1 END) AS longs", "wt", "WHERE listed GROUP BY ts"))(
     lambda s, d: rounded(validation.permute_within_dates(with_weights(the_panel(s, d), "xs_reversal"), 2).filter("perm_id = 1 and listed").groupBy("ts", "perm_id").agg(F.sum("weight").alias("total"), F.count(F.when(F.col("weight") > 0, 1)).alias("longs")))
 )
-query("t7_cross_permutation_null")(lambda s, d: validation.cross_permutation_null(with_weights(the_panel(s, d), "xs_reversal"), 5))
+query("t7_cross_permutation_null")(lambda s, d: validation.cross_permutation_null(with_weights(the_panel(s, d), "xs_reversal"), 200))
 query("t8_t11_deflated_sharpe")(lambda s, d: s.createDataFrame([tuple(float(v) for v in validation.deflated_sharpe(validation.moments_of(market_run(s, d)), None, 19).values())], "sharpe double, n_trials double, hurdle double, psr double, dsr double, min_track_record double"))
 MOMENTUM_TRIALS = "gr AS (SELECT * FROM (VALUES (0, 5), (1, 10), (2, 20), (3, 60), (4, 120), (5, 250)) t(trial_id, k)), ind AS (SELECT bars.*, trial_id, close / " + "CASE k " + " ".join(f"WHEN {k} THEN lag(close, {k}) OVER (PARTITION BY trial_id ORDER BY ts)" for k in (5, 10, 20, 60, 120, 250)) + " END - 1 AS m FROM bars, gr), tg AS (SELECT *, coalesce(" + o.sign("m") + ", 0.0) AS target FROM ind)"
 query("t16_trial_matrix", o.query(f"{o.MARKET}, {MOMENTUM_TRIALS}, {o.engine('trial_id')}", f"trial_id, bar_idx, {rr('net', n=9)}", "bt"))(lambda s, d: cols(lab.trial_returns(market(s, d), "momentum").withColumn("bar_idx", F.col("bar_idx").cast("bigint")), "trial_id", "bar_idx", "net", n=9))
@@ -364,9 +364,9 @@ query("t15_cost_stress", o.query(STRESS, f"{o.r('max(CASE WHEN m = 1 THEN sharpe
 query("t17_benchmark_correlation", o.query(SMA_BT, f"symbol, {o.r('corr(net, ret)', 'correlation')}", "bt", "GROUP BY symbol"))(lambda s, d: rounded(validation.benchmark_correlation(market_run(s, d), BY)))
 
 # --- scores and races
-query("z1_reality_score")(lambda s, d: lab.run_lab(src.bars_market(s, d), lab.LabConfig("momentum", n_permutations=10)).score)
-query("z2_arena")(lambda s, d: lab.run_arena(src.bars_market(s, d), 5))
-query("z3_portfolio_arena")(lambda s, d: lab.run_portfolio_arena(the_panel(s, d), 3, rebalance="M"))
+query("z1_reality_score")(lambda s, d: lab.run_lab(src.bars_market(s, d), lab.LabConfig("momentum")).score)
+query("z2_arena")(lambda s, d: lab.run_arena(src.bars_market(s, d)))
+query("z3_portfolio_arena")(lambda s, d: lab.run_portfolio_arena(the_panel(s, d), rebalance="M"))
 
 # --- the signal rule, its fills, the environment
 ORDERS = f"{o.MARKET}, {SIGNALS}"

@@ -161,7 +161,7 @@ def run_portfolio_lab(panel: DataFrame, cfg: LabConfig) -> Report:
     return Report(held, metrics, trials, reality_score(_input_row(spark, row)), {"dsr": dsr, "pbo": over, "permutation": test, "walk_forward": forward, "attribution": style, "survivorship": life, "null": null})
 
 
-def run_arena(bars: DataFrame, n_permutations: int = 100, costs: Costs = Costs(), seed: int = 1, ppy: int = 252, grid_limit: int = 40) -> DataFrame:
+def run_arena(bars: DataFrame, n_permutations: int = 120, costs: Costs = Costs(), seed: int = 1, ppy: int = 252, grid_limit: int = 40) -> DataFrame:
     """Every rule at its defaults: metrics, p_value, dsr over the rule's own grid and evidence = (1 - p) * dsr, best first. One backtest plan for all."""
     bars = numbered(bars, ["symbol"])
     rules = [(s, s.clean()) for s in list_strategies()]
@@ -183,7 +183,7 @@ def run_arena(bars: DataFrame, n_permutations: int = 100, costs: Costs = Costs()
     return _ranked(bars.sparkSession, out, "cagr double, max_drawdown double, n_trades double")
 
 
-def run_portfolio_arena(panel: DataFrame, n_permutations: int = 50, costs: Costs = Costs(), seed: int = 1, ppy: int = 252, grid_limit: int = 24, rebalance: str | None = None) -> DataFrame:
+def run_portfolio_arena(panel: DataFrame, n_permutations: int = 80, costs: Costs = Costs(), seed: int = 1, ppy: int = 252, grid_limit: int = 24, rebalance: str | None = None) -> DataFrame:
     """Every cross-sectional rule at its defaults, on one schedule: as run_arena, with turnover and the t statistic of alpha over the style factors."""
     rules = [s.key for s in list_xs_strategies()]
     weighted = None

@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -114,3 +115,25 @@ def test_arenas_deflate_by_each_rules_own_grid(spark, panel_bars):
     assert races[key].dsr == pytest.approx(v.deflated_sharpe(v.moments_of(dates), None, len(lab.get_xs_strategy(key).grid(24)))["dsr"])
     assert races[key].turnover_ann == pytest.approx(lab.portfolio_metrics(dates).first()["turnover_ann"])
     assert races[key].alpha_t_stat == pytest.approx(lab.factor_attribution(dates, lab.style_factors(p)).get("alpha_t_stat"))
+
+
+@pytest.mark.parametrize(("name", "least"), [("z1_reality_score", 250), ("z2_arena", 120), ("z3_portfolio_arena", 80), ("t4_p_value", 300), ("t7_cross_permutation_null", 200)])
+def test_queries_draw_as_many_permutations_as_the_reference(monkeypatch, name, least):
+    from barloom import catalogue
+
+    class Drawn(Exception):
+        pass
+
+    def stop(n):
+        raise Drawn(n)
+
+    for where, f in ((v, "permutation_null"), (v, "cross_permutation_null"), (lab, "run_lab"), (lab, "run_arena"), (lab, "run_portfolio_arena")):
+        monkeypatch.setattr(where, f, (lambda f: lambda *a, **k: stop((b := inspect.signature(f).bind(*a, **k), b.apply_defaults())[0].arguments))(getattr(where, f)))
+    monkeypatch.setattr(catalogue.src, "bars_market", lambda *a: None)
+    monkeypatch.setattr(catalogue, "the_panel", lambda *a: None)
+    monkeypatch.setattr(catalogue, "with_weights", lambda *a: None)
+    with pytest.raises(Drawn) as e:
+        catalogue.QUERIES[name](None, None)
+    found = e.value.args[0]
+    n = found["cfg"].n_permutations if "cfg" in found else found.get("n_permutations", found.get("n_perm"))
+    assert n == least
