@@ -95,12 +95,14 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last = worker_encoder(path), pack([end])
         for b in batches:
-            rows = []
-            for i, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-                ids += last
-                for k, at in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[at * 4 : (at + capacity) * 4]
-                    rows.append((i, k, at, len(part) // 4, zlib.crc32(part)))
+            rows, names = [], b.column(0).to_pylist()
+            for first, stop, all_ids, offsets in encoder.encode(b.column(1)):
+                data, at_of = pack(all_ids), (4 * offsets).tolist()
+                for i, s, e in zip(names[first:stop], at_of, at_of[1:], strict=False):
+                    ids = data[s:e] + last
+                    for k, at in enumerate(range(0, len(ids) // 4, capacity)):
+                        part = ids[at * 4 : (at + capacity) * 4]
+                        rows.append((i, k, at, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=NAMES)
 

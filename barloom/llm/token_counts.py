@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, text_col
+from .shingles import utf8
 from .tokenizing import Encoder, load, vocabulary
 from .tokenizing import encoder as worker_encoder
 
 VOCABULARY = "word_bpe_49k.json"
-#: Characters of text in a block, about; a longer text is a block of its own.
+#: Bytes of text in a block, about; texts are added some megabytes at a time.
 BLOCK = 8_000_000
 #: Buckets of the vocabulary: as many as there are blocks, within these bounds.
 BUCKETS = (64, 4096)
@@ -59,28 +60,27 @@ def pre_tokens(encoder: Encoder, text: str) -> list[str]:
 
 
 class Block:
-    """Pre-token frequencies of some documents; chunks are split into pre-tokens once per block."""
+    """Pre-token frequencies of some documents; segments are split into pre-tokens once per block."""
 
     def __init__(self, encoder: Encoder):
-        self.encoder, self.ids, self.sizes, self.docs, self.chars = encoder, [], [], [], 0
-        self.chunks: dict[str, int] = {}
-
-    def add(self, doc_id, text: str) -> None:
-        self.ids.append(doc_id)
-        self.sizes.append(len(text.encode()))
-        self.chars += len(text)
-        place = self.chunks
-        if self.encoder.odd(text):
-            units = ["\0" + x for x in pre_tokens(self.encoder, text)]
-        else:
-            units = self.encoder.units(text)
-        self.docs.append(np.fromiter((place.setdefault(u, len(place)) for u in units), dtype=np.int64, count=len(units)))
+        self.encoder, self.ids, self.sizes, self.docs = encoder, [], [], []
+        self.units: dict[tuple[bytes | str, bool], int] = {}
+
+    def add(self, ids: list, sizes: list[int], rows: np.ndarray, codes: np.ndarray, units: list[tuple[bytes | str, bool]]) -> None:
+        """Documents with these ids and sizes in bytes; rows, codes, units: see Encoder.segments."""
+        place = self.units
+        number = np.fromiter((place.setdefault(u, len(place)) for u in units), np.int64, len(units))
+        ends = np.searchsorted(rows, np.arange(len(ids) + 1))
+        codes = number[codes]
+        self.docs += [codes[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        self.ids += ids
+        self.sizes += sizes
 
     def row(self, block: int) -> dict:
         vocab: dict[str, int] = {}
         parts: list[list[int]] = []
-        for u in self.chunks:
-            pieces = [u[1:]] if u[:1] == "\0" else self.encoder.pieces(u)
+        for u, plain in self.units:
+            pieces = pre_tokens(self.encoder, u) if isinstance(u, str) else self.encoder.pieces(u, plain)
             parts.append([vocab.setdefault(x, len(vocab)) for x in pieces])
         n = np.array([len(p) for p in parts] or [0])
         flat = np.array([x for p in parts for x in p], dtype=np.int64)
@@ -118,14 +118,17 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, block = worker_encoder(path), TaskContext.get().partitionId() << 32
-        now = Block(encoder)
+        now, size = Block(encoder), 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = t.as_py()
-                if now.ids and now.chars + len(t) > BLOCK:
+            names, (_, offsets) = b.column(0).to_pylist(), utf8(b.column(1))
+            sizes = np.diff(offsets).tolist()
+            for first, stop, *found in encoder.segments(b.column(1)):
+                here = int(offsets[stop] - offsets[first])
+                if now.ids and size + here > BLOCK:
                     yield _batch(now.row(block))
-                    now, block = Block(encoder), block + 1
-                now.add(i, t)
+                    now, size, block = Block(encoder), 0, block + 1
+                now.add(names[first:stop], sizes[first:stop], *found)
+                size += here
         if now.ids:
             yield _batch(now.row(block))
 

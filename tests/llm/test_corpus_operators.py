@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import embedding_dedup, exact_dedup, jaccard_join, mixing, packing, secrets, suffix_dedup, token_counts, token_files, toxicity
+from barloom.llm import embedding_dedup, exact_dedup, jaccard_join, mixing, packing, secrets, suffix_dedup, token_counts, token_files, tokenizing, toxicity
 from barloom.llm.common import new_path, with_components
 from barloom.llm.tokenizing import load, vocabulary
 
@@ -114,6 +115,20 @@ def test_mixing(spark, docs, rows, empty):
 
 
 # --- 4, 5, 9
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_matches_the_library(name, monkeypatch):
+    """Random texts of awkward characters, in small parts and with a table that forgets."""
+    monkeypatch.setattr(tokenizing, "ROOM", 3000)
+    monkeypatch.setattr(tokenizing, "CACHE", 500)
+    rng = random.Random(1)
+    bits = [*"aZéÿŸſßµªº×÷'\" \n\t.,!3²¼x_-sStT  \u0085\xa0İĿȺ日\x1c", "'s", "'ll", "'re", "  ", "\n\n", " the", "Word", "don't", "<|endoftext|>", "x" * 40, "%%%"]
+    texts = ["".join(rng.choices(bits[:some], k=rng.randint(0, 60))) for some in (30, 36, len(bits)) for _ in range(1500)]
+    texts += ["word don't  \n stop " * 900, "x" * 9000, "日本 " * 4000, ""]  # above a part: cut, or whole where there is no place to cut
+    e, t, column = tokenizing.Encoder(vocabulary(name)), load(vocabulary(name)), pa.array(texts)
+    got = [x.tolist() for _, _, ids, at in e.encode(column) for x in np.split(ids, at[1:-1])]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_token_counts(docs, rows, empty, monkeypatch):
     t = load(vocabulary("word_bpe_49k.json"))
     want = Counter((i, len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 2048) for i, x, _ in rows)
@@ -169,8 +184,9 @@ def test_token_files(spark, docs, rows, empty, monkeypatch):
     files = spark.read.parquet(to).collect()
     assert len(files) > 3 and sum(len(f.payload) for f in files) < 4 * at
     s = token_files.Shard(max(files, key=lambda f: f.n_ids).payload)
+    ids, at = s.documents()
     for k in (0, len(s.doc_ids) - 1):
-        whole = np.frombuffer(s.document(k), "<u4")
+        whole = ids[at[k] : at[k + 1]]
         for a, b in ((0, 1), (0, len(whole)), (len(whole) // 3, len(whole) // 2)):
             assert (s.ids(k, a, b) == whole[a:b]).all()
     none = new_path(spark, "t9e")
@@ -183,7 +199,8 @@ def test_token_files_make_rules_of_whole_passages():
     passage = np.arange(100, 420)
     docs = [np.array([1 + k, *passage, 500 + k, 0]) for k in range(40)]
     s = token_files.Shard(token_files.write_shard(list(range(40)), chunks, docs, 1000)[1])
-    assert all((np.frombuffer(s.document(k), "<u4") == d).all() for k, d in enumerate(docs))
+    ids, at = s.documents()
+    assert all((ids[at[k] : at[k + 1]] == d).all() for k, d in enumerate(docs))
     assert len(s.symbols) <= 40 * 8
     pairs = Counter(p for a, b in zip(s.starts, s.starts[1:], strict=False) for p in zip(s.symbols[a:b].tolist(), s.symbols[a + 1 : b].tolist(), strict=False))
     assert max(pairs.values()) < token_files.LEAST
