@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session that is one process may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,53 +46,69 @@ def text_col(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: At most so many keys can each hold this share (1 / MAX_HOT) of all rows: the bound of the broadcast below.
-MAX_HOT = 256
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for columns of our own that clash with none of `columns`."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+#: Rows of a table that is broadcast, at most; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few enough rows. Give a table that is cheap to count, such as one just cut."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+#: Rows of one key that a task of a join meets, about: fewer on small tables, more only where so many keys are hot that their table could not be broadcast.
+HOT_ROWS, PARTS = 50_000, 256
 
 
 def join_by_size(rows: DataFrame, table: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """rows with the columns of `table`, one row of which has, under `size`, how many rows a key has.
 
-    The sizes sum to `total` at most, so no more than MAX_HOT keys can have total / MAX_HOT rows or
-    more: those are broadcast, and the rows of a hot key never meet in one task.
+    The sizes sum to `total` at most, so no more than total / n keys have n rows or more: those
+    are broadcast, BROADCAST_ROWS of them at most, and the rows of a hot key never meet in one task.
     """
-    is_hot = F.col(size) * MAX_HOT >= F.lit(total)
+    is_hot = F.col(size) >= F.lit(max(1, min(total // PARTS, HOT_ROWS), total // BROADCAST_ROWS))
     hot, rest = F.broadcast(table.filter(is_hot)), table.filter(~is_hot)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
-def with_components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def with_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable id of each vertex.
 
     vertices: id. edges: a, b (either direction, repeats allowed). Returns id, component.
-    Alternating large-star and small-star contractions over edge tables: every round is a
-    grouped minimum and a join on the vertex, nothing is gathered. The minimum of a vertex is
-    pre-aggregated before its shuffle; edges of one vertex are met by a join that Spark may split.
+    Alternating large-star and small-star contractions over edge tables: every round is two grouped
+    minima, pre-aggregated before their shuffles, and two joins that spread the edges of a vertex with
+    many; nothing is gathered. Rounds go on until no edge changes, which takes about the square of
+    the logarithm of the number of vertices at most.
     """
     spark = edges.sparkSession
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     path = new_path(spark, "edges")
-    e = cut(e, "edges", path)
+    # u > v throughout
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", path)
     before = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(m, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-            .select("x.*").filter("u <> v").distinct()
-        )
-        after_path = new_path(spark, "edges")
-        small = cut(small, "edges", after_path)
+    while (now := tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != before:
+        before, n = now, int(now[0])
+        # large star: what hangs on v goes to v's own least neighbour
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        heads = e.groupBy("v").agg(F.count("*").alias("n")).join(least.withColumnRenamed("u", "v"), "v", "left").select("v", "n", F.coalesce("m", "v").alias("m"))
+        large_path, small_path = new_path(spark, "edges"), new_path(spark, "edges")
+        large = cut(join_by_size(e, heads, "v", "n", n).select("u", F.col("m").alias("v")).distinct(), "edges", large_path)
+        # small star: what u hangs on goes to the least of it, u too
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        both = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        e = cut(join_by_size(large, low, "u", "n", n).select(both.alias("x")).select("x.*").filter("u <> v").distinct(), "edges", small_path)
         drop_path(spark, path)
-        path, e = after_path, small
-        # a star forest stays as it is: compare its size and an order-free checksum
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+        drop_path(spark, large_path)
+        path = small_path
+    # a star forest: one edge for each vertex that is not a head
     return vertices.join(e.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
