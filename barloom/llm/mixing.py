@@ -5,20 +5,23 @@ allowed: the distribution nearest to one copy of everything (in relative entropy
 to the source's target. lambda solves the convex dual; its derivative sums over all documents, so
 each Newton step is one grouped aggregate, and the state of every source is a row of a small
 table. Rates become whole copies by systematic rounding along a descending order of sizes (the
-error of a run of documents is below its largest document) and a few single-document repairs.
+error of a run of documents is below its largest document) and single-document repairs, each the
+one that brings its source nearest to its target, until none brings it nearer. Repairs are chosen
+on the counts of sizes and copies; documents are read once more, to carry them out.
 
 Defined results: null text has size 0; null source is a source of its own, last; documents
 without words take 0; a source without words has target 0; an empty table returns an empty frame;
-repeated rows are documents of their own. Other columns are ignored by `mix` and kept by `mixed`.
+repeated rows are documents of their own. Other columns, whatever their names, are ignored by `mix`
+and kept by `mixed`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, drop_path, new_path, text_col
+from .common import WORD, cut, drop_path, free_names, join_by_size, new_path, small, text_col
 
 WEIGHTS = (5, 2, 1)
 POOL = 1.5
@@ -27,29 +30,46 @@ MOST = 2
 RUN = 5000
 
 
+def key_of(source: str) -> Column:
+    """A source as text that sorts by code point, null after all others and unlike any of them."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("\U0010ffff"))
-    return docs.select("doc_id", "source", key.alias("key"), F.regexp_count(text_col(), F.lit(WORD)).cast("long").alias("size"))
+    """doc_id, source, key, size, same (hash of the text), row (a number of the row's own)."""
+    return docs.select(
+        "doc_id", "source", key_of("source").alias("key"), F.regexp_count(text_col(), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(text_col()).alias("same"), F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def ordered(df: DataFrame, order: list, **sums) -> DataFrame:
+    """df with `place`, the rank of a row, and the named sums up to it, by ranges of the order; only a row per range is in one task."""
+    df = cut(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
+    sums = {"place": F.lit(1)} | sums
+    each = df.groupBy("range_").agg(*[F.sum(x).alias(f"{k}_before") for k, x in sums.items()])
+    earlier = W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    before = each.select("range_", *[F.coalesce(F.sum(f"{k}_before").over(earlier), F.lit(0)).alias(f"{k}_before") for k in sums])
+    upto = W.partitionBy("range_").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    added = [(F.col(f"{k}_before") + F.sum(x).over(upto)).alias(k) for k, x in sums.items()]
+    return df.join(before, "range_").select(*[c for c in df.columns if c != "range_"], *added)
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, pool: float = POOL, most: float = MOST) -> DataFrame:
     """key, source_size, n, target: the pool shared by weight, no source above `most` times its size.
 
-    One row per source is ordered here, never documents. The level t at which
-    sum(min(most * size, weight * t)) meets the pool is found from prefix sums over the order in
-    which sources reach their limit, which is where resharing the excess again and again ends.
+    The level t at which sum(min(most * size, weight * t)) meets the pool is found from prefix sums
+    over the order in which sources reach their limit, which is where resharing the excess again and
+    again ends.
     """
-    s = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n"))
-    place = F.row_number().over(W.orderBy("key")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    s = s.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most))
-    s = cut(s, "sources")
-    order = W.orderBy(F.col("cap") / F.col("weight"), "key")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    after = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    total = F.sum("source_size").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    t = (total * float(pool) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    level = s.withColumn("t", t).withColumn("place", F.row_number().over(order)).filter(F.col("cap") >= F.col("weight") * F.col("t")).agg(F.min_by("t", "place")).first()[0]
+    s = ordered(rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n")), [F.col("key")])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    s = s.select("key", "source_size", "n", weight.alias("weight"), (F.col("source_size") * float(most)).alias("cap"))
+    s = cut(s.withColumn("reached", F.col("cap") / F.col("weight")), "sources")
+    total, all_weights = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    o = ordered(s, [F.col("reached"), F.col("key")], caps=F.col("cap"), weights=F.col("weight"))
+    t = (F.lit(float(pool) * (total or 0)) - (F.col("caps") - F.col("cap"))) / (F.lit(all_weights or 0.0) - (F.col("weights") - F.col("weight")))
+    level = o.withColumn("t", t).filter(F.col("cap") >= F.col("weight") * F.col("t")).agg(F.min_by("t", "place")).first()[0]
     share = F.col("cap") if level is None else F.least(F.col("cap"), F.col("weight") * F.lit(float(level)))
     return s.select("key", "source_size", "n", share.alias("target"))
 
@@ -94,73 +114,80 @@ def tilts(hist: DataFrame, sources: DataFrame, most: float = MOST, steps: int =
     return state.select(*names, "lam")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, pool: float = POOL, most: int = MOST, repairs: int = 8) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken for each row of `docs` (doc_id, source, text)."""
-    spark = docs.sparkSession
+def repairs(cells: DataFrame, most: int) -> DataFrame | None:
+    """key, size, copies, delta: documents with these to be given one copy more or less, one for each row; None if there are none.
+
+    cells: key, size, copies, c (how many such documents), target (of the source).
+    """
+    cells = cut(cells, "cells")
+    gaps = cells.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size") * F.col("c"))).alias("gap"))
+    fixes = None
+    while True:
+        rest, now = cells, gaps
+        if fixes is not None:
+            rest = cells.join(fixes, ["key", "size", "copies"], "left_anti")
+            done = fixes.groupBy("key").agg(F.sum(F.col("delta") * F.col("size")).alias("done"))
+            now = gaps.join(done, "key", "left").select("key", (F.col("gap") - F.coalesce("done", F.lit(0))).alias("gap"))
+        left = F.abs(F.abs("gap") - F.col("size"))
+        able = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+        best = rest.join(now, "key").filter(able & (left < F.abs("gap"))).groupBy("key").agg(F.min(F.struct(left.alias("left"), "size", "copies", F.signum("gap").cast("int").alias("delta"))).alias("x"))
+        best = cut(best.select("key", "x.size", "x.copies", "x.delta"), "fix")
+        if best.isEmpty():
+            return fixes
+        fixes = best if fixes is None else cut(fixes.unionByName(best), "fixes")
+
+
+def _mix(docs: DataFrame, weights=WEIGHTS, pool: float = POOL, most: int = MOST) -> DataFrame:
+    """doc_id, source, same, size, source_size, target, rate, copies for each row of `docs`."""
     rows = cut(sizes(docs), "sizes")
-    targets = source_targets(rows, weights, pool, most)
+    total = rows.count()
+    targets = cut(source_targets(rows, weights, pool, most), "targets")
     hist = cut(rows.filter("size > 0").groupBy("key", "size").agg(F.count("*").alias("c")), "hist")
-    tilted = tilts(hist, cut(targets, "targets"), most)
+    tilted = tilts(hist, targets, most)
     sources = cut(targets.join(tilted.select("key", "mean", "lam"), "key", "left"), "tilted")
 
-    rate = F.coalesce(F.least(F.lit(float(most)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(1.0) * F.log(F.lit(float(most)))))), F.lit(0.0))
-    rate = F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0))
+    rate = F.coalesce(F.least(F.lit(float(most)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.log(F.lit(float(most)))))), F.lit(0.0))
     # runs: size classes of a factor 2 ** (1/4), dealt into as many parts as their rows need
-    steps = F.when(F.col("size") > 0, F.floor(F.log2("size") * 4)).otherwise(F.lit(-1)).cast("int")
-    parts = hist.withColumn("step", steps).groupBy("key", "step").agg(F.ceil(F.sum("c") / RUN).alias("parts"))
-    placed = (
-        rows.filter("size > 0").join(sources.select("key", "source_size", "target", "mean", "lam"), "key").withColumn("step", steps).join(parts, ["key", "step"])
-        .withColumn("rate", rate).withColumn("h", F.xxhash64("doc_id", "size", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", "key", F.lit(2)), F.col("parts")))
-    )
+    step = F.floor(F.log2("size") * 4).cast("int")
+    parts = hist.withColumn("step", step).groupBy("key", "step").agg(F.sum("c").alias("of_step"), F.ceil(F.sum("c") / RUN).alias("parts"))
+    parts = cut(parts.join(sources.select("key", "source_size", "target", "mean", "lam"), "key"), "parts")
+    # rows without an id differ by their own number
+    draw = lambda seed: F.xxhash64("doc_id", "same", F.when(F.col("doc_id").isNull(), F.col("row")), F.lit(seed))
+    placed = join_by_size(rows.filter("size > 0").withColumn("step", step), parts, ["key", "step"], "of_step", total)
+    placed = cut(placed.withColumns({"rate": rate, "h": draw(1), "part": F.pmod(draw(2), F.col("parts"))}).drop("mean", "lam", "parts", "of_step"), "placed")
     totals = placed.groupBy("key", "step", "part").agg(F.sum("rate").alias("r"))
     runs = totals.withColumn("before", F.coalesce(F.sum("r").over(W.partitionBy("key").orderBy(F.desc("step"), "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).drop("r")
-    order = W.partitionBy("key", "step", "part").orderBy(F.desc("size"), "h", "doc_id")
+    order = W.partitionBy("key", "step", "part").orderBy(F.desc("size"), "h", "row")
     upto = F.col("before") + F.sum("rate").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     copies = F.least(F.lit(most), F.greatest(F.lit(0), (F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("rate") + 0.5)).cast("int")))
-    first = cut(
-        placed.join(runs, ["key", "step", "part"]).withColumn("upto", upto).withColumn("place", F.row_number().over(order))
-        .select("doc_id", "source", "key", "step", "part", "place", "size", "source_size", "target", "rate", copies.alias("copies")),
-        "copies",
-    )
-    at = ["key", "step", "part", "place"]
-    fixes, path = None, None
-    for _ in range(repairs):
-        now = first if fixes is None else _with_fixes(first, fixes, at)
-        gap = now.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-        sign = F.signum("gap").cast("int")
-        left = F.abs(F.abs("gap") - F.col("size"))
-        able = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-        best = (
-            now.join(gap, "key").filter(able & (left < F.abs("gap"))).groupBy("key")
-            .agg(F.min(F.struct(left.alias("left"), "step", "part", "place", sign.alias("delta"))).alias("x"))
-            .select("key", "x.step", "x.part", "x.place", "x.delta")
-        )
-        best = cut(best, "fix")
-        if best.isEmpty():
-            break
-        fixes = best if fixes is None else fixes.unionByName(best)
-        fixes = cut(fixes.groupBy(*at).agg(F.sum("delta").cast("int").alias("delta")), "fixes")
-    done = first if fixes is None else _with_fixes(first, fixes, at)
-    cols = ["doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")]
-    empty = rows.filter("size = 0").join(sources.select("key", "source_size", "target"), "key").withColumns({"rate": F.lit(0.0), "copies": F.lit(0)})
+    done = cut(placed.join(runs, ["key", "step", "part"]).withColumn("upto", upto).withColumn("copies", copies).drop("before", "upto", "step", "part"), "copies")
+    fixes = repairs(done.groupBy("key", "size", "copies").agg(F.count("*").alias("c"), F.first("target").alias("target")), most)
+    if fixes is not None:
+        chosen = done.join(small(fixes), ["key", "size", "copies"]).groupBy("key", "size", "copies").agg(F.min(F.struct("h", "row", "delta")).alias("x"))
+        chosen = small(cut(chosen.select("x.row", "x.delta"), "chosen"))
+        done = done.join(chosen, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("delta", F.lit(0)))
+    cols = ["doc_id", "source", "same", "size", "source_size", "target", "rate", "copies"]
+    none = rows.filter("size = 0").groupBy("key").agg(F.count("*").alias("none")).join(sources, "key")
+    empty = join_by_size(rows.filter("size = 0"), none, "key", "none", total).withColumns({"rate": F.lit(0.0), "copies": F.lit(0)})
     return done.select(cols).unionByName(empty.select(cols))
 
 
-def _with_fixes(rows: DataFrame, fixes: DataFrame, at: list[str]) -> DataFrame:
-    return rows.join(fixes, at, "left").withColumn("copies", F.col("copies") + F.coalesce("delta", F.lit(0))).drop("delta")
+def mix(docs: DataFrame, weights=WEIGHTS, pool: float = POOL, most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken for each row of `docs` (doc_id, source, text)."""
+    return _mix(docs, weights, pool, most).drop("same").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs`, all columns, each as many times as the mix takes it."""
-    size = F.regexp_count(text_col(), F.lit(WORD)).cast("long")
-    same = ["__id", "__source", "__size"]
-    keys = lambda df, n: df.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__source": F.coalesce("source", F.lit("\U0010ffff")), "__size": n})
-    # rows that agree in id, source and size are told apart by their rank
-    ranked = keys(docs, size).withColumn("__k", F.row_number().over(W.partitionBy(*same).orderBy(F.xxhash64("text"))))
-    taken = keys(mix(docs, **how).filter("copies > 0").select("doc_id", "source", "size", "copies"), F.col("size"))
-    taken = taken.withColumn("__k", F.row_number().over(W.partitionBy(*same).orderBy(F.desc("copies")))).select(*same, "__k", F.col("copies").alias("__copies"))
-    return ranked.join(taken, [*same, "__k"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    own = free_names(docs.columns, "of", "from", "like", "rank", "copies", "copy")
+    of, origin, like, rank, copies, copy = own
+    keys = lambda df, same: df.withColumns({of: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), origin: key_of("source"), like: same})
+    # rows that repeat id, source and text are told apart by their rank; any of them may have any one's copies
+    at = W.partitionBy(of, origin, like)
+    ranked = keys(docs, F.xxhash64(text_col())).withColumn(rank, F.row_number().over(at.orderBy(like)))
+    taken = keys(_mix(docs, **how).filter("copies > 0").select("doc_id", "source", "same", F.col("copies").alias(copies)), F.col("same"))
+    taken = taken.withColumn(rank, F.row_number().over(at.orderBy(F.desc(copies)))).select(of, origin, like, rank, copies)
+    return ranked.join(taken, [of, origin, like, rank]).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
