@@ -5,16 +5,17 @@ form a grid of cells, and every vector is in one. A vector visits the cells near
 order of its summed distances to both codes (the multi-sequence order), and is compared with all
 vectors of each cell it visits, by cosine in double precision. How many cells are visited is fitted
 to a target recall on pairs made at the threshold itself, so that it holds where links are rare, and
-on the links of sample queries to all other vectors; the larger number counts.
+on the links of sample queries to all other vectors; the larger number counts. Vectors of each length
+have an index of their own, of a single cell where there are few of them.
 
 Copies of a vector are one class throughout. A pair is met in the cell of either vector that the
 other one visits and counted once for each; large cells are dealt into blocks, each pair of blocks
 a group of its own. Only counts and stars leave a group, never pairs.
 
-Defined results: vectors that are null, empty, zero, hold null or non-finite components or differ
-from the commonest length have no links and are components of their own; null vec_ids keep their
-rows and are a component's id only where no other is; repeated rows are copies of each other; an
-empty table gives an empty frame; other columns, labels too, are ignored.
+Defined results: vectors that are null, empty, zero or hold null or non-finite components have no
+links and are components of their own; vectors of different lengths have none with each other; null
+vec_ids keep their rows and are a component's id only where no other is; repeated rows are copies of
+each other; an empty table gives an empty frame; other columns, labels too, are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +33,21 @@ from .common import cut, join_by_size, with_components
 from .jaccard_join import _changes, by_group, least_labels
 
 COSINE = 0.95
-#: Vectors that the codebooks, and pairs of each kind made at the threshold that the number of visits, are fitted on, at most.
-SAMPLE, PAIRS = 8192, 8192
+#: Vectors of a length that the codebooks, and pairs of each kind made at the threshold that the number of visits, are fitted on, at most.
+SAMPLE, PAIRS = 16384, 8192
 #: Queries held against all vectors; more of them where the first have fewer than LINKS links.
 QUERIES, LINKS = (256, 2048), 1000
 RECALL = 0.999
-#: Vectors of an average cell, and most codes of a half.
-CELL, CODES = 32, 1024
+#: Vectors of an average cell, and most codes of a half: a quarter of the sample.
+CELL, CODES = 32, 4096
+#: Vectors of a length up to which they are one cell: nothing is fitted.
+FEW = 1024
 BLOCK = 1500
 
 
 def unit_rows(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -106,34 +111,39 @@ class MultiIndex:
         return np.minimum(self.rank(x, self.own(y)), self.rank(y, self.own(x)))
 
 
-def vectors_of(b: pa.RecordBatch, dims: int | None = None) -> list[bytes | None]:
-    """float32 bytes of each usable vector of a list column."""
-    out: list[bytes | None] = []
-    for v in b:
-        x = None
-        if v.is_valid and len(v.values) and not v.values.null_count and (dims is None or len(v.values) == dims):
-            x = v.values.to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)  # -0 is 0
-            if not np.isfinite(x).all() or not x.any():
-                x = None
-        out.append(None if x is None else x.tobytes())
-    return out
+def packed(v) -> bytes | None:
+    """Bytes of a usable vector, in single precision where that holds it whole; None of others."""
+    if not v.is_valid or not len(v.values) or v.values.null_count:
+        return None
+    x = v.values.to_numpy(zero_copy_only=False) + 0.0  # -0 is 0
+    if not np.isfinite(x).all() or not x.any():
+        return None
+    with np.errstate(over="ignore", under="ignore"):
+        y = x.astype(np.float32)
+    return y.tobytes() if (y == x).all() else x.tobytes()
 
 
 def read_vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, node (digest, null where unusable), vec."""
-    dims = embeddings.groupBy(F.size("embedding").alias("n")).count().filter("n > 0").agg(F.max_by("n", F.struct("count", "n"))).first()[0]
+    """vec_id, node (digest, null where unusable), dims, vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = vectors_of(b.column(1), dims)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x and xxhash.xxh3_128_digest(x) for x in v], pa.binary()), pa.array(v, pa.binary())], names=["vec_id", "node", "vec"])
+            v = [packed(x) for x in b.column(1)]
+            nodes = [None if x is None else xxhash.xxh3_128_digest(x) for x in v]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pc.list_value_length(b.column(1)).cast(pa.int32()), pa.array(v, pa.binary())], names=["vec_id", "node", "dims", "vec"])
 
-    return embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>")).mapInArrow(run, "vec_id bigint, node binary, vec binary")
+    return embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id bigint, node binary, dims int, vec binary")
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    n = len(column)
-    return unit_rows(np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(n, -1))
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Unit vectors of one length."""
+    raw = column.to_pylist()
+    out = np.empty((len(raw), dims))
+    double = np.array([len(x) == 8 * dims for x in raw], bool)
+    for kind, some in ((np.float64, double), (np.float32, ~double)):
+        if some.any():
+            out[some] = np.frombuffer(b"".join([raw[k] for k in np.flatnonzero(some)]), kind).reshape(-1, dims)
+    return unit_rows(out) if len(raw) else out
 
 
 def turned(x: np.ndarray, towards: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -159,19 +169,20 @@ def visits_at(index: MultiIndex, points: np.ndarray, cosine: float, recall: floa
 def visits_for(classes: DataFrame, index, nodes: list[bytes], queries: np.ndarray, cosine: float, recall: float) -> tuple[int, int]:
     """Cells to visit so that `recall` of the links of the queries to all other vectors are met, and how many links there are."""
     shared = classes.sparkSession.sparkContext.broadcast((queries, {x: k for k, x in enumerate(nodes)}))
+    dims = queries.shape[1]
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, place = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                x = matrix(part.column(1))
+                x = matrix(part.column(1), dims)
                 own = np.array([place.get(y, -1) for y in part.column(0).to_pylist()])
                 i, j = np.nonzero((x @ q.T >= cosine) & (own[:, None] != np.arange(len(q))[None, :]))
                 for k in range(0, len(i), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(index.value.met(x[i[k : k + 20_000]], q[j[k : k + 20_000]]))], names=["rank"])
 
-    seen = classes.select("node", "vec").mapInArrow(ranks, "rank bigint").groupBy("rank").count().orderBy("rank").collect()  # a row per rank
+    seen = classes.filter(F.col("dims") == dims).select("node", "vec").mapInArrow(ranks, "rank bigint").groupBy("rank").count().orderBy("rank").collect()  # a row per rank
     total, upto = sum(r["count"] for r in seen), 0
     for r in seen:
         upto += r["count"]
@@ -180,49 +191,60 @@ def visits_for(classes: DataFrame, index, nodes: list[bytes], queries: np.ndarra
     return 2, total
 
 
-def fitted_visits(classes: DataFrame, index, nodes: list[bytes], points: np.ndarray, cosine: float, recall: float) -> int:
-    n = visits_at(index.value, points[-PAIRS:], cosine, recall)
+def fitted(classes: DataFrame, dims: int, n: int, cosine: float, recall: float) -> tuple[MultiIndex, int]:
+    """Index of the n vectors of a length and the number of cells to visit."""
+    drawn = classes.filter(F.col("dims") == dims).orderBy(F.xxhash64("node")).limit(SAMPLE + PAIRS).select("node", "vec").toArrow().combine_chunks()
+    points, nodes = matrix(drawn.column("vec").combine_chunks(), dims), drawn.column("node").to_pylist()
+    sample = points[:SAMPLE]
+    index = MultiIndex(sample, int(np.clip(np.sqrt(n / CELL), 1, min(CODES, max(1, len(sample) // 4)))))
+    visits = visits_at(index, points[-PAIRS:], cosine, recall)
+    shared = classes.sparkSession.sparkContext.broadcast(index)
     for queries in QUERIES:
-        real, links = visits_for(classes, index, nodes[-queries:], points[-queries:], cosine, recall)
+        real, links = visits_for(classes, shared, nodes[-queries:], points[-queries:], cosine, recall)
         if links >= LINKS or queries >= len(nodes):
             break
-    return max(n, real)
+    return index, max(visits, real)
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of `embeddings` (vec_id, embedding)."""
     spark = embeddings.sparkSession
     rows = cut(read_vectors(embeddings), "vectors")
-    classes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.max("vec").alias("vec")), "vector-classes")
-    drawn = classes.orderBy(F.xxhash64("node")).limit(SAMPLE + PAIRS).select("node", "vec").toArrow().combine_chunks()
-    sample = drawn.column("vec").combine_chunks()
-    if not len(sample):
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    codes = int(np.clip(np.sqrt(classes.count() / CELL), 1, min(CODES, max(1, min(SAMPLE, len(sample)) // 4))))
-    points = matrix(sample)
-    index = spark.sparkContext.broadcast(MultiIndex(points[:SAMPLE], codes))
-    n = fitted_visits(classes, index, drawn.column("node").to_pylist(), points, cosine, recall)
+    classes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.max("dims").alias("dims"), F.max("vec").alias("vec")), "vector-classes")
+    # lengths above FEW vectors: an index each
+    large = classes.groupBy("dims").count().filter(F.col("count") > FEW).orderBy("dims").collect()
+    made = spark.sparkContext.broadcast({r["dims"]: fitted(classes, r["dims"], r["count"], cosine, recall) for r in large})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                cells = index.value.visits(matrix(part.column(2)), n).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(cells), pa.list_(pa.int32()))], names=["node", "size", "vec", "cells"])
-
-    placed = classes.select("node", "size", "vec").mapInArrow(place, "node binary, size bigint, vec binary, cells array<int>").withColumn("own", F.col("cells")[0])
-    seekers = placed.select("node", "size", "vec", "own", F.explode("cells").alias("cell"))
-    population = placed.groupBy(F.col("own").alias("cell")).agg(F.count("*").alias("n_own")).join(seekers.groupBy("cell").agg(F.count("*").alias("n_seek")), "cell")
-    blocks = population.select("cell", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("own_blocks"), F.ceil(F.col("n_seek") / BLOCK).cast("int").alias("seek_blocks"))
+            dims = b.column("dims").to_numpy()
+            for d in np.unique(dims).tolist():
+                own = b.take(pa.array(np.flatnonzero(dims == d)))
+                index, n = made.value.get(d, (None, 1))
+                # the order of a vector's nearest cells takes about n ln n numbers
+                step = own.num_rows if index is None else max(1, min(2000, 8_000_000 // int(n * np.log(n + 2) + 1)))
+                for at in range(0, own.num_rows, step):
+                    part = own.slice(at, step)
+                    cells = np.zeros((part.num_rows, 1), np.int32) if index is None else index.visits(matrix(part.column("vec"), d), n).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(cells), pa.list_(pa.int32()))], names=["node", "size", "dims", "vec", "cells"])
+
+    placed = cut(classes.select("node", "size", "dims", "vec").mapInArrow(place, "node binary, size bigint, dims int, vec binary, cells array<int>").withColumn("own", F.col("cells")[0]), "placed-vectors")
+    cell = ["dims", "cell"]
+    seekers = placed.select("node", "size", "dims", "vec", "own", F.explode("cells").alias("cell"))
+    sought = placed.select("dims", F.explode("cells").alias("cell")).groupBy(*cell).agg(F.count("*").alias("n_seek"))
+    population = placed.groupBy("dims", F.col("own").alias("cell")).agg(F.count("*").alias("n_own")).join(sought, cell)
+    blocks = cut(population.select("*", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("own_blocks"), F.ceil(F.col("n_seek") / BLOCK).cast("int").alias("seek_blocks")), "cell-blocks")
+    total, all_seekers = (int(x or 0) for x in blocks.agg(F.sum("n_own"), F.sum("n_seek")).first())
     h = F.xxhash64("node")
     to = lambda a, other, x, y: [F.pmod(h, F.col(a)).cast("int").alias(x), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(y)]
-    names = ["cell", "bi", "bj", "base", "node", "size", "vec", "own", "cells"]
-    members = placed.withColumn("cell", F.col("own")).join(blocks, "cell").select("*", *to("own_blocks", "seek_blocks", "bi", "bj")).withColumn("base", F.lit(True)).select(names)
-    visitors = seekers.join(blocks, "cell").select("*", *to("seek_blocks", "own_blocks", "bj", "bi")).withColumns({"base": F.lit(False), "cells": F.lit(None).cast("array<int>")}).select(names)
+    names = ["dims", "cell", "bi", "bj", "base", "node", "size", "vec", "own", "cells"]
+    members = join_by_size(placed.withColumn("cell", F.col("own")), blocks, cell, "n_own", total).select("*", *to("own_blocks", "seek_blocks", "bi", "bj")).withColumn("base", F.lit(True)).select(names)
+    visitors = join_by_size(seekers, blocks, cell, "n_seek", all_seekers).select("*", *to("seek_blocks", "own_blocks", "bj", "bi")).withColumns({"base": F.lit(False), "cells": F.lit(None).cast("array<int>")}).select(names)
+    keys = ["dims", "cell", "bi", "bj"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ["cell", "bi", "bj"], 4000):
-            first = _changes(t, ["cell", "bi", "bj"])
+        for t in by_group(batches, keys, 4000):
+            first = _changes(t, keys)
             for s, e in zip(first, np.append(first[1:], t.num_rows), strict=True):
                 g = t.slice(s, e - s)
                 base = g.column("base").to_numpy()
@@ -231,7 +253,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
                     continue
                 node = g.column("node").to_pylist()
                 size, own = g.column("size").to_numpy(), g.column("own").to_numpy()
-                x = matrix(g.column("vec").combine_chunks())
+                x = matrix(g.column("vec").combine_chunks(), g.column("dims")[0].as_py())
                 a, b = np.nonzero(x[i] @ x[j].T >= cosine)
                 a, b = i[a], j[b]
                 place = {y: k for k, y in enumerate(dict.fromkeys(node))}
@@ -240,22 +262,21 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
                 a, b = a[other], b[other]
                 links = np.bincount(who[a], size[b], len(place))
                 # the vector of the cell counts a visitor itself where it does not visit the visitor's cell
-                cells = g.column("cells")
-                visited = {k: set(cells[int(k)].as_py()) for k in np.unique(b)}
-                unseen = np.array([own[p] not in visited[q] for p, q in zip(a, b, strict=True)], bool)
+                cells = g.column("cells").combine_chunks()
+                parents, values = pc.list_parent_indices(cells).to_numpy().astype(np.int64), cells.flatten().to_numpy().astype(np.int64)
+                unseen = ~np.isin(b * (1 << 32) + own[a], parents * (1 << 32) + values)
                 links += np.bincount(who[b[unseen]], size[a[unseen]], len(place))
                 label = least_labels(len(place), who[a], who[b])
                 known = list(place)
                 some = np.flatnonzero(links > 0)
                 yield pa.RecordBatch.from_arrays([pa.array([known[k] for k in some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array([known[k] for k in label[some]], pa.binary())], names=["node", "links", "root"])
 
-    keys = ["cell", "bi", "bj"]
     links = cut(members.unionByName(visitors).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "node binary, links bigint, root binary"), "vector-links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     linked = cut(with_components(counts.select(F.col("node").alias("id")), joined), "vector-components").withColumnRenamed("id", "node")
-    heads = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = linked.join(heads, "component").join(counts, "node").select("node", "component_id", "links")
+    heads = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("of"))
+    found = join_by_size(linked, heads, "component", "of", linked.count()).join(counts, "node").select("node", "component_id", "links")
     n_links = F.coalesce("links", F.lit(0)) + F.col("size") - 1
     table = cut(classes.select("node", "rep", "size").join(found, "node", "left").select("node", "size", n_links.cast("bigint").alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "vector-table")
     together = join_by_size(rows.filter("node is not null").select("vec_id", "node"), table, "node", "size", rows.count())

@@ -66,11 +66,26 @@ def test_exact_dedup(spark, docs, rows, empty):
     again = exact_dedup.DigestIndex(spark, index.path, 4)
     second = exact_dedup.exact_dedup(docs.filter("doc_id = 7004").withColumn("doc_id", F.lit(99999).cast("long")), again).first()
     assert second.keep_id == 7005 and not second.kept and again.rows().count() == len(n)
-    kept = exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark, new_path(spark, "t6b"), 4))
+    kept = exact_dedup.keep_first(docs.withColumns({"kept_id": F.lit(1), "same": F.lit("x"), "DIGEST_": F.lit(b"y")}), exact_dedup.DigestIndex(spark, new_path(spark, "t6b"), 4)).drop("kept_id", "same", "DIGEST_")
     assert kept.columns == docs.columns and Counter(r.text or "" for r in kept.collect()) == Counter(dict.fromkeys(n, 1))
     assert exact_dedup.exact_dedup(empty, exact_dedup.DigestIndex(spark, new_path(spark, "t6c"), 4)).count() == 0
 
 
+def test_index_deals_itself_into_more_buckets(spark):
+    """Ten batches into an index of small buckets: the same answers as one set, and buckets that follow its size."""
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "t6g"), 2, bucket_rows=60, bucket_files=3)
+    seen: dict[str, int] = {}
+    for k in range(5):
+        batch = [(1000 * k + i, f"text {(37 * k + i) % 300}") for i in range(120)]
+        got = exact_dedup.exact_dedup(spark.createDataFrame(batch, "doc_id long, text string"), index).collect()
+        for i, t in batch:
+            seen.setdefault(t, i)
+        assert {(r.doc_id, r.keep_id) for r in got} == {(i, seen[t]) for i, t in batch}
+    assert index.buckets >= 8 and index.version > 0 and index.rows().count() == len(seen)
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert (again.version, again.buckets, again.rows().count()) == (index.version, index.buckets, len(seen))
+
+
 def test_anti_join_reads_the_index_without_a_shuffle(spark, docs):
     index = exact_dedup.DigestIndex(spark, new_path(spark, "t6d"), 4)
     exact_dedup.exact_dedup(docs, index).count()
@@ -317,6 +332,7 @@ def test_embedding_dedup(spark, monkeypatch, block):
     x[400:440] = x[400] + rng.normal(size=(40, 16)) * 0.1
     x = x.astype(np.float32)
     odd = [(9000, None), (9001, []), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [None] + [1.0] * 15), (9005, [1.0] * 3), (None, [5.0] * 16)]
+    monkeypatch.setattr(embedding_dedup, "FEW", 100)
     df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "node": F.lit("n"), "size": F.lit(2)})
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
@@ -332,6 +348,25 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_any_length_and_size(spark, monkeypatch):
+    """Lengths are indexed apart, a codebook or none; doubles keep their precision and range."""
+    monkeypatch.setattr(embedding_dedup, "FEW", 50)
+    rng = np.random.default_rng(8)
+    long = rng.normal(size=(200, 6))
+    long[100:150] = long[:50] * 1e-290  # the same directions, far smaller
+    rows = [(i, v.tolist()) for i, v in enumerate(long)]
+    rows += [(1000, [1e300, 1e300]), (1001, [1e300, 1e300]), (1002, [1e-310, 1e-310]), (1003, [1.0, -1.0]), (1004, [1.0, 1.0, 1.0]), (1005, [2.0, 2.0, 2.0]), (1006, [3.0]), (1007, [-3.0]), (1008, [float("inf"), 1.0])]
+    rows += [(1009, [1.0, 1e-9]), (1010, [1.0, 2e-9])]  # alike in single precision at most
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    with np.errstate(over="ignore"):
+        for i, v in rows:
+            unit = lambda x: (y := np.array(x) / np.abs(x).max()) / np.linalg.norm(y)
+            near = [j for j, w in rows if j != i and len(w) == len(v) and np.isfinite(v).all() and np.isfinite(w).all() and unit(v) @ unit(w) >= 0.95]
+            assert got[i][0] == len(near), i
+    assert got[1002] == (2, 1000) and got[1005] == (1, 1004) and got[1010] == (1, 1009)
+
+
 def test_embedding_dedup_meets_rare_links(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL", 1)
     rng = np.random.default_rng(9)
