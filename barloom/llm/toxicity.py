@@ -37,7 +37,8 @@ CATEGORIES = {"low_quality": "cast(quality = 0 as int)", "toxic": "cast(toxic =
 REJECT, AT = "toxic", 0.5
 WORDS = re.compile(r"\w+")
 STARTS = (4, 5, 6)
-CACHE = 400_000
+#: Words that a scoring task remembers, at most: about 25 MB.
+CACHE = 100_000
 
 
 def features(chunk: str) -> set[str]:
