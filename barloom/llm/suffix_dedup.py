@@ -6,14 +6,18 @@ anchors at equal places, so each string belongs to one anchor and is looked for
 occurrences of that anchor alone:
 1. Anchors are found in one pass over the bytes; those that occur once are dropped by a grouped
    count, with map-side combining.
-2. Occurrences whose whole surroundings are equal are classes: what they cover is repeated. One of
-   each class goes on, so copies of any number are one row.
+2. Occurrences whose whole surroundings are equal (in two 64-bit hashes, of the anchor and of all
+   bytes around it) are classes: what they cover is repeated. One of each class goes on, so copies of
+   any number are one row.
 3. The suffixes that start at the occurrences of an anchor are sorted, and the bytes that precede
    them are the Burrows-Wheeler columns. Intervals of the sorted suffixes are extended backwards
    one byte at a time, breadth first over all anchors of a task at once; the common prefixes of
    neighbours and the bytes prepended so far add up to the common length of a level, and intervals
    that can no longer reach `length` stop.
-An anchor with more classes than a task should hold is handled exactly by counting its strings.
+A group with more classes than a task should hold is split by where in a string its anchor lies: strings
+with between x and y bytes before it share the bytes from x before it to length - y behind its start, so
+each half of the places gives groups of its own by those bytes, and so on. Where one place is left, the
+shared bytes are the whole string, and all of a group repeat it.
 
 Defined results: null text is empty; nothing shorter than `length` is removed; documents with null or
 repeated doc_ids keep a row each; rows that repeat both id and text are copies of each other; an
@@ -22,7 +26,6 @@ empty table gives an empty frame; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_size, text_col
+from .common import cut, join_by_size, small, text_col
 from .jaccard_join import _changes, by_group
 from .shingles import BASE, BYTE, U, _powers, mix, utf8
 
 LENGTH, GRAM = 200, 32
 #: Bytes handled at once; longer texts are read in parts that overlap by length - 1.
 PART = 1 << 20
-#: Classes of an anchor that one task sorts, at most; the others are counted string by string.
-GIANT = 20_000
-ANCHORS = "h bigint, c bigint, k bigint, a bigint, lo smallint, hi smallint"
+#: Classes of a group that one task sorts, at most; larger groups are split.
+GROUP = 20_000
+ANCHORS = "h bigint, c bigint, i bigint, k bigint, a bigint, lo smallint, hi smallint"
+#: A row's identity: its id, or the least number where there is none, and a hash of id and text.
+KEY = ["i", "k"]
 
 
 def doc_key(docs: DataFrame):
-    """Rows with the same key have the same id and text."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_col()).alias("k"))
+    """doc_id, text and KEY; rows with the same key have the same id and text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text"))
+    return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").alias("k"))
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -94,18 +100,18 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int =
     return text, g[a].view(np.int64), c.view(np.int64), a, lo, hi
 
 
-def parts(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, begin, end, row, offset in the row's text) for about PART bytes at a time; every string of `length` bytes starts in one."""
+def parts(column: pa.Array, length: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, begin, end, row, offset in the row's text) for about `part` bytes at a time; every string of `length` bytes starts in one."""
     data, offsets = utf8(column)
     held: list[tuple[int, int, int]] = []
     size = 0
     for row, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         at = s
         while e - at >= length or at == s:
-            stop = min(e, at + PART)
+            stop = min(e, at + part)
             held.append((row, at, stop))
             size += stop - at
-            if size >= PART:
+            if size >= part:
                 yield _joined(data, offsets, held)
                 held, size = [], 0
             if stop == e:
@@ -121,15 +127,16 @@ def _joined(data, offsets, held):
     return np.concatenate([data[x:y] for x, y in zip(s, e, strict=True)]), end - (e - s), end, row, s - offsets[row]
 
 
-def find_anchors(keyed: DataFrame, length: int) -> DataFrame:
+def find_anchors(keyed: DataFrame, length: int, part: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.column(1).to_numpy()
-            for data, begin, end, row, offset in parts(b.column(0), length):
+            i, k = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for data, begin, end, row, offset in parts(b.column(0), length, part):
                 text, h, c, a, lo, hi = anchors(data, begin, end, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(k[row[text]]), pa.array(a - begin[text] + offset[text]), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], names=["h", "c", "k", "a", "lo", "hi"])
+                cols = [h, c, i[row[text]], k[row[text]], a - begin[text] + offset[text], lo.astype(np.int16), hi.astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "c", *KEY, "a", "lo", "hi"])
 
-    return keyed.select("text", "k").mapInArrow(run, ANCHORS)
+    return keyed.select("text", *KEY).mapInArrow(run, ANCHORS)
 
 
 def least_between(values: np.ndarray):
@@ -205,64 +212,79 @@ def spans_of(marks: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray,
     return row, a[row] - last, a[row] - first + length
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """k, spans (array of start and end in bytes, which may overlap) for the keys of `doc_key(docs)` that have any."""
+def split_groups(around: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with a group `g` of GROUP rows at most, rows of a string that repeats: KEY, start, end).
+
+    x, y: the strings looked for in a group have between x and y bytes before the anchor; bytes: from
+    lo before the anchor to length - hi behind it.
+    """
+    rows = around.withColumns({"g": F.xxhash64("h"), "x": F.lit(0), "y": F.lit(length - GRAM)})
+    done, repeated = None, None
+    while True:
+        # one row for every GROUP rows at most
+        giant = cut(rows.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("g"), "giant-groups")
+        if giant.isEmpty():
+            return rows if done is None else done.unionByName(rows), repeated
+        ready, big = rows.join(small(giant), "g", "left_anti"), rows.join(small(giant), "g", "left_semi")
+        done = ready if done is None else done.unionByName(ready)
+        middle = F.floor((F.col("x") + F.col("y")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("x").alias("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("y").alias("y")))
+        split = big.withColumn("half", F.explode(halves)).withColumns({"x": F.col("half.x"), "y": F.col("half.y")}).drop("half").filter("hi <= y AND lo >= x AND x <= y")
+        core = F.expr(f"substring(bytes, lo - x + 1, {length} - y + x)")
+        split = cut(split.withColumn("core", F.when(F.col("x") == F.col("y"), core)).withColumn("g", F.xxhash64("h", "x", "y", core)), "split-groups")
+        # one place left: the string itself, compared whole
+        strings = split.filter("x = y")
+        often = cut(strings.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-strings")
+        hits = join_by_size(strings, often, "core", "n", strings.count()).select(*KEY, (F.col("a") - F.col("x")).alias("start"), (F.col("a") - F.col("x") + length).alias("end"))
+        repeated = hits if repeated is None else repeated.unionByName(hits)
+        rows = split.filter("x < y").drop("core")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, part: int = PART) -> DataFrame:
+    """KEY and spans (array of start and end in bytes, which may overlap) for the keys of `doc_key(docs)` that have any."""
     keyed = doc_key(docs)
-    found = find_anchors(keyed, length)
+    found = cut(find_anchors(keyed, length, part), "anchors")
     often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
     often = cut(often, "repeated")  # a table, so that Spark may split the rows of a very common anchor in the join
-    rows = cut(found.join(often, "h"), "anchors")
-    classes = cut(rows.groupBy("h", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("k", "a", "lo", "hi")).alias("m")), "anchor-classes")
-    whole = join_by_size(rows.drop("mixed"), classes.filter("n > 1").select("h", "c", "n"), ["h", "c"], "n", rows.count()).select("k", (F.col("a") - F.col("lo")).alias("start"), (F.col("a") - F.col("hi") + length).alias("end"))
+    rows = cut(found.join(often, "h"), "repeated-anchors")
+    classes = cut(rows.groupBy("h", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "a", "lo", "hi")).alias("m")), "anchor-classes")
+    whole = join_by_size(rows.drop("mixed"), classes.filter("n > 1").select("h", "c", "n"), ["h", "c"], "n", rows.count()).select(*KEY, (F.col("a") - F.col("lo")).alias("start"), (F.col("a") - F.col("hi") + length).alias("end"))
 
-    mixed = classes.filter("mixed").select("h", "c", (F.col("n") == 1).alias("single"), "m.*")
-    counts = mixed.groupBy("h").agg(F.count("*").alias("classes"))
-    wanted = mixed.join(counts, "h").groupBy("k").agg(F.collect_list(F.struct("h", "a", "lo", "hi", "single", (F.col("classes") > GIANT).alias("giant"))).alias("wanted"))
+    mixed = classes.filter("mixed").select("h", (F.col("n") == 1).alias("single"), "m.*")
+    wanted = mixed.groupBy(*KEY).agg(F.collect_list(F.struct("h", "a", "lo", "hi", "single")).alias("wanted"))  # bounded by the document's text
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "a", "lo", "hi", "single", "giant"]
+        names = ["h", "a", "lo", "hi", "single"]
         for b in batches:
-            for i in range(b.num_rows):
-                data, w = b.column("text")[i].as_buffer(), b.column("wanted")[i].values
+            for r in range(b.num_rows):
+                data, w = b.column("text")[r].as_buffer(), b.column("wanted")[r].values
                 a, lo, hi = (w.field(x).to_numpy() for x in ("a", "lo", "hi"))
                 bytes_ = [data[int(x - y) : int(x - z + length)].to_pybytes() for x, y, z in zip(a, lo, hi, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), b.column("k")[i].as_py())), *[w.field(x) for x in names], pa.array(bytes_, pa.binary())], names=["k", *names, "bytes"])
+                own = [pa.array(np.full(len(a), b.column(x)[r].as_py())) for x in KEY]
+                yield pa.RecordBatch.from_arrays([*own, *[w.field(x) for x in names], pa.array(bytes_, pa.binary())], names=[*KEY, *names, "bytes"])
 
-    around = cut(
-        keyed.join(wanted, "k").select("k", "text", "wanted").mapInArrow(surroundings, "k bigint, h bigint, a bigint, lo smallint, hi smallint, single boolean, giant boolean, bytes binary"), "surroundings"
-    )
-    # the window lo..hi of an anchor: what lies before it and from it on
+    around = cut(keyed.join(wanted, KEY).select(*KEY, "text", "wanted").mapInArrow(surroundings, "i bigint, k bigint, h bigint, a bigint, lo smallint, hi smallint, single boolean, bytes binary"), "surroundings")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ["h"]):
+        for t in by_group(batches, ["g"]):
             n = t.num_rows
-            first = _changes(t, ["h"])
+            first = _changes(t, ["g"])
             group = np.repeat(np.arange(len(first)), np.diff(np.append(first, n))).astype(np.int64)
             a, lo, hi = (t.column(x).to_numpy().astype(np.int64) for x in ("a", "lo", "hi"))
             left, right = np.zeros((n, length - GRAM + 1), np.uint8), np.zeros((n, length), np.uint8)
-            for i, x in enumerate(t.column("bytes").to_pylist()):
+            for r, x in enumerate(t.column("bytes").to_pylist()):
                 v = np.frombuffer(x, np.uint8)
-                left[i, : lo[i]] = v[: lo[i]][::-1]
-                right[i, : len(v) - lo[i]] = v[lo[i] :]
+                left[r, : lo[r]] = v[: lo[r]][::-1]
+                right[r, : len(v) - lo[r]] = v[lo[r] :]
             marks = repeated_offsets(group, left, right, lo, hi, length)
             marks[~t.column("single").to_numpy()] = False  # all of theirs is repeated anyway
             row, start, end = spans_of(marks, a, length)
-            yield pa.RecordBatch.from_arrays([t.column("k").combine_chunks().take(pa.array(row)), pa.array(start), pa.array(end)], names=["k", "start", "end"])
-
-    some = around.filter("not giant").repartition("h").sortWithinPartitions("h").select("h", "k", "a", "lo", "hi", "single", "bytes").mapInArrow(extend, "k bigint, start bigint, end bigint")
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                x = b.column("bytes")[i].as_py()
-                each = [hashlib.md5(x[p : p + length]).digest() for p in range(len(x) - length + 1)]
-                start = b.column("a")[i].as_py() - b.column("lo")[i].as_py() + np.arange(len(each))
-                yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), pa.array(np.full(len(each), b.column("k")[i].as_py())), pa.array(start, pa.int64())], names=["s", "k", "start"])
+            yield pa.RecordBatch.from_arrays([*[t.column(x).combine_chunks().take(pa.array(row)) for x in KEY], pa.array(start), pa.array(end)], names=[*KEY, "start", "end"])
 
-    giant = around.filter("giant").select("k", "a", "lo", "bytes").mapInArrow(strings, "s binary, k bigint, start bigint")
-    shared = giant.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
-    rest = giant.join(shared, "s").select("k", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(some).unionByName(rest).groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    groups, strings = split_groups(around, length)
+    spans = whole.unionByName(groups.repartition("g").sortWithinPartitions("g").select("g", *KEY, "a", "lo", "hi", "single", "bytes").mapInArrow(extend, "i bigint, k bigint, start bigint, end bigint"))
+    spans = spans if strings is None else spans.unionByName(strings)
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -275,7 +297,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, part: int = PART) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs, in bytes), kept (the remaining bytes) for each row of `docs` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +317,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept.append(b"".join([*rest, data[at:]]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(out, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    spans = cut(repeated_spans(docs, length), "spans")
-    return doc_key(docs).join(spans, "k", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    spans = cut(repeated_spans(docs, length, part), "spans")
+    return doc_key(docs).join(spans, KEY, "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,9 +260,10 @@ def test_toxicity(spark, docs, empty):
 
 
 # --- 3
-@pytest.mark.parametrize("giant", [20_000, 2])
-def test_suffix_dedup(docs, rows, empty, monkeypatch, giant):
-    monkeypatch.setattr(suffix_dedup, "GIANT", giant)
+@pytest.mark.parametrize(("group", "part"), [(20_000, 1 << 20), (2, 700)])
+def test_suffix_dedup(docs, rows, empty, monkeypatch, group, part):
+    """Also with groups split down to single strings and texts read in overlapping parts."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     data = [(i, t.encode()) for i, t, _ in rows]
     n = Counter(b[p : p + 200] for _, b in data for p in range(len(b) - 199))
     want = Counter()
@@ -274,7 +275,7 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch, giant):
                 cover[p + 200] -= 1
         out = np.cumsum(cover)[:-1] > 0
         want[(i, len(b), int((np.diff(out.astype(int), prepend=0) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~out]))] += 1
-    got = suffix_dedup.without_repeats(docs).collect()
+    got = suffix_dedup.without_repeats(docs, part=part).collect()
     assert Counter((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in got) == want
     assert suffix_dedup.without_repeats(empty).count() == 0
 
