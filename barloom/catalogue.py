@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as o
+from . import oracle_stats as stats
 from .functions import columns as c
 from .functions import indicators as ind
 from .operators import attribution, metrics, panel, portfolio
@@ -71,6 +73,12 @@ def market_run(spark, d, key="sma_cross"):
     return run_backtest(market_target(spark, d, key), BY)
 
 
+def slog(x) -> Column:
+    """sign(x) * ln(1 + |x|): keeps the sign, tames the size."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.signum(x) * F.log1p(F.abs(x))
+
+
 def rr(*names: str, n: int = 6) -> str:
     return ", ".join(o.r(x, x, n) for x in names)
 
@@ -106,7 +114,9 @@ def _(s, d):
 query("s10_panel_load", o.query(o.BRAND + ", n AS (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 120)", BAR_SQL, "bars", "WHERE symbol IN (SELECT symbol FROM n)"))(
     lambda s, d: ((b := src.bars_brand(s, d)).join(b.groupBy("symbol").count().filter("count >= 120"), "symbol", "left_semi")).select(*BY, "ts", *OHLCV)
 )
-query("s12_json_sink", "SELECT count(DISTINCT l_shipdate) AS n_rows FROM lineitem")(lambda s, d: lab.to_json(src.bars_market(s, d)).agg(F.count("json").alias("n_rows")))
+query("s12_json_sink", o.query(o.MARKET, f"strftime(ts, '%Y-%m-%d') AS day, {rr(*OHLCV)}", "bars"))(
+    lambda s, d: rounded(lab.to_json(src.bars_market(s, d)).select(F.substring(F.get_json_object("json", "$.ts"), 1, 10).alias("day"), *[F.get_json_object("json", f"$.{x}").cast("double").alias(x) for x in OHLCV]))
+)
 RAW = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, event_id, value, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS part FROM events"
 
 
@@ -135,17 +145,33 @@ _ALIASES = ["1min", "5Min", "1Hour", "1D", "fortnight"]
 query("n6_interval_map", "SELECT CASE o_orderkey % 5 WHEN 0 THEN '1m' WHEN 1 THEN '5m' WHEN 2 THEN '1h' ELSE '1d' END AS interval, count(*) AS n FROM orders GROUP BY 1")(
     lambda s, d: src.table(s, d, "orders").select(src.interval_of(F.array(*map(F.lit, _ALIASES))[(F.col("o_orderkey") % 5).cast("int")]).alias("interval")).groupBy("interval").agg(F.count("*").alias("n"))
 )
-query("v1_validate", o.query(o.BRAND, "count(*) AS n_rows, count(CASE WHEN bar_idx % 50 = 0 THEN 1 END) AS n_missing, CAST(0 AS BIGINT) AS n_negative, CAST(0 AS BIGINT) AS n_zero_volume, CAST(0 AS BIGINT) AS n_inconsistent, FALSE AS volume_warning, TRUE AS valid", "bars"))(
-    lambda s, d: src.validate(brand(s, d).withColumn("close", F.when(F.col("bar_idx") % 50 != 0, F.col("close"))))
-)
+PLANTED = {"close": ("bar_idx % 50 = 0", "NULL", "close"), "low": ("bar_idx % 70 = 1", "-1.0", "low"), "high": ("bar_idx % 90 = 3", "low - 1", "high"), "volume": ("bar_idx % 30 = 2", "0.0", "volume")}
+_bad = {k: f"CASE WHEN {x} THEN {y} ELSE {z} END" for k, (x, y, z) in PLANTED.items()}
+query(
+    "v1_validate",
+    o.query(
+        f"{o.BRAND}, x AS (SELECT open, {', '.join(f'{v} AS {k}' for k, v in _bad.items())} FROM bars), w AS (SELECT * FROM x WHERE close IS NOT NULL)",
+        "(SELECT count(*) FROM x) AS n_rows, (SELECT count(*) FROM x WHERE close IS NULL) AS n_missing, count(CASE WHEN least(open, high, low, close) < 0 THEN 1 END) AS n_negative, count(CASE WHEN volume = 0 THEN 1 END) AS n_zero_volume, "
+        "count(CASE WHEN high < low OR open > high OR close > high OR open < low OR close < low THEN 1 END) AS n_inconsistent, count(CASE WHEN volume = 0 THEN 1 END) * 2 > count(*) AS volume_warning, FALSE AS valid",
+        "w",
+    ),
+)(lambda s, d: src.validate(brand(s, d).withColumns({k: F.expr(v) for k, v in _bad.items()})))
 query("v2_latest_n", o.query(o.BRAND + ", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars)", BAR_SQL, "k", "WHERE k <= 100"))(lambda s, d: (src.latest(src.bars_brand(s, d), BY)).select(*BY, "ts", *OHLCV))
 
-# --- generators: their draws are their own, so rows only
+# --- generators: draws are the md5 of a key, in SQL too; the simulator's are numpy's
 query("g1_simulate_ohlcv")(lambda s, d: gen.simulate(s, ["AAPL", "MSFT", "SPY"], "2018-01-01", "2022-12-31"))
-query("g2_walk_bars")(lambda s, d: gen.walk_bars(s, "TEST", "2024-01-01", 1440))
-query("g3_ticks")(lambda s, d: gen.walk_ticks(s, "TEST", "2024-01-01", 10))
-query("g4_series")(lambda s, d: gen.walk_series(s, 1000, 100.0, 0.05, 0.2))
-query("g5_scenarios")(lambda s, d: gen.scenario(s, "crash", "TEST", "2024-01-01", 500).unionByName(gen.scenario(s, "volatile", "TEST", "2024-01-01", 500)))
+query("g2_walk_bars", stats.walk_bars("TEST", "2024-01-01", 1440))(lambda s, d: gen.walk_bars(s, "TEST", "2024-01-01", 1440))
+_tick = stats.normal("'0'", "CAST(id AS VARCHAR)", "'step'"), stats.normal("'0'", "CAST(id AS VARCHAR)", "'noise'"), o.draw("'0', CAST(id AS VARCHAR), 'volume'")
+query("g3_ticks", f"WITH p AS (SELECT id, 100 * exp(sum(0.0005 * {_tick[0]}) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS path FROM range(600) x(id)) SELECT TIMESTAMP '2024-01-01' + to_seconds(id) AS ts, 'TEST' AS symbol, round(path * (1 + 0.0025 * {_tick[1]}), 4) AS price, CAST(floor(1 + 99 * {_tick[2]}) AS INT) AS volume FROM p")(
+    lambda s, d: gen.walk_ticks(s, "TEST", "2024-01-01", 10)
+)
+query("g4_series", f"SELECT id, round(100 * exp(0.03 * id / 999.0 + 0.2 * sum({stats.normal(chr(39) + '0' + chr(39), 'CAST(id AS VARCHAR)')} * sqrt(1 / 1000.0)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) + 0.0 AS price FROM range(1000) x(id)")(
+    lambda s, d: rounded(gen.walk_series(s, 1000, 100.0, 0.05, 0.2))
+)
+_SCENES = {"crash": (0.1, -0.01), "volatile": (0.06, 0.0001), "trending": (0.02, 0.0005), "normal": (0.02, 0.0001)}
+query("g5_scenarios", " UNION ALL ".join(f"SELECT *, '{k}' AS scenario FROM ({stats.walk_bars('TEST', '2024-01-01', 500, v, t)})" for k, (v, t) in _SCENES.items()))(
+    lambda s, d: functools.reduce(DataFrame.unionByName, [gen.scenario(s, k, "TEST", "2024-01-01", 500) for k in _SCENES])
+)
 
 # --- scalar functions
 query(
@@ -168,7 +194,10 @@ query(
 query("f9_f10_slices", o.query(o.BRAND, BAR_SQL, "bars", "WHERE symbol IN ('Brand#12', 'Brand#13') AND ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'"))(
     lambda s, d: (panel.select_symbols(src.bars_brand(s, d), ["Brand#12", "Brand#13"]).filter(F.col("ts").between(ntz("1996-01-01"), ntz("1996-12-31")))).select(*BY, "ts", *OHLCV)
 )
-query("f13_normal")(lambda s, d: market(s, d).select("ts", c.norm_cdf_column(c.returns(BY)).alias("cdf"), c.norm_ppf_column(F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("low") / (F.col("high") + 1)))).alias("ppf")))
+_p = "least(0.999, greatest(0.001, low / (high + 1)))"
+query("f13_normal", o.query(f"{o.MARKET}, x AS (SELECT ts, coalesce({o.change()}, 0) AS ret, {_p} AS p FROM bars), {stats.norm_ppf_steps('x', 'p', 'z')}", f"ts, {o.r(stats.norm_cdf('ret'), 'cdf')}, {o.r('ppf', 'ppf')}", "z"))(
+    lambda s, d: rounded(market(s, d).select("ts", c.norm_cdf_column(c.returns(BY)).alias("cdf"), c.norm_ppf_column(F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("low") / (F.col("high") + 1)))).alias("ppf")))
+)
 query("f17_params", "SELECT count(*) AS n, round(sum(10.0) + sum(o_custkey), 2) AS total FROM orders")(
     lambda s, d: src.table(s, d, "orders").select(c.parse_params(F.concat(F.lit("fast=10,slow="), F.col("o_custkey"))).alias("p")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("p")["fast"]) + F.sum(F.col("p")["slow"]), 2).alias("total"))
 )
@@ -243,7 +272,7 @@ query("p1_p2_grids", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {n})" for k,
     lambda s, d: s.createDataFrame(list(_SIZES.items()), "strategy string, n int")
 )
 ENGINE = ("ret", "position", "gross", "traded", "cost", "net")
-query("b1_b6_backtest", o.query(SMA_BT, f"ts, {rr(*ENGINE)}, {o.r('ln(abs(equity))', 'log_equity')}, {o.r('ln(abs(benchmark))', 'log_benchmark')}", "bt"))(lambda s, d: rounded(market_run(s, d).select("ts", *ENGINE, F.log(F.abs("equity")).alias("log_equity"), F.log(F.abs("benchmark")).alias("log_benchmark"))))
+query("b1_b6_backtest", o.query(SMA_BT, f"ts, {rr(*ENGINE)}, {o.r(stats.slog('equity'), 'equity')}, {o.r(stats.slog('benchmark'), 'benchmark')}", "bt"))(lambda s, d: rounded(market_run(s, d).select("ts", *ENGINE, slog("equity").alias("equity"), slog("benchmark").alias("benchmark"))))
 query("b7_cost_drag", o.query(SMA_BT, f"symbol, {o.r('sum(cost) / (count(*) / 252.0)', 'cost_drag_ann')}, {o.r('avg(gross) / stddev_samp(gross) * sqrt(252.0)', 'gross_sharpe')}", "bt", "GROUP BY symbol"))(
     lambda s, d: rounded(metrics.cost_drag(r := market_run(s, d), BY).join(metrics.sharpes(r, BY, c="gross").withColumnRenamed("sharpe", "gross_sharpe"), BY))
 )
@@ -256,11 +285,11 @@ query(
     "m_metrics",
     o.query(
         f"{SMA_BT}, {METRICS}",
-        f"symbol, {o.r('ln(abs(e1 / e0 - 1))', 'total_return')}, {o.r('ln(abs(pow(e1 / e0, 1 / years) - 1))', 'cagr')}, {o.r('sd * sqrt(252.0)', 'ann_vol')}, {o.r('m / sd * sqrt(252.0)', 'sharpe')}, {o.r('m / dn * sqrt(252.0)', 'sortino')}, {o.r('mdd', 'max_drawdown')}, {o.r('ln(abs((pow(e1 / e0, 1 / years) - 1) / mdd))', 'calmar')}, "
+        f"symbol, {o.r(stats.slog('(e1 / e0 - 1)'), 'total_return')}, {o.r(stats.slog('(pow(e1 / e0, 1 / years) - 1)'), 'cagr')}, {o.r('sd * sqrt(252.0)', 'ann_vol')}, {o.r('m / sd * sqrt(252.0)', 'sharpe')}, {o.r('m / dn * sqrt(252.0)', 'sortino')}, {o.r('mdd', 'max_drawdown')}, {o.r(stats.slog('((pow(e1 / e0, 1 / years) - 1) / abs(mdd))'), 'calmar')}, "
         f"{o.r('uw / 252.0', 'time_under_water_yrs')}, {o.r('hit', 'hit_rate')}, {o.r('sk', 'skew')}, {o.r('ku', 'kurtosis')}, {o.r('v5', 'var_95')}, {o.r('cv', 'cvar_95')}, {o.r('best', 'best_bar')}, {o.r('worst', 'worst_bar')}, {o.r('CAST(n AS DOUBLE)', 'n_bars')}, {o.r('years', 'years')}, {o.r('ex', 'exposure')}, {o.r('ls', 'long_share')}, {o.r('ss', 'short_share')}, {o.r('tt / years', 'turnover_ann')}, {o.r('CAST(nt AS DOUBLE)', 'n_trades')}",
         "y",
     ),
-)(lambda s, d: rounded(metrics.compute_metrics(market_run(s, d), BY).withColumns({k: F.log(F.abs(k)) for k in ("total_return", "cagr", "calmar")})))
+)(lambda s, d: rounded(metrics.compute_metrics(market_run(s, d), BY).withColumns({k: slog(k) for k in ("total_return", "cagr", "calmar")})))
 query("m0_periods_per_year", o.query(o.BRAND + f", x AS (SELECT symbol, epoch(ts) - epoch({o.lag('ts')}) AS st FROM bars)", "symbol, CAST(greatest(1, round_even(252 / greatest(median(st) / 86400 / 1.4, 1.0), 0)) AS INT) AS ppy", "x", "GROUP BY symbol"))(lambda s, d: metrics.periods_per_year(src.bars_brand(s, d), BY))
 
 # --- panels, cross-sections, portfolios
@@ -268,9 +297,17 @@ query("a1_a2_panel", o.query(o.PANEL, f"symbol, ts, bar_idx, {', '.join(OHLCV)}"
 query("a3_a4_tradable_returns", o.query(o.PANEL, f"symbol, ts, listed, tradable, {rr('ret')}, CASE WHEN listed THEN close * volume END AS dollar_volume", "panel"))(
     lambda s, d: the_panel(s, d).select("symbol", "ts", "listed", "tradable", (F.round("ret", 6) + 0.0).alias("ret"), (F.col("close") * F.col("volume")).alias("dollar_volume"))
 )
-query("a5_survivorship", o.query(o.PANEL + ", e AS (SELECT max(bar_idx) AS last FROM panel), x AS (SELECT symbol, min(CASE WHEN listed THEN bar_idx END) AS f, max(CASE WHEN listed THEN bar_idx END) AS l FROM panel GROUP BY symbol)", f"count(*) AS n_symbols, count(CASE WHEN l < last - 5 THEN 1 END) AS n_delisted, count(CASE WHEN f > 5 THEN 1 END) AS n_late, {o.r('1 - count(CASE WHEN l < last - 5 THEN 1 END) / CAST(count(*) AS DOUBLE)', 'survival_rate')}", "x, e", "GROUP BY last"))(
-    lambda s, d: rounded(panel.survivorship(the_panel(s, d)).select("n_symbols", "n_delisted", "n_late", "survival_rate"))
-)
+_GONE, _LATE = "l < last - 5", "f > 5"
+query(
+    "a5_survivorship",
+    o.query(
+        o.PANEL + ", e AS (SELECT max(bar_idx) AS last FROM panel), x AS (SELECT symbol, min(CASE WHEN listed THEN bar_idx END) AS f, max(CASE WHEN listed THEN bar_idx END) AS l FROM panel GROUP BY symbol)",
+        f"count(*) AS n_symbols, count(CASE WHEN {_GONE} THEN 1 END) AS n_delisted, count(CASE WHEN {_LATE} THEN 1 END) AS n_late, {o.r(f'1 - count(CASE WHEN {_GONE} THEN 1 END) / CAST(count(*) AS DOUBLE)', 'survival_rate')}, "
+        f"coalesce(string_agg(CASE WHEN {_GONE} THEN symbol END, ',' ORDER BY symbol), '') AS delisted, coalesce(string_agg(CASE WHEN {_LATE} THEN symbol END, ',' ORDER BY symbol), '') AS late, "
+        f"count(CASE WHEN {_GONE} THEN 1 END) = 0 AND (last + 1) / 252.0 >= 3 AND count(*) >= 5 AS biased",
+        "x, e", "GROUP BY last",
+    ),
+)(lambda s, d: rounded(panel.survivorship(the_panel(s, d)).withColumns({k: F.concat_ws(",", k) for k in ("delisted", "late")})))
 query("a6_panel_slice", o.query(o.PANEL, f"symbol, ts, bar_idx - 100 AS bar_idx, {rr('close')}", "panel", "WHERE bar_idx >= 100 AND bar_idx < 200"))(lambda s, d: cols(panel.slice_bars(the_panel(s, d), 100, 200).withColumn("bar_idx", F.col("bar_idx").cast("bigint")), "symbol", "ts", "bar_idx", "close"))
 XS = o.xs_weights()
 for _k in XS_REGISTRY:
@@ -289,7 +326,7 @@ query("q1_normalise_weights", o.query(BOOK, f"symbol, ts, {rr('target')}", "n2")
 query("q2_held", o.query(BOOK, f"symbol, ts, {rr('held', 'traded')}", "p2"))(lambda s, d: cols(book(s, d), "symbol", "ts", "held", "traded"))
 query("q3_rebalance_carry", o.query(MONTHLY, f"symbol, ts, {rr('held')}", "k5"))(lambda s, d: cols(book(s, d, "M"), "symbol", "ts", "held"))
 DATES = ("gross", "traded", "cost", "bench", "exposure", "net_exposure", "net")
-query("q4_q6_portfolio_returns", o.query(BOOK, f"ts, {rr(*DATES)}, positions, {o.r('ln(abs(equity))', 'log_equity')}", "pd"))(lambda s, d: cols(portfolio.portfolio_returns(book(s, d)).withColumn("log_equity", F.log(F.abs("equity"))), "ts", *DATES, "positions", "log_equity"))
+query("q4_q6_portfolio_returns", o.query(BOOK, f"ts, {rr(*DATES)}, positions, {o.r(stats.slog('equity'), 'equity')}", "pd"))(lambda s, d: cols(portfolio.portfolio_returns(book(s, d)).withColumn("equity", slog("equity")), "ts", *DATES, "positions", "equity"))
 query("q7_rebalance_schedule", o.query(o.PANEL, f"symbol, ts, {MONTH} AS monthly, date_trunc('week', ts) IS DISTINCT FROM lag(date_trunc('week', ts)) OVER (PARTITION BY symbol ORDER BY bar_idx) AS weekly, bar_idx % 5 = 0 AS fifth", "panel"))(
     lambda s, d: the_panel(s, d).select("symbol", "ts", portfolio.rebalance_rows("M", []).alias("monthly"), portfolio.rebalance_rows("W", []).alias("weekly"), portfolio.rebalance_rows("5", []).alias("fifth"))
 )
@@ -299,10 +336,17 @@ query("q8_portfolio_metrics", o.query(BOOK, f"{o.r('avg(exposure)', 'gross_expos
 query("q9_contributions", o.query(BOOK, f"symbol, {o.r('sum(held * ar)', 'contribution')}", "p2", "GROUP BY symbol"))(lambda s, d: rounded(portfolio.contributions(book(s, d))))
 
 # --- attribution
-query("r1_style_factors")(lambda s, d: attribution.style_factors(the_panel(s, d)))
-query("r2_factor_attribution")(
-    lambda s, d: s.createDataFrame([(str(k), str(v)) for k, v in attribution.factor_attribution(portfolio.portfolio_returns(book(s, d)), attribution.style_factors(the_panel(s, d))).items()], "name string, value string")
-)
+query("r1_style_factors", o.query(f"{o.PANEL}, {stats.style_books()}", f"factor, ts, bar_idx, {rr('net')}", "fx"))(lambda s, d: cols(attribution.style_factors(the_panel(s, d)).withColumn("bar_idx", F.col("bar_idx").cast("bigint")), "factor", "ts", "bar_idx", "net"))
+_AT = o.query(f"{o.PANEL}, {stats.style_books()}, {XS['xs_reversal']}, {o.portfolio()}, {stats.attribution('pd')}", f"name, {rr('value')}", "fitted")
+
+
+@query("r2_factor_attribution", _AT)
+def _(s, d):
+    found = attribution.factor_attribution(portfolio.portfolio_returns(book(s, d)), attribution.style_factors(the_panel(s, d)))
+    rows = [(k, float(found[k])) for k in ("alpha_annual", "alpha_t_stat", "r_squared", "n_obs")]
+    rows += [(f"beta_{k}", v) for k, v in found["betas"].items()] + [(f"t_{k}", v) for k, v in found["beta_t_stats"].items()]
+    return rounded(s.createDataFrame(rows, "name string, value double"))
+
 
 # --- validation
 PARTS = f"pt AS (SELECT symbol, bar_idx, ln(open / {o.lag('close')}) AS gap, ln(greatest(high, open) / open) AS hi, ln(least(low, open) / open) AS lo, ln(close / open) AS body, volume FROM bars), parts AS (SELECT * FROM pt WHERE bar_idx > 0)"
@@ -322,41 +366,52 @@ def permuted(n: int, block: int | None = None) -> str:
     w = "PARTITION BY perm_id, symbol ORDER BY bar_idx"
     return (
         f"{PARTS}, b1 AS (SELECT * FROM bars WHERE bar_idx = 0), {dealt}, c1 AS (SELECT d.*, b1.close AS anchor, b1.close * exp(sum(gap + body) OVER (PARTITION BY perm_id, d.symbol ORDER BY d.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS close FROM dealt d JOIN b1 USING (symbol)), "
-        f"c2 AS (SELECT *, coalesce(lag(close) OVER ({w}), anchor) * exp(gap) AS open FROM c1), pm AS (SELECT perm_id, symbol, bar_idx, open, close FROM c2 UNION ALL SELECT perm_id, symbol, 0, open, close FROM b1, (SELECT DISTINCT perm_id FROM dealt))"
+        f"c2 AS (SELECT *, coalesce(lag(close) OVER ({w}), anchor) * exp(gap) AS open FROM c1), c3 AS (SELECT perm_id, symbol, bar_idx, open, close, open * exp(hi) AS high, open * exp(lo) AS low, volume FROM c2 UNION ALL SELECT perm_id, symbol, 0, open, close, high, low, volume FROM b1, (SELECT DISTINCT perm_id FROM dealt)), "
+        "pm AS (SELECT * REPLACE (greatest(open, high, close) AS high, least(open, low, close) AS low) FROM c3)"
     )
 
 
 def log_bars(df):
-    return rounded(df.select("perm_id", F.col("bar_idx").cast("bigint").alias("bar_idx"), F.log("open").alias("log_open"), F.log("close").alias("log_close")))
+    return rounded(df.select("perm_id", F.col("bar_idx").cast("bigint").alias("bar_idx"), *[F.log(x).alias(f"log_{x}") for x in OHLCV[:4]], "volume"))
 
 
-query("t2_t3_permuted_bars", o.query(f"{o.MARKET}, {permuted(5)}", f"perm_id, bar_idx, {o.r('ln(open)', 'log_open')}, {o.r('ln(close)', 'log_close')}", "pm"))(lambda s, d: log_bars(validation.permute_bars(src.bars_market(s, d), BY, 5)))
-query("t2_block_permuted_bars", o.query(f"{o.MARKET}, {permuted(5, 20)}", f"perm_id, bar_idx, {o.r('ln(open)', 'log_open')}, {o.r('ln(close)', 'log_close')}", "pm"))(lambda s, d: log_bars(validation.permute_bars(src.bars_market(s, d), BY, 5, block=20)))
+_LOGS = "perm_id, bar_idx, volume + 0.0 AS volume, " + ", ".join(o.r(f"ln({x})", f"log_{x}") for x in OHLCV[:4])
+query("t2_t3_permuted_bars", o.query(f"{o.MARKET}, {permuted(5)}", _LOGS, "pm"))(lambda s, d: log_bars(validation.permute_bars(src.bars_market(s, d), BY, 5)))
+query("t2_block_permuted_bars", o.query(f"{o.MARKET}, {permuted(5, 20)}", _LOGS, "pm"))(lambda s, d: log_bars(validation.permute_bars(src.bars_market(s, d), BY, 5, block=20)))
 _PERM_TG = "ind AS (SELECT *, close / lag(close, 60) OVER (PARTITION BY perm_id ORDER BY bar_idx) - 1 AS m FROM pm), tg AS (SELECT *, coalesce(" + o.sign("round(m, 12)") + ", 0.0) AS target FROM ind)"
 query("t4_permutation_null", o.query(f"{o.MARKET}, {permuted(20)}, {_PERM_TG}, {o.engine('perm_id', '1.0', 'bar_idx')}, sh AS ({o.sharpe('perm_id')})", f"perm_id, {rr('sharpe')}", "sh"))(
     lambda s, d: cols(validation.permutation_null(src.bars_market(s, d), get_strategy("momentum"), {"lookback": 60}, BY, 20), "perm_id", "sharpe")
 )
-query("t4_p_value")(lambda s, d: validation.p_value(validation.permutation_null(src.bars_market(s, d), get_strategy("sma_cross"), {}, BY, 300), metrics.sharpes(market_run(s, d), BY).first()["sharpe"]))
-query("t5_bootstrap_paths", o.query(f"{SMA_BT}, n AS (SELECT count(*) AS n FROM bt), sl AS (SELECT CAST(p AS INT) AS path_id, CAST(b AS INT) AS bar_idx, n FROM n, range(3) x(p), LATERAL (SELECT unnest(range(n)) AS b)), dr AS (SELECT path_id, bar_idx, CAST(floor({o.draw(chr(39) + '1' + chr(39) + ', CAST(path_id AS VARCHAR), CAST(bar_idx AS VARCHAR)')} * n) AS BIGINT) AS pick FROM sl)", "path_id, dr.bar_idx, round(ln(abs(product(1 + net) OVER (PARTITION BY path_id ORDER BY dr.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))), 6) + 0.0 AS log_wealth", "dr JOIN bt ON bt.bar_idx = pick"))(
-    lambda s, d: rounded(validation.bootstrap_paths(market_run(s, d).select("bar_idx", "net"), 3).select("path_id", "bar_idx", F.log(F.abs("wealth")).alias("log_wealth")))
+_MEAN = lambda k: f"CASE WHEN bar_idx >= {k - 1} THEN avg(close) OVER (PARTITION BY perm_id ORDER BY bar_idx ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) END"
+_SMA_NULL = f"pi AS (SELECT *, {_MEAN(20)} AS f, {_MEAN(100)} AS s FROM pm), tg AS (SELECT *, CASE WHEN s IS NULL THEN 0.0 WHEN f > s THEN 1.0 ELSE -1.0 END AS target FROM pi), {o.engine('perm_id', '1.0', 'bar_idx')}, nl AS ({o.sharpe('perm_id')})"
+_SMA_OBS = f"ob AS (SELECT * FROM ({o.query(SMA_BT, 'net', 'bt')})), os AS (SELECT avg(net) / stddev_samp(net) * sqrt(252.0) AS observed FROM ob)"
+query("t4_p_value", o.query(f"{o.MARKET}, {permuted(300)}, {_SMA_NULL}, {_SMA_OBS}", f"{o.r('any_value(observed)', 'observed')}, count(*) AS n, {o.r('avg(sharpe)', 'null_mean', 4)}, {o.r('(1 + count(CASE WHEN sharpe >= observed THEN 1 END)) / (count(*) + 1.0)', 'p_value')}, {o.r('avg(CAST(sharpe < observed AS DOUBLE)) * 100', 'percentile')}", "nl, os"))(
+    lambda s, d: rounded(validation.p_value(validation.permutation_null(src.bars_market(s, d), get_strategy("sma_cross"), {}, BY, 300), metrics.sharpes(market_run(s, d), BY).first()["sharpe"])).withColumn("null_mean", F.round("null_mean", 4) + 0.0)
 )
-query("t6_permute_within_dates", o.query(f"{o.PANEL}, {XS['xs_reversal']}", "ts, CAST(1 AS INT) AS perm_id, round(sum(weight), 6) + 0.0 AS total, count(CASE WHEN weight > 0 THEN 1 END) AS longs", "wt", "WHERE listed GROUP BY ts"))(
-    lambda s, d: rounded(validation.permute_within_dates(with_weights(the_panel(s, d), "xs_reversal"), 2).filter("perm_id = 1 and listed").groupBy("ts", "perm_id").agg(F.sum("weight").alias("total"), F.count(F.when(F.col("weight") > 0, 1)).alias("longs")))
+query("t5_bootstrap_paths", o.query(f"{SMA_BT}, n AS (SELECT count(*) AS n FROM bt), sl AS (SELECT CAST(p AS INT) AS path_id, CAST(b AS INT) AS bar_idx, n FROM n, range(3) x(p), LATERAL (SELECT unnest(range(n)) AS b)), dr AS (SELECT path_id, bar_idx, CAST(floor({o.draw(chr(39) + '1' + chr(39) + ', CAST(path_id AS VARCHAR), CAST(bar_idx AS VARCHAR)')} * n) AS BIGINT) AS pick FROM sl)", "path_id, dr.bar_idx, round(" + stats.slog("(product(1 + net) OVER (PARTITION BY path_id ORDER BY dr.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))") + ", 6) + 0.0 AS wealth", "dr JOIN bt ON bt.bar_idx = pick"))(
+    lambda s, d: rounded(validation.bootstrap_paths(market_run(s, d).select("bar_idx", "net"), 3).select("path_id", "bar_idx", slog("wealth").alias("wealth")))
+)
+query("t6_permute_within_dates", o.query(f"{o.PANEL}, {XS['xs_reversal']}, {stats.dealt_weights(2)}", f"perm_id, symbol, ts, {rr('weight')}", "px"))(lambda s, d: cols(validation.permute_within_dates(with_weights(the_panel(s, d), "xs_reversal"), 2), "perm_id", "symbol", "ts", "weight"))
+query("t7_cross_permutation_null", o.query(f"{o.PANEL}, {XS['xs_reversal']}, {stats.dealt_weights(200)}, {o.portfolio(by='perm_id', source='px', free=True)}, sh AS ({o.sharpe('perm_id', 'net', 'pd')})", f"perm_id, {rr('sharpe')}", "sh"))(
+    lambda s, d: cols(validation.cross_permutation_null(with_weights(the_panel(s, d), "xs_reversal"), 200), "perm_id", "sharpe")
+)
+query("t8_t11_deflated_sharpe", o.query(f"{SMA_BT}, {stats.deflated('bt', 19)}", f"{rr('sharpe', 'hurdle', 'psr', 'dsr', 'min_track_record')}, CAST(n_trials AS DOUBLE) AS n_trials", "ds"))(
+    lambda s, d: rounded(s.createDataFrame([tuple(float(v) for v in validation.deflated_sharpe(validation.moments_of(market_run(s, d)), None, 19).values())], "sharpe double, n_trials double, hurdle double, psr double, dsr double, min_track_record double"))
 )
-query("t7_cross_permutation_null")(lambda s, d: validation.cross_permutation_null(with_weights(the_panel(s, d), "xs_reversal"), 200))
-query("t8_t11_deflated_sharpe")(lambda s, d: s.createDataFrame([tuple(float(v) for v in validation.deflated_sharpe(validation.moments_of(market_run(s, d)), None, 19).values())], "sharpe double, n_trials double, hurdle double, psr double, dsr double, min_track_record double"))
 MOMENTUM_TRIALS = "gr AS (SELECT * FROM (VALUES (0, 5), (1, 10), (2, 20), (3, 60), (4, 120), (5, 250)) t(trial_id, k)), ind AS (SELECT bars.*, trial_id, close / " + "CASE k " + " ".join(f"WHEN {k} THEN lag(close, {k}) OVER (PARTITION BY trial_id ORDER BY ts)" for k in (5, 10, 20, 60, 120, 250)) + " END - 1 AS m FROM bars, gr), tg AS (SELECT *, coalesce(" + o.sign("m") + ", 0.0) AS target FROM ind)"
 query("t16_trial_matrix", o.query(f"{o.MARKET}, {MOMENTUM_TRIALS}, {o.engine('trial_id')}", f"trial_id, bar_idx, {rr('net', n=9)}", "bt"))(lambda s, d: cols(lab.trial_returns(market(s, d), "momentum").withColumn("bar_idx", F.col("bar_idx").cast("bigint")), "trial_id", "bar_idx", "net", n=9))
-query("t12_pbo")(lambda s, d: validation.pbo(lab.trial_returns(market(s, d), "momentum")))
-query("t12_pbo_combinations")(lambda s, d: validation.pbo_combinations(lab.trial_returns(market(s, d), "momentum")))
-
-
-@query("t13_walk_forward")
-def _(s, d):
-    return validation.walk_forward(market(s, d), get_strategy("momentum"))[0]
+_PBO = f"{o.MARKET}, {MOMENTUM_TRIALS}, {o.engine('trial_id')}, {stats.combinations('bt')}"
+query("t12_pbo_combinations", o.query(_PBO, f"combo, best, {rr('is_sharpe', 'oos_sharpe', 'omega', 'logit')}", "cb"))(lambda s, d: cols(validation.pbo_combinations(lab.trial_returns(market(s, d), "momentum")), "combo", "best", "is_sharpe", "oos_sharpe", "omega", "logit"))
+query("t12_pbo", o.query(f"{_PBO}, mo AS (SELECT best, count(*) AS k FROM cb GROUP BY best ORDER BY k DESC, best LIMIT 1)", f"{o.r('avg(CAST(logit <= 0 AS DOUBLE))', 'pbo')}, {o.r('avg(CAST(oos_sharpe <= 0 AS DOUBLE))', 'prob_oos_loss')}, {o.r('CASE WHEN stddev_pop(is_sharpe) > 1e-12 THEN regr_slope(oos_sharpe, is_sharpe) END', 'degradation')}, count(*) AS n_combinations, any_value(mo.best) AS most_selected, {o.r('any_value(k) / CAST(count(*) AS DOUBLE)', 'selection_stability')}", "cb, mo"))(
+    lambda s, d: rounded(validation.pbo(lab.trial_returns(market(s, d), "momentum")))
+)
+_WF = ("oos_return", "oos_max_dd")
+query("t13_walk_forward", o.query(stats.walk_forward(), f"fold, trial_id, {rr('is_sharpe', 'oos_sharpe', 'oos_max_dd')}, {o.r(stats.slog('oos_return'), 'oos_return')}, start, test, stop", "wf"))(
+    lambda s, d: cols(validation.walk_forward(market(s, d), get_strategy("momentum"))[0].withColumn("oos_return", slog("oos_return")), "fold", "trial_id", "is_sharpe", "oos_sharpe", "oos_max_dd", "oos_return", "start", "test", "stop")
+)
 
 
-query("t14_walk_forward_panel")(lambda s, d: validation.walk_forward_panel(the_panel(s, d), XS_REGISTRY["equal_weight"], grid_limit=3))
+query("t14_walk_forward_panel")(lambda s, d: validation.walk_forward_panel(the_panel(s, d), XS_REGISTRY["xs_momentum"]))
 STRESS = f"{o.MARKET}, {TG['sma_cross'].replace('tg AS', 'tg0 AS')}, tg AS (SELECT tg0.*, m FROM tg0, (VALUES (1), (3)) x(m)), {o.engine('m', 'm')}, sh AS ({o.sharpe('m')})"
 query("t15_cost_stress", o.query(STRESS, f"{o.r('max(CASE WHEN m = 1 THEN sharpe END)', 'sharpe_1x')}, {o.r('max(CASE WHEN m = 3 THEN sharpe END)', 'sharpe_3x')}, round(CASE WHEN max(CASE WHEN m = 1 THEN sharpe END) > 1e-9 THEN max(CASE WHEN m = 3 THEN sharpe END) / max(CASE WHEN m = 1 THEN sharpe END) ELSE 0.0 END, 6) + 0.0 AS ratio", "sh"))(
     lambda s, d: rounded(validation.cost_stress(run_backtest(market_target(s, d).withColumn("cost_mult", F.explode(F.array(F.lit(1), F.lit(3)))), [*BY, "cost_mult"], cost_times="cost_mult"), []))
@@ -365,22 +420,41 @@ query("t17_benchmark_correlation", o.query(SMA_BT, f"symbol, {o.r('corr(net, ret
 
 # --- scores and races
 query("z1_reality_score")(lambda s, d: lab.run_lab(src.bars_market(s, d), lab.LabConfig("momentum")).score)
+_ARENA = " UNION ALL ".join(f"SELECT '{k}' AS strategy, net FROM ({o.query(f'{o.MARKET}, {t}, {o.engine()}', 'net', 'bt')})" for k, t in TG.items())
+_GRIDS = "CASE mo.strategy " + " ".join(f"WHEN '{k}' THEN {min(n, 40)}" for k, n in {"buy_and_hold": 1, "sma_cross": 19, "ema_cross": 24, "macd_trend": 36, "rsi_reversion": 48, "bollinger_reversion": 16, "donchian_breakout": 5, "momentum": 6, "vol_target_momentum": 36, "channel_trend": 48, "coin_flip": 16}.items()) + " END"
+query("z2_deflated_rules", o.query(f"ar AS ({_ARENA}), {stats.deflated('ar', _GRIDS.replace('mo.', ''), 'strategy')}", f"strategy, CAST(n_trials AS INT) AS n_trials, {rr('sharpe', 'hurdle', 'psr', 'dsr')}", "ds"))(lambda s, d: rounded(lab.deflated_rules(src.bars_market(s, d))))
 query("z2_arena")(lambda s, d: lab.run_arena(src.bars_market(s, d)))
+query("z4_portfolio_lab")(lambda s, d: lab.run_portfolio_lab(the_panel(s, d), lab.LabConfig("xs_reversal", n_permutations=150, n_folds=4, grid_limit=24)).score)
 query("z3_portfolio_arena")(lambda s, d: lab.run_portfolio_arena(the_panel(s, d), rebalance="M"))
 
 # --- the signal rule, its fills, the environment
 ORDERS = f"{o.MARKET}, {SIGNALS}"
 query("e1_e2_signals", o.query(ORDERS, f"ts, action, quantity, {o.r('close', 'price')}, CASE action WHEN 'buy' THEN 0.7 WHEN 'sell' THEN 0.6 ELSE 0.5 END AS confidence", "od"))(lambda s, d: cols(agentic.signals(src.bars_market(s, d), BY), "ts", "action", "quantity", "price", "confidence"))
-query("e3_e5_fills", o.query(ORDERS, f"ts, {o.draw(chr(39) + '1' + chr(39) + ', symbol, CAST(bar_idx AS VARCHAR)')} < 0.9 OR action = 'hold' AS success, action", "od"))(lambda s, d: agentic.fills(agentic.signals(src.bars_market(s, d), BY), BY, 0.9).select("ts", "success", "action"))
-query("e6_signal_backtest", o.query(f"{ORDERS}, fl AS (SELECT *, CASE action WHEN 'buy' THEN 1 WHEN 'sell' THEN -1 ELSE 0 END AS sg FROM od WHERE bar_idx >= 49), rn AS (SELECT *, sum(sg * quantity) {o.far()} AS position, 100000 - sum(sg * round_even(close * quantity, 2)) {o.far()} AS cash FROM fl)", "ts, CAST(position AS BIGINT) AS position, round((cash + greatest(position, 0) * close) / 1000, 1) + 0.0 AS value", "rn"))(
-    lambda s, d: agentic.signal_backtest(src.bars_market(s, d), BY).select("ts", F.col("position").cast("bigint").alias("position"), (F.round(F.col("value") / 1000, 1) + 0.0).alias("value"))
+_OK = f"({o.draw(chr(39) + '1' + chr(39) + ', symbol, CAST(bar_idx AS VARCHAR)')} < 0.9 OR action = 'hold')"
+query(
+    "e3_e5_fills",
+    o.query(
+        f"{ORDERS}, fx AS (SELECT *, {_OK} AS success FROM od)",
+        f"ts, action, success, CASE WHEN success THEN 'executed' ELSE 'failed' END AS status, CASE WHEN success AND action <> 'hold' THEN round_even(1 + 0.01 * quantity, 2) ELSE 0.0 END + 0.0::DOUBLE AS commission, "
+        f"CASE WHEN success THEN {stats.cents('close * quantity')} ELSE 0.0 END + 0.0 AS total_value, CASE WHEN NOT success THEN 'execution failed' END AS error, concat('order-', symbol, '-', bar_idx) AS order_id",
+        "fx",
+    ),
+)(lambda s, d: agentic.fills(agentic.signals(src.bars_market(s, d), BY), BY, 0.9).select("ts", "action", "success", "status", "commission", (F.col("total_value") + 0.0).alias("total_value"), "error", "order_id"))
+query("e6_signal_backtest", o.query(f"{ORDERS}, fl AS (SELECT *, CASE action WHEN 'buy' THEN 1 WHEN 'sell' THEN -1 ELSE 0 END AS sg FROM od WHERE bar_idx >= 49), rn AS (SELECT *, sum(sg * quantity) {o.far()} AS position, 100000 - sum(sg * {stats.cents('close * quantity')}) {o.far()} AS cash FROM fl)", "ts, CAST(position AS BIGINT) AS position, round(cash + greatest(position, 0) * close, 2) + 0.0 AS value", "rn"))(
+    lambda s, d: agentic.signal_backtest(src.bars_market(s, d), BY).select("ts", F.col("position").cast("bigint").alias("position"), (F.round("value", 2) + 0.0).alias("value"))
 )
 query("e7_run_once", o.query(ORDERS, "ts, action, quantity", "od", "ORDER BY ts DESC LIMIT 1"))(lambda s, d: agentic.run_once(src.bars_market(s, d), BY).select("ts", "action", "quantity"))
-query("e10_e12_environment")(lambda s, d: agentic.simulate_environment(agentic.environment_features(src.bars_market(s, d), BY).withColumn("action", F.pmod(F.dayofyear("ts"), F.lit(3)).cast("int")), BY))
-query("e14_e15_episode")(lambda s, d: (x := agentic.episode_summary(QUERIES["e10_e12_environment"](s, d), BY)).withColumn("signal", agentic.model_signal(F.col("total_return"))))
+_EN = ("balance", "portfolio_value", "reward")
+query("e10_e12_environment", "WITH RECURSIVE " + o.query(stats.environment(), f"symbol, ts, action, CAST(position AS BIGINT) AS position, {rr(*_EN)}", "en").removeprefix("WITH "))(
+    lambda s, d: rounded(agentic.simulate_environment(agentic.environment_features(src.bars_market(s, d), BY).withColumn("action", F.pmod(F.dayofyear("ts"), F.lit(3)).cast("int")), BY))
+)
+_EP = f"pk AS (SELECT *, greatest(max(portfolio_value) {o.far()}, 100000.0) AS peak FROM en), ep AS (SELECT symbol, (last(portfolio_value ORDER BY ts) - 100000) / 100000 AS total_return, max(1 - portfolio_value / peak) AS max_drawdown, count(CASE WHEN action <> 1 THEN 1 END) AS trades FROM pk GROUP BY symbol)"
+query("e14_e15_episode", "WITH RECURSIVE " + o.query(f"{stats.environment()}, {_EP}", f"symbol, {rr('total_return', 'max_drawdown')}, trades, CASE WHEN total_return > 0.02 THEN 'BUY' WHEN total_return < -0.02 THEN 'SELL' ELSE 'HOLD' END AS action, {o.r('least(0.9, 0.5 + abs(total_return))', 'confidence')}", "ep").removeprefix("WITH "))(
+    lambda s, d: rounded(agentic.episode_summary(agentic.simulate_environment(agentic.environment_features(src.bars_market(s, d), BY).withColumn("action", F.pmod(F.dayofyear("ts"), F.lit(3)).cast("int")), BY), BY).withColumn("x", agentic.model_signal(F.col("total_return"))).select("symbol", "total_return", "max_drawdown", "trades", "x.action", "x.confidence"))
+)
 
 # --- presentation transforms
-query("c1_c2_equity_views", o.query(f"{SMA_BT}, {UNDER}", f"ts, {o.r('ln(abs(equity / first_value(equity) ' + o.far() + ' * 100))', 'rebased')}, {o.r('dd * 100', 'underwater')}", "dd"))(lambda s, d: rounded(metrics.with_drawdown(market_run(s, d), BY).select("ts", F.log(F.abs(F.col("equity") / F.first("equity").over(c.so_far(BY)) * 100)).alias("rebased"), (F.col("drawdown") * 100).alias("underwater"))))
+query("c1_c2_equity_views", o.query(f"{SMA_BT}, {UNDER}", f"ts, {o.r(stats.slog('(equity / first_value(equity) ' + o.far() + ' * 100)'), 'rebased')}, {o.r('dd * 100', 'underwater')}", "dd"))(lambda s, d: rounded(metrics.with_drawdown(market_run(s, d), BY).select("ts", slog(F.col("equity") / F.first("equity").over(c.so_far(BY)) * 100).alias("rebased"), (F.col("drawdown") * 100).alias("underwater"))))
 query("c3_histogram", o.query(f"{SMA_BT}, e AS (SELECT min(gross) AS lo, max(gross) AS hi FROM bt)", "CAST(least(43, floor((gross - lo) / ((hi - lo) / 44))) AS INT) AS bin, count(*) AS n", "bt, e", "GROUP BY 1"))(lambda s, d: metrics.histogram(market_run(s, d), "gross", 44))
 query("c4_gross_net_per_date", o.query(BOOK, f"ts, {rr('exposure', 'net_exposure')}", "pd"))(lambda s, d: cols(portfolio.portfolio_returns(book(s, d)), "ts", "exposure", "net_exposure"))
 query("c5_position_value", o.query(ORDERS, f"ts, close * quantity AS value, {o.r('close * quantity / 100000', 'allocation', 3)}", "od"))(lambda s, d: agentic.signals(src.bars_market(s, d), BY).select("ts", (F.col("price") * F.col("quantity")).alias("value"), (F.round(F.col("price") * F.col("quantity") / 100000, 3) + 0.0).alias("allocation")))

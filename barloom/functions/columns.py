@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import statistics
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,21 +84,51 @@ def symbol_seed(symbol: Column) -> Column:
 _normal = statistics.NormalDist()
 norm_cdf, norm_ppf = _normal.cdf, _normal.inv_cdf
 
+# Published rational approximations of the normal distribution function (Hart 5666) and of
+# its inverse (Acklam), highest power first.
+CDF_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+CDF_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+PPF_TOP = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+PPF_BOTTOM = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+PPF_TAIL_TOP = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+PPF_TAIL_BOTTOM = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+PPF_TAIL = 0.02425
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def polynomial(x: Column, powers: tuple[float, ...]) -> Column:
+    out = F.lit(powers[0])
+    for c in powers[1:]:
+        out = out * x + c
+    return out
+
 
 def norm_cdf_column(x: Column) -> Column:
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(norm_cdf, na_action="ignore")
+    """To about 1e-15."""
+
+    def below(z: Column) -> Column:
+        bell, far = F.exp(-z * z / 2), F.lit(0.65)
+        for k in (4, 3, 2, 1):
+            far = k / (z + far)
+        return F.when(z < 7.07106781186547, bell * polynomial(z, CDF_TOP) / polynomial(z, CDF_BOTTOM)).otherwise(bell / (z + far) / 2.506628274631)
 
-    return F.pandas_udf(run, "double")(x)
+    return let(x, lambda v: let(let(F.least(F.abs(v), F.lit(38.0)), below), lambda b: F.when(v > 0, 1 - b).otherwise(b)))
 
 
 def norm_ppf_column(p: Column) -> Column:
-    """Null outside (0, 1)."""
+    """Null outside (0, 1). An approximation and one step of Halley's method."""
 
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: norm_ppf(x) if 0 < x < 1 else None, na_action="ignore")
+    def near(p: Column) -> Column:
+        middle = let((p - 0.5) * (p - 0.5), lambda r: polynomial(r, PPF_TOP) / polynomial(r, PPF_BOTTOM)) * (p - 0.5)
+        out = let(F.sqrt(-2 * F.log(F.least(p, 1 - p))), lambda t: polynomial(t, PPF_TAIL_TOP) / polynomial(t, PPF_TAIL_BOTTOM))
+        return F.when(p < PPF_TAIL, out).when(p > 1 - PPF_TAIL, -out).otherwise(middle)
 
-    return F.pandas_udf(run, "double")(p)
+    step = lambda p, x: let((norm_cdf_column(x) - p) * 2.5066282746310002 * F.exp(x * x / 2), lambda u: x - u / (1 + x * u / 2))
+    return let(p, lambda v: F.when((v > 0) & (v < 1), let(near(v), lambda x: step(v, x))))
 
 
 def finite(c: str) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cross_sectional import _calm, _momentum, _reversal, rebalance_hold, scores_to_weights, with_weights
+from .cross_sectional import _calm, _momentum, _reversal, legs_of, rebalance_hold, with_weights
 from .engine import Costs
 from .portfolio import portfolio_returns, run_portfolio
 
@@ -19,10 +19,11 @@ def style_factors(panel: DataFrame, ppy: int = 252) -> DataFrame:
         "momentum": _momentum([], 250, 20), "low_vol": _calm([], 60), "reversal": _reversal([], 5),
         "liquidity": -F.log(F.when(F.col("close") * F.col("volume") > 0, F.col("close") * F.col("volume"))),
     }
-    books = with_weights(panel, "equal_weight", {"rebalance": 1}).withColumn("factor", F.lit("market"))
-    for name, score in scores.items():
-        book = rebalance_hold(scores_to_weights(panel.withColumn("score", score)).drop("score"), [], 21)
-        books = books.unionByName(book.withColumn("factor", F.lit(name)))
+    market = with_weights(panel, "equal_weight", {"rebalance": 1}).withColumn("factor", F.lit("market"))
+    # the other four are rows of one plan, scored by one sort per symbol
+    each = F.array(*[F.struct(F.lit(name).alias("factor"), score.alias("score")) for name, score in scores.items()])
+    styles = panel.withColumn("_all", each).select(*panel.columns, F.explode("_all").alias("_v")).select("*", "_v.*").drop("_v")
+    books = market.unionByName(rebalance_hold(legs_of(styles, ["factor"]).drop("score"), ["factor"], 21))
     free = Costs(0, 0, 0)
     return portfolio_returns(run_portfolio(books, ["factor"], free, ppy=ppy), ["factor"], free, ppy).select("factor", "ts", "bar_idx", "net")
 

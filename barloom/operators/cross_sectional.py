@@ -16,20 +16,22 @@ MIN_NAMES = 4
 SYMBOL = ["symbol"]
 
 
-def scores_to_weights(df: DataFrame, by: list[str] = [], long_frac: float = 0.3, short_frac: float = 0.3, long_only: bool = False, min_names: int = MIN_NAMES, score: str = "score") -> DataFrame:  # noqa: B006
-    """Adds weight: each leg shared evenly; an empty leg leaves its date without weights."""
+def legs_of(df: DataFrame, by: list[str] = [], long_frac: float | Column = 0.3, short_frac: float | Column = 0.3, long_only: bool = False, min_names: int = MIN_NAMES) -> DataFrame:  # noqa: B006
+    """score -> weight: the names of highest and of lowest score share a leg each; an empty leg leaves its date without weights.
+
+    The shares of names in the legs may be columns, so that variants are rows of one plan.
+    """
     at = W.partitionBy(*by, "ts")
-    df = df.withColumn("_rank", rank_pct(score, [*by, "ts"]))
-    df = df.withColumns({"_long": F.coalesce(F.col("_rank") > 1 - long_frac, F.lit(False)), "_short": F.coalesce(F.col("_rank") <= short_frac, F.lit(False))})
-    leg = lambda c: ratio(F.col(c).cast("double"), F.sum(F.col(c).cast("double")).over(at))
-    w = leg("_long") if long_only else leg("_long") * 0.5 - leg("_short") * 0.5
-    w = F.when(F.count(score).over(at) >= min_names, w).otherwise(0.0)
-    return df.withColumn("weight", F.coalesce(w, F.lit(0.0))).drop("_rank", "_long", "_short")
+    df = df.withColumn("_rank", rank_pct("score", [*by, "ts"]))
+    top, bottom = (F.coalesce(c, F.lit(False)).cast("double") for c in (F.col("_rank") > 1 - long_frac, F.col("_rank") <= short_frac))
+    share = lambda chosen: ratio(chosen, F.sum(chosen).over(at))
+    weight = share(top) if long_only else share(top) * 0.5 - share(bottom) * 0.5
+    return df.withColumn("weight", F.coalesce(F.when(F.count("score").over(at) >= min_names, weight), F.lit(0.0))).drop("_rank")
 
 
-def rebalance_hold(df: DataFrame, by: list[str], every: int) -> DataFrame:
+def rebalance_hold(df: DataFrame, by: list[str], every: int | Column) -> DataFrame:
     """weight as of the last bar whose position is a multiple of `every`."""
-    if every <= 1:
+    if isinstance(every, int) and every <= 1:
         return df
     kept = F.last(F.when(F.col("bar_idx") % every == 0, F.col("weight")), ignorenulls=True).over(so_far([*by, "symbol"], "bar_idx"))
     return df.withColumn("weight", F.coalesce(kept, F.lit(0.0)))
@@ -98,23 +100,25 @@ def list_xs_strategies(exclude: tuple[str, ...] = ()) -> list[CrossSectional]:
     return [s for k, s in XS_REGISTRY.items() if k not in exclude]
 
 
-def with_weights(panel: DataFrame, key: str, params: dict | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Adds weight in [-1, 1] by the rule."""
+def trial_weights(panel: DataFrame, key: str, grid: list[dict], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """The panel once per variant of a rule, told apart by trial_id, with weight in [-1, 1].
+
+    Scores of all variants come from one sort per symbol; then variants are rows, ranked by trial and date.
+    """
     s = get_xs_strategy(key)
-    p = s.clean(params)
+    grid = [s.clean(g) for g in grid]
+    keys = [*by, "trial_id"]
     if s.score is None:
         n = F.sum(F.col("listed").cast("double")).over(W.partitionBy(*by, "ts"))
-        df = panel.withColumn("weight", F.coalesce(ratio(F.col("listed").cast("double"), n), F.lit(0.0)))
-    else:
-        frac = p.get("long_frac", 0.3)
-        df = scores_to_weights(panel.withColumn("score", s.score(by, **p)), by, frac, frac).drop("score")
-    return rebalance_hold(df, by, p["rebalance"]).withColumn("weight", F.coalesce(clip(F.col("weight"), -1, 1), F.lit(0.0)))
-
-
-def trial_weights(panel: DataFrame, key: str, grid: list[dict]) -> DataFrame:
-    """The panel once per variant of a rule, told apart by trial_id. A branch per variant reads the same exchange."""
-    parts = [with_weights(panel, key, g).withColumn("trial_id", F.lit(i)) for i, g in enumerate(grid)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        panel = panel.withColumn("weight", F.coalesce(ratio(F.col("listed").cast("double"), n), F.lit(0.0)))
+    score = lambda g: F.lit(None).cast("double") if s.score is None else s.score(by, **g)
+    variants = F.array(*[F.struct(F.lit(k).alias("trial_id"), score(g).alias("score"), F.lit(float(g.get("long_frac", 0.3))).alias("_frac"), F.lit(int(g["rebalance"])).alias("_every")) for k, g in enumerate(grid)])
+    df = panel.withColumn("_all", variants).select(*[c for c in panel.columns if c not in ("trial_id", "score")], F.explode("_all").alias("_v")).select("*", "_v.*").drop("_v")
+    if s.score is not None:
+        df = legs_of(df, keys, F.col("_frac"), F.col("_frac"))
+    return rebalance_hold(df, keys, F.col("_every")).withColumn("weight", F.coalesce(clip(F.col("weight"), -1, 1), F.lit(0.0))).drop("score", "_frac", "_every")
+
+
+def with_weights(panel: DataFrame, key: str, params: dict | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Adds weight in [-1, 1] by the rule."""
+    return trial_weights(panel, key, [params or {}], by).drop("trial_id")

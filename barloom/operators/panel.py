@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import over, ratio
@@ -14,7 +15,10 @@ def make_panel(bars: DataFrame, min_bars: int = 2) -> DataFrame:
 
     The grid is the result's own size by definition; the calendar, one row per time, is numbered once.
     """
-    kept = bars.join(bars.groupBy("symbol").count().filter(F.col("count") >= min_bars).select("symbol"), "symbol", "left_semi")
+    missing = {"symbol", "ts", *OHLCV} - set(bars.columns)
+    if missing:
+        raise ValueError(f"bars without {sorted(missing)}")
+    kept = bars.withColumn("_n", F.count("*").over(W.partitionBy("symbol"))).filter(F.col("_n") >= min_bars).select("symbol", "ts", *OHLCV)
     calendar = kept.select("ts").distinct().withColumn("bar_idx", F.row_number().over(over([])) - 1)
     grid = kept.select("symbol").distinct().join(calendar, how="cross")
     dense = grid.join(kept.select("symbol", "ts", *OHLCV), ["symbol", "ts"], "left")

@@ -124,7 +124,7 @@ def rank_pct(c: str, by: str = "ts") -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY {by} ORDER BY {c} NULLS LAST) + (count({c}) OVER (PARTITION BY {by}, {c}) - 1) / 2.0) / count({c}) OVER (PARTITION BY {by}) END"
 
 
-def _weights(score: str, every: int, steps: str = "") -> str:
+def book_weights(score: str, every: int, steps: str = "") -> str:
     leg = lambda c: f"CAST({c} AS DOUBLE) / nullif(sum(CAST({c} AS DOUBLE)) OVER (PARTITION BY ts), 0)"
     source = "sc0" if steps else "panel"
     return (
@@ -139,38 +139,40 @@ def xs_weights() -> dict[str, str]:
     lg = lambda k: lag("close", k, "symbol", "bar_idx")
     return {
         "equal_weight": f"w0 AS (SELECT *, coalesce(CAST(listed AS DOUBLE) / nullif(sum(CAST(listed AS DOUBLE)) OVER (PARTITION BY ts), 0), 0.0) AS w FROM panel), wt AS (SELECT *, coalesce(last_value(CASE WHEN bar_idx % 21 = 0 THEN w END IGNORE NULLS) {far('symbol', 'bar_idx')}, 0.0) AS weight FROM w0)",
-        "xs_momentum": _weights(f"{lg(20)} / {lg(250)} - 1", 21),
-        "xs_reversal": _weights(f"-(close / {lg(5)} - 1)", 5),
-        "low_volatility": _weights(f"-({roll('stddev_samp', 'ret', 60, 'symbol', 'bar_idx')})", 21),
-        "xs_value_proxy": _weights(f"-(close / ({roll('avg', 'close', 250, 'symbol', 'bar_idx')}) - 1)", 21),
-        "xs_random": _weights(f"CASE WHEN listed THEN {draw(chr(39) + 'xs' + chr(39) + ', ' + chr(39) + '7' + chr(39) + ', CAST(bar_idx AS VARCHAR), symbol')} END", 21),
+        "xs_momentum": book_weights(f"{lg(20)} / {lg(250)} - 1", 21),
+        "xs_reversal": book_weights(f"-(close / {lg(5)} - 1)", 5),
+        "low_volatility": book_weights(f"-({roll('stddev_samp', 'ret', 60, 'symbol', 'bar_idx')})", 21),
+        "xs_value_proxy": book_weights(f"-(close / ({roll('avg', 'close', 250, 'symbol', 'bar_idx')}) - 1)", 21),
+        "xs_random": book_weights(f"CASE WHEN listed THEN {draw(chr(39) + 'xs' + chr(39) + ', ' + chr(39) + '7' + chr(39) + ', CAST(bar_idx AS VARCHAR), symbol')} END", 21),
     }
 
 
-def portfolio(carry: str | None = None) -> str:
-    """CTEs from wt to pd (dates). carry: the condition of a row to rebalance on."""
+def portfolio(carry: str | None = None, by: str = "", source: str = "wt", free: bool = False) -> str:
+    """CTEs from wt to pd (dates). carry: the condition of a row to rebalance on; by: a key of separate books; free: without costs."""
+    lead, name = (f"{by}, ", f"{by}, symbol") if by else ("", "symbol")
+    fee, borrow = ("0.0", "0.0") if free else ("0.0003", "0.005 / 252")
     steps = [
-        "n1 AS (SELECT *, CASE WHEN listed THEN coalesce(weight, 0.0) ELSE 0.0 END AS w1, coalesce(ret, 0.0) AS ar FROM wt)",
-        "n2 AS (SELECT *, w1 * coalesce(least(1.0, 1.0 / nullif(sum(abs(w1)) OVER (PARTITION BY ts), 0)), 1.0) AS target FROM n1)",
-        f"h1 AS (SELECT *, CASE WHEN tradable THEN coalesce({lag('target', 1, 'symbol', 'bar_idx')}, 0.0) ELSE 0.0 END AS held FROM n2)",
+        f"n1 AS (SELECT *, CASE WHEN listed THEN coalesce(weight, 0.0) ELSE 0.0 END AS w1, coalesce(ret, 0.0) AS ar FROM {source})",
+        f"n2 AS (SELECT *, w1 * coalesce(least(1.0, 1.0 / nullif(sum(abs(w1)) OVER (PARTITION BY {lead}ts), 0)), 1.0) AS target FROM n1)",
+        f"h1 AS (SELECT *, CASE WHEN tradable THEN coalesce({lag('target', 1, name, 'bar_idx')}, 0.0) ELSE 0.0 END AS held FROM n2)",
     ]
-    source = "h1"
+    last_step = "h1"
     if carry:
-        seg = "PARTITION BY symbol, seg ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND"
+        seg = f"PARTITION BY {name}, seg ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND"
         steps += [
             f"k0 AS (SELECT *, {carry} AS reb FROM h1)",
-            f"k1 AS (SELECT *, sum(CAST(reb AS INT)) {far('symbol', 'bar_idx')} AS seg FROM k0)",
+            f"k1 AS (SELECT *, sum(CAST(reb AS INT)) {far(name, 'bar_idx')} AS seg FROM k0)",
             f"k2 AS (SELECT *, first_value(held) OVER ({seg} CURRENT ROW) AS ws, min(CAST(tradable AS INT)) OVER ({seg} CURRENT ROW) AS alive FROM k1)",
             "k3 AS (SELECT *, CASE WHEN alive = 1 THEN 1 + ar ELSE 1.0 END AS gg FROM k2)",
             f"k4 AS (SELECT *, coalesce(product(gg) OVER ({seg} 1 PRECEDING), 1.0) AS gr FROM k3)",
-            "k5 AS (SELECT * EXCLUDE (held), CASE WHEN seg > 0 AND alive = 1 THEN ws * gr / (1 + sum(ws * (gr - 1)) OVER (PARTITION BY ts)) ELSE 0.0 END AS held FROM k4)",
+            f"k5 AS (SELECT * EXCLUDE (held), CASE WHEN seg > 0 AND alive = 1 THEN ws * gr / (1 + sum(ws * (gr - 1)) OVER (PARTITION BY {lead}ts)) ELSE 0.0 END AS held FROM k4)",
         ]
-        source = "k5"
+        last_step = "k5"
     steps += [
-        f"p1 AS (SELECT *, coalesce(held * (1 + ar) / nullif(1 + sum(held * ar) OVER (PARTITION BY ts), 0), 0.0) AS drifted, coalesce(CAST(tradable AS DOUBLE) / nullif(sum(CAST(tradable AS DOUBLE)) OVER (PARTITION BY ts), 0), 0.0) AS eq FROM {source})",
-        f"p2 AS (SELECT *, abs(held - coalesce({lag('drifted', 1, 'symbol', 'bar_idx')}, 0.0)) AS traded, coalesce({lag('eq', 1, 'symbol', 'bar_idx')}, 0.0) * ar AS bench FROM p1)",
-        "p3 AS (SELECT ts, bar_idx, sum(held * ar) AS gross, sum(traded) AS traded, sum(traded) * 0.0003 + sum(abs(least(held, 0.0))) * 0.005 / 252 AS cost, sum(bench) AS bench, sum(abs(held)) AS exposure, sum(held) AS net_exposure, count(CASE WHEN abs(held) > 1e-9 THEN 1 END) AS positions, sum(held * held) / nullif(sum(abs(held)) * sum(abs(held)), 0) AS hhi FROM p2 GROUP BY ts, bar_idx)",
+        f"p1 AS (SELECT *, coalesce(held * (1 + ar) / nullif(1 + sum(held * ar) OVER (PARTITION BY {lead}ts), 0), 0.0) AS drifted, coalesce(CAST(tradable AS DOUBLE) / nullif(sum(CAST(tradable AS DOUBLE)) OVER (PARTITION BY {lead}ts), 0), 0.0) AS eq FROM {last_step})",
+        f"p2 AS (SELECT *, abs(held - coalesce({lag('drifted', 1, name, 'bar_idx')}, 0.0)) AS traded, coalesce({lag('eq', 1, name, 'bar_idx')}, 0.0) * ar AS bench FROM p1)",
+        f"p3 AS (SELECT {lead}ts, bar_idx, sum(held * ar) AS gross, sum(traded) AS traded, sum(traded) * {fee} + sum(abs(least(held, 0.0))) * {borrow} AS cost, sum(bench) AS bench, sum(abs(held)) AS exposure, sum(held) AS net_exposure, count(CASE WHEN abs(held) > 1e-9 THEN 1 END) AS positions, sum(held * held) / nullif(sum(abs(held)) * sum(abs(held)), 0) AS hhi FROM p2 GROUP BY {lead}ts, bar_idx)",
         "p4 AS (SELECT *, gross - cost AS net FROM p3)",
-        "pd AS (SELECT *, 100000 * product(1 + net) OVER (ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM p4)",
+        f"pd AS (SELECT *, 100000 * product(1 + net) OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM p4)",
     ]
     return ", ".join(steps)

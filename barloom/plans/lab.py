@@ -161,17 +161,36 @@ def run_portfolio_lab(panel: DataFrame, cfg: LabConfig) -> Report:
     return Report(held, metrics, trials, reality_score(_input_row(spark, row)), {"dsr": dsr, "pbo": over, "permutation": test, "walk_forward": forward, "attribution": style, "survivorship": life, "null": null})
 
 
+def rule_moments(runs: DataFrame, ppy: int = 252) -> DataFrame:
+    """trial_id, n, mean, sd, skew, kurt, growth and sharpe of each run."""
+    s = F.col("net")
+    obs = runs.groupBy("trial_id").agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("sd"), F.skewness(s).alias("skew"), (F.kurtosis(s) + 3).alias("kurt"), F.product(1 + s).alias("growth"))
+    return obs.join(sharpes(runs, ["trial_id"], ppy), "trial_id")
+
+
+def arena_runs(bars: DataFrame, costs: Costs = Costs(), ppy: int = 252) -> DataFrame:
+    """Every rule at its defaults over one numbered series, told apart by trial_id, in one plan."""
+    return run_backtest(with_targets(bars, ["symbol"], [(s, s.clean()) for s in list_strategies()]), ["symbol", "trial_id"], costs, ppy=ppy)
+
+
+def deflated_rules(bars: DataFrame, costs: Costs = Costs(), ppy: int = 252, grid_limit: int = 40) -> DataFrame:
+    """strategy, n_trials (the rule's own grid), sharpe and hurdle per period, psr, dsr."""
+    rules, out = list_strategies(), []
+    for r in rule_moments(arena_runs(numbered(bars, ["symbol"]), costs, ppy), ppy).collect():  # a row per rule
+        d = v.deflated_sharpe(r.asDict(), None, len(rules[r["trial_id"]].grid(grid_limit)))
+        out.append((rules[r["trial_id"]].key, int(d["n_trials"]), d["sharpe"], d["hurdle"], d["psr"], d["dsr"]))
+    return bars.sparkSession.createDataFrame(out, "strategy string, n_trials int, sharpe double, hurdle double, psr double, dsr double")
+
+
 def run_arena(bars: DataFrame, n_permutations: int = 120, costs: Costs = Costs(), seed: int = 1, ppy: int = 252, grid_limit: int = 40) -> DataFrame:
     """Every rule at its defaults: metrics, p_value, dsr over the rule's own grid and evidence = (1 - p) * dsr, best first. One backtest plan for all."""
     bars = numbered(bars, ["symbol"])
     rules = [(s, s.clean()) for s in list_strategies()]
-    runs = run_backtest(with_targets(bars, ["symbol"], rules), ["symbol", "trial_id"], costs, ppy=ppy)
+    runs = arena_runs(bars, costs, ppy)
     markets = v.permute_bars(bars, ["symbol"], n_permutations, seed)
     keys = ["perm_id", "symbol"]
     null = sharpes(run_backtest(with_targets(markets, keys, rules, "bar_idx"), [*keys, "trial_id"], costs, ppy=ppy, order="bar_idx"), [*keys, "trial_id"], ppy).withColumnRenamed("sharpe", "_null")
-    s = F.col("net")
-    obs = runs.groupBy("trial_id").agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("sd"), F.skewness(s).alias("skew"), (F.kurtosis(s) + 3).alias("kurt"), F.product(1 + s).alias("growth"))
-    obs = obs.join(sharpes(runs, ["trial_id"], ppy), "trial_id")
+    obs = rule_moments(runs, ppy)
     tested = obs.join(null, "trial_id").groupBy(*obs.columns).agg(((1 + F.count(F.when(F.col("_null") >= F.col("sharpe"), 1))) / (F.count("*") + 1)).alias("p_value"))
     rows = tested.collect()  # a row per rule
     more = {r["trial_id"]: r for r in compute_metrics(runs, ["trial_id"], ppy).select("trial_id", "cagr", "max_drawdown", "n_trades").collect()}

@@ -13,7 +13,7 @@ from ..functions.columns import draw, norm_cdf, norm_ppf, numbered, over, ratio,
 from ..operators.cross_sectional import trial_weights
 from ..operators.engine import Costs, run_backtest
 from ..operators.metrics import DEGENERATE, compute_metrics, sharpes
-from ..operators.panel import slice_bars
+from ..operators.panel import with_state
 from ..operators.portfolio import portfolio_returns, run_portfolio
 from ..operators.strategies import Strategy, thinned, with_targets
 
@@ -239,24 +239,21 @@ def walk_forward_panel(panel: DataFrame, strategy, n_folds: int = 4, train_ratio
     bounds = fold_bounds(n, n_folds, train_ratio)
     if not bounds:
         return None
-    grid = strategy.grid(grid_limit)
-    train = None
-    for f, start, test, _ in bounds:
-        part = trial_weights(slice_bars(panel, start, test), strategy.key, grid).withColumn("fold", F.lit(f))
-        train = part if train is None else train.unionByName(part)
+    grid, position = strategy.grid(grid_limit), F.col("bar_idx")
+    folds = _fold_table(panel.sparkSession, bounds)
+    # every fold a panel of its own: positions from 0 and state as if nothing came before
+    each = panel.drop("listed", "tradable", "ret").join(folds, (position >= F.col("start")) & (position < F.col("stop")))
+    each = each.withColumn("at_bar", position).withColumn("bar_idx", position - F.col("start"))
+    train = trial_weights(with_state(each.filter("at_bar < test"), ("fold",)), strategy.key, grid, ["fold"])
     keys = ["fold", "trial_id"]
     scored = sharpes(portfolio_returns(run_portfolio(train, keys, costs, rebalance=rebalance, ppy=ppy, **how), keys, costs, ppy), keys, ppy)
-    winners = scored.groupBy("fold").agg(F.max_by("trial_id", F.struct("sharpe", -F.col("trial_id"))).alias("trial_id"), F.max("sharpe").alias("is_sharpe")).collect()  # a row per fold
-    tests = None
-    for w in winners:
-        _, start, test, stop = bounds[w["fold"] - 1]
-        warm = trial_weights(slice_bars(panel, start, stop), strategy.key, [grid[w["trial_id"]]]).select("symbol", "ts", "weight")
-        part = slice_bars(panel, test, stop).join(warm, ["symbol", "ts"]).withColumn("fold", F.lit(w["fold"]))
-        tests = part if tests is None else tests.unionByName(part)
-    dates = portfolio_returns(run_portfolio(tests, ["fold"], costs, rebalance=rebalance, ppy=ppy, **how), ["fold"], costs, ppy)
+    # a row per fold
+    winners = F.broadcast(scored.groupBy("fold").agg(F.max_by("trial_id", F.struct("sharpe", -F.col("trial_id"))).alias("trial_id"), F.max("sharpe").alias("is_sharpe")))
+    warm = trial_weights(with_state(each, ("fold",)), strategy.key, grid, ["fold"]).join(winners.select(*keys), keys, "left_semi").select("fold", "symbol", "ts", "weight")
+    tested = with_state(each.filter("at_bar >= test").withColumn("bar_idx", F.col("at_bar") - F.col("test")), ("fold",)).join(warm, ["fold", "symbol", "ts"])
+    dates = portfolio_returns(run_portfolio(tested, ["fold"], costs, rebalance=rebalance, ppy=ppy, **how), ["fold"], costs, ppy)
     m = compute_metrics(dates, ["fold"], ppy, order="bar_idx", position=None).select("fold", F.col("sharpe").alias("oos_sharpe"), F.col("total_return").alias("oos_return"), F.col("max_drawdown").alias("oos_max_dd"))
-    chosen = panel.sparkSession.createDataFrame([(w["fold"], w["trial_id"], float(w["is_sharpe"])) for w in winners], "fold int, trial_id int, is_sharpe double")
-    return chosen.join(m, "fold")
+    return winners.join(m, "fold").select("fold", "trial_id", "is_sharpe", "oos_sharpe", "oos_return", "oos_max_dd")
 
 
 def cost_stress(runs: DataFrame, by: list[str], ppy: int = 252) -> DataFrame:

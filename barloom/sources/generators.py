@@ -57,11 +57,11 @@ def normal(*key) -> Column:
     return F.sqrt(-2 * F.log(u + 1e-12)) * F.cos(v * 2 * np.pi)
 
 
-def walk_bars(spark: SparkSession, symbol: str, start: str, n: int, seconds: int = 60, price: float = 100.0, vol: float = 0.02, noise: float = 0.005, seed: int = 0) -> DataFrame:
-    """Bars of a multiplicative walk, prices to the cent."""
+def walk_bars(spark: SparkSession, symbol: str, start: str, n: int, seconds: int = 60, price: float = 100.0, vol: float = 0.02, noise: float = 0.005, seed: int = 0, trend: float = 0.0) -> DataFrame:
+    """Bars of a multiplicative walk, prices to the cent. trend: mean change of a bar from open to close."""
     ids = spark.range(n).withColumn("symbol", F.lit(symbol)).withColumn("ts", (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * seconds)))
     z = lambda k: normal(F.lit(seed), F.lit(symbol), "id", F.lit(k))
-    steps = ids.withColumns({"gap": 1 + noise * z("gap"), "body": 1 + vol * z("body"), "wide": 1.5 + 1.5 * draw(F.lit(seed), "id", F.lit("wide")), "volume": (1000 + 9000 * draw(F.lit(seed), "id", F.lit("volume"))).cast("int")})
+    steps = ids.withColumns({"gap": 1 + noise * z("gap"), "body": 1 + trend + vol * z("body"), "wide": 1.5 + 1.5 * draw(F.lit(seed), "id", F.lit("wide")), "volume": (1000 + 9000 * draw(F.lit(seed), "id", F.lit("volume"))).cast("int")})
     w = so_far(["symbol"], "id")
     walked = steps.withColumn("close", price * F.exp(F.sum(F.log(F.greatest(F.col("gap") * F.col("body"), F.lit(1e-6)))).over(w)))
     walked = walked.withColumn("open", F.col("close") / F.greatest(F.col("body"), F.lit(1e-6)))
@@ -69,10 +69,12 @@ def walk_bars(spark: SparkSession, symbol: str, start: str, n: int, seconds: int
     return walked.select("symbol", "ts", F.round("open", 2).alias("open"), F.round(F.greatest("open", "close") + reach, 2).alias("high"), F.round(F.greatest(F.lit(0.0), F.least("open", "close") - reach), 2).alias("low"), F.round("close", 2).alias("close"), F.col("volume").cast("double").alias("volume"))
 
 
-def scenario(spark: SparkSession, name: str, symbol: str, start: str, n: int, vol: float = 0.02, **how) -> DataFrame:
+def scenario(spark: SparkSession, name: str, symbol: str, start: str, n: int, vol: float = 0.02, trend: float = 0.0001, **how) -> DataFrame:
+    """A walk whose volatility and trend are multiplied, or whose trend is set, by the scenario."""
     if name not in SCENARIOS:
         raise ValueError(f"unknown scenario {name}; there are {', '.join(SCENARIOS)}")
-    return walk_bars(spark, symbol, start, n, vol=vol * SCENARIOS[name][0], **how).withColumn("scenario", F.lit(name))
+    wilder, steeper, fixed = SCENARIOS[name]
+    return walk_bars(spark, symbol, start, n, vol=vol * wilder, trend=trend * steeper if fixed is None else fixed, **how).withColumn("scenario", F.lit(name))
 
 
 def walk_ticks(spark: SparkSession, symbol: str, start: str, minutes: int, interval_ms: int = 1000, price: float = 100.0, noise: float = 0.005, seed: int = 0) -> DataFrame:
