@@ -10,7 +10,8 @@ Matches of a rule are leftmost, longest and don't overlap, for rules in which a
 earlier also ends earlier (all rules here). Spans are code points, end exclusive.
 
 Defined results: null text is empty and has no spans; null or repeated doc_ids keep a row each; an
-empty table gives an empty frame; other columns are ignored.
+empty table gives an empty frame; matches of different rules may overlap and are all returned; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ from .common import text_col
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: `pattern` over ASCII, letters in either case if `fold`; a match is kept if `tail` characters of `last` end it."""
+    """A kind of secret: `pattern` over ASCII, letters in either case if `fold`; a match is kept if it has `least` characters and `tail` of `last` end it."""
 
     kind: str
     pattern: str
     fold: bool = False
     last: str = ""
     tail: int = 0
+    least: int = 0
 
 
 # The base rules, their order and least lengths. A run of characters has its least
@@ -47,6 +49,15 @@ BASE = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 
+# Published forms of credentials that the base rules don't cover. Least lengths counted in
+# the pattern, and rules of several runs, would multiply the states of the combined automaton (six more
+# rules made 78,204), so lengths are checked on the match and rules are few.
+MORE = (
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("git_token", r"gh[oprsu]_[A-Za-z0-9]+", least=40),
+    Rule("pay_key", r"[rs]k_live_[A-Za-z0-9]+", least=24),
+)
+
 
 class _Reader:
     """Recursive descent over: literals, \\xHH and \\c escapes, classes, groups, |, ?, *, +, {m}, {m,}, {m,n}."""
@@ -302,7 +313,12 @@ class Scanner:
 
     def keep(self, k: int, text: str) -> bool:
         r = self.rules[k]
-        return not r.tail or bool(_tail(r.last, r.tail).search(text))
+        return len(text) >= r.least and (not r.tail or bool(_tail(r.last, r.tail).search(text)))
+
+
+@lru_cache(maxsize=4)
+def compiled(rules: tuple[Rule, ...]) -> Scanner:
+    return Scanner.compile(rules)
 
 
 @lru_cache(maxsize=32)
@@ -313,9 +329,9 @@ def _tail(last: str, least: int):
     return re.compile(rf"^[^:=]*[:=]\x20*[\"']?[{last}]{{{least},}}$")
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE) -> DataFrame:
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """doc_id and secrets, an array of (kind, start, end) in order of start, then rule, for each row of `docs` (doc_id, text)."""
-    made = docs.sparkSession.sparkContext.broadcast(Scanner.compile(tuple(rules)))
+    made = docs.sparkSession.sparkContext.broadcast(compiled(tuple(rules)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = made.value
@@ -326,10 +342,13 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE) -> DataFrame:
             for t in b.column(1):
                 data = t.as_buffer().to_pybytes()
                 spans = []
-                for k, hits in scanner.scan(data, linked).items():
+                found = scanner.scan(data, linked)
+                # code points before each byte, counted once for a text
+                points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1 if found and not data.isascii() else None
+                for k, hits in found.items():
                     for s, e in hits:
                         if scanner.keep(k, data[s:e].decode()):
-                            at = len(data[:s].decode())
+                            at = s if points is None else int(points[s])
                             spans.append((at, k, at + e - s))
                 out.append([{"kind": scanner.rules[k].kind, "start": s, "end": e} for s, k, e in sorted(spans)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["doc_id", "secrets"])
@@ -339,6 +358,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE) -> DataFrame:
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    spans = F.concat_ws(",", F.transform("secrets", lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))))
+    base = F.filter("secrets", lambda x: x.kind.isin([r.kind for r in BASE]))
+    text = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))))
     count = lambda kind: F.size(F.filter("secrets", lambda x: x.kind == kind)).cast("bigint").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("secrets")).alias("spans"))

@@ -23,6 +23,10 @@ ODD = [
 ]
 
 
+#: Names that operators use for columns of their own, and some in other letters.
+CLASH = {"k": "clash", "i": 4, "key": 1, "h": 2.0, "node": "n", "size": 0, "digest": "d", "kept": True, "same": "x", "kept_id": 1, "of": 7, "FROM": 8, "like": "y", "rank": 3, "Copies": "z", "copy": 5, "own": 6, "rejected": 1, "copies_": 2}
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     """Documents with clashing extra columns, odd rows, and planted passages."""
@@ -36,7 +40,7 @@ def docs(spark):
         planted.append((8000 + i, u[:c] + t[a : a + rng.choice([150, 199, 200, 201, 260])] + u[c : c + 300], f"s{i % 3}"))
     more = spark.createDataFrame([(*r, None) for r in ODD] + planted, "doc_id long, text string, source string")
     both = base.unionByName(more)
-    return both.withColumns({"k": F.lit("clash"), "key": F.lit(1), "h": F.lit(2.0), "node": F.lit("n"), "size": F.lit(0), "digest": F.lit("d"), "kept": F.lit(True)}).cache()
+    return both.withColumns({c: F.lit(v) for c, v in CLASH.items()}).cache()
 
 
 @pytest.fixture(scope="module")
@@ -66,9 +70,12 @@ def test_exact_dedup(spark, docs, rows, empty):
     again = exact_dedup.DigestIndex(spark, index.path, 4)
     second = exact_dedup.exact_dedup(docs.filter("doc_id = 7004").withColumn("doc_id", F.lit(99999).cast("long")), again).first()
     assert second.keep_id == 7005 and not second.kept and again.rows().count() == len(n)
-    kept = exact_dedup.keep_first(docs.withColumns({"kept_id": F.lit(1), "same": F.lit("x"), "DIGEST_": F.lit(b"y")}), exact_dedup.DigestIndex(spark, new_path(spark, "t6b"), 4)).drop("kept_id", "same", "DIGEST_")
+    kept = exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark, new_path(spark, "t6b"), 4))
     assert kept.columns == docs.columns and Counter(r.text or "" for r in kept.collect()) == Counter(dict.fromkeys(n, 1))
-    assert exact_dedup.exact_dedup(empty, exact_dedup.DigestIndex(spark, new_path(spark, "t6c"), 4)).count() == 0
+    values = lambda df: {(r.doc_id, r.text or "", *[r[c] for c in CLASH]) for r in df.collect()}
+    assert values(kept) <= values(docs)  # other columns come back as they were
+    none = exact_dedup.DigestIndex(spark, new_path(spark, "t6c"), 4)
+    assert exact_dedup.exact_dedup(empty, none).count() == 0 and exact_dedup.keep_first(empty, none).count() == 0
 
 
 def test_index_deals_itself_into_more_buckets(spark):
@@ -120,13 +127,45 @@ def test_mixing(spark, docs, rows, empty):
         assert r.taken == r.copies * r.size <= 2 * r.size and r.source_size == size[r.source] and r.target == pytest.approx(target[r.source])
         taken[r.source] += r.taken
     assert len(got) == len(rows)
+    for s, t in target.items():  # rates against bisection on the dual's derivative, over documents
+        x = np.array([r.size for r in got if r.source == s and r.size > 0], float)
+        if not len(x) or not t:
+            continue
+        low, high, rates = -1e5, 1e5, None
+        for _ in range(200):
+            lam = (low + high) / 2
+            rates = np.minimum(2, np.exp(np.minimum(lam * x / x.mean(), 1)))
+            low, high = (lam, high) if (rates * x).sum() < t else (low, lam)
+        mine = np.array([r.rate for r in got if r.source == s and r.size > 0])
+        np.testing.assert_allclose(np.sort(mine), np.sort(rates), atol=1e-6)
     for s, t in target.items():  # copies are whole, so half of a source's largest document may be out of reach
         largest = max(r.size for r in got if r.source == s)
         assert abs(taken[s] - t) <= max(2, 0.02 * t, largest / 2 if len([r for r in got if r.source == s]) < 20 else 0), s
     assert Counter(map(tuple, mixing.mix(docs).collect())) == Counter(map(tuple, got))
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    assert all(r[c] == v for r in out.limit(5).collect() for c, v in CLASH.items())
+
+
+def test_mixing_of_hot_and_odd_sources(spark, monkeypatch):
+    """One source holds nearly all rows, another is named like the code of none, ids are missing or repeated."""
+    monkeypatch.setattr(mixing, "RUN", 40)
+    rng = random.Random(5)
+    rows = [(None if k % 3 == 0 else k % 50, "w " * rng.randint(0, 30), "hot") for k in range(900)]
+    rows += [(2000 + k, "v " * rng.randint(1, 9), s) for k, s in enumerate(["\U0010ffff", None, "t", "s", ""] * 8)] + [(3000, "lone", "one"), (3000, "lone", "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    size, taken = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    for r in got:
+        taken[r.source] += r.taken
+    target = waterfill(size)
+    assert len(got) == len(rows) and all(r.target == pytest.approx(target[r.source]) and r.source_size == size[r.source] for r in got)
+    assert all(abs(taken[s] - t) <= 1.01 or s in (None, "one", "", "s", "t", "\U0010ffff") and abs(taken[s] - t) <= 5 for s, t in target.items())
+    assert Counter(map(tuple, mixing.mix(df).collect())) == Counter(map(tuple, got))
+    assert mixing.mixed(df).count() == sum(r.copies for r in got)
 
 
 # --- 4, 5, 9
@@ -167,6 +206,44 @@ def test_packing(docs, rows, empty):
     assert got.groupby("sequence_id").length.sum().max() <= 2048
     assert got.sequence_id.nunique() <= got.length.sum() / 2048 * 1.02 + 1
     assert packing.pack_documents(empty).count() == 0
+    assert got.sequence_id.nunique() == plain_bins(list(got.length), 2048)
+
+
+def plain_bins(lengths: list[int], capacity: int) -> int:
+    """Best-two-fit, a document at a time."""
+    left, bins = sorted(lengths, reverse=True), 0
+    while left:
+        held, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                held.append(x)
+                left.remove(x)
+                gap -= x
+        while gap and len(held) > 1:
+            low = min(held)
+            room, free, best = gap + low, Counter(left), None
+            for a in sorted(free):
+                fits = [b for b in free if a + b <= room and (b != a or free[a] > 1)]
+                if fits and (best is None or a + max(fits) > sum(best)):
+                    best = (a, max(fits))
+            if best is None or sum(best) <= low:
+                break
+            held.remove(low)
+            left.append(low)
+            for x in best:
+                left.remove(x)
+                held.append(x)
+            left.sort(reverse=True)
+            gap = capacity - sum(held)
+        bins += 1
+    return bins
+
+
+def test_best_two_fit_matches_a_plain_run():
+    rng = random.Random(11)
+    for _ in range(25):
+        lengths = [rng.choice([rng.randint(1, 40), 7, 13, 40]) for _ in range(rng.randint(1, 90))]
+        assert sum(times for _, times in packing.best_two_fit(Counter(lengths), 40)) == plain_bins(lengths, 40)
 
 
 def test_best_two_fit_swaps_the_smallest():
@@ -232,11 +309,31 @@ def test_secrets(spark, rows, empty):
     bits = ["password", "PassWd", "secret", "token", "api_key", "apikey", "AKIA", "=", ":", " ", '"', "'", "a", "f", "0", "Z", "-", "é", "deadbeef", "token=token:", "secre", "0123456789ABCDEF", "abcdef0123456789abcdef0"]
     texts = ["".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(3000)] + [t for _, t, _ in rows]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in secrets.find_secrets(df).collect():
+    for r in secrets.find_secrets(df, secrets.BASE).collect():
         assert [tuple(x) for x in r.secrets] == brute(texts[r.doc_id]), texts[r.doc_id]
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secrets_of_further_rules(spark, docs):
+    """All rules in one pass: the base spans stay as they are, the others match their regexes."""
+    more = {
+        "private_key": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0), "git_token": ("gh[oprsu]_[A-Za-z0-9]+", 40), "pay_key": ("[rs]k_live_[A-Za-z0-9]+", 24),
+    }
+    rng = random.Random(7)
+    bits = ["-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "ghp_", "gho_", "a1B2c3D4e5F6", "sk_live_", "rk_live_", "é", " ", "password=", "AKIA", "0123456789abcdef", "_", "日"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 16))) for _ in range(1500)] + ["é ghp_" + "x" * 40 + " password=hunter22 " * 3000, None, ""]
+    df = spark.createDataFrame([(None if k % 9 == 0 else k % 400, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit(v) for c, v in CLASH.items()})
+    base = Counter((r.doc_id, tuple(map(tuple, r.secrets))) for r in secrets.find_secrets(df, secrets.BASE).collect())
+    got = secrets.find_secrets(df).collect()
+    kinds = [r.kind for r in secrets.BASE]
+    assert Counter((r.doc_id, tuple(tuple(x) for x in r.secrets if x.kind in kinds)) for r in got) == base and len(got) == len(texts)
+    order = {r.kind: k for k, r in enumerate(secrets.BASE + secrets.MORE)}
+    want = lambda t: [(k, m.start(), m.end()) for k, (p, n) in more.items() for m in re.finditer(p, t) if len(m[0]) >= n]
+    wanted = Counter((None if k % 9 == 0 else k % 400, tuple(sorted(want(t or ""), key=lambda x: (x[1], order[x[0]])))) for k, t in enumerate(texts))
+    assert Counter((r.doc_id, tuple(tuple(x) for x in r.secrets if x.kind not in kinds)) for r in got) == wanted
+    assert sum(len(x) for _, x in wanted) > 100
+
+
 # --- 7
 def test_toxicity(spark, docs, empty):
     rng = random.Random(3)
@@ -259,6 +356,69 @@ def test_toxicity(spark, docs, empty):
     assert none is None and toxicity.toxicity(docs, none).filter("rejected").count() == 0 and toxicity.toxicity(empty, chain).count() == 0
 
 
+def test_chain_matches_a_plain_one(spark):
+    """Dense matrices, features from whole texts, folds and steps written out again; and what odd rows get."""
+    rng = np.random.default_rng(17)
+    words = ["alpha", "betas", "gamma9", "delta", "crud", "Crudely", "vile", "villainy", "zeta,eta", "it's"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(150)] + ["", ""]
+    y = np.column_stack([["crud" in t.lower() for t in texts], ["vil" in t for t in texts]]).astype(float)
+    y[::11, 0] = np.nan
+    flip = rng.random(len(texts)) < 0.1
+    y[flip, 1] = 1 - y[flip, 1]
+    chain = toxicity.Chain(["low", "bad"], signal=1.0).fit(texts, y)
+
+    def own(t):
+        found = re.findall(r"\w+", t.lower())
+        return set(found) | {f"{w[:n]}-" for w in found for n in (4, 5, 6) if len(w) >= n}
+
+    every = [own(t) for t in texts]
+    assert all(sum(f in e for e in every) >= chain.least for f in chain.names)
+    x = np.array([[f in e for f in chain.names] for e in every], float)
+
+    def fit(x, y, steps=80, rate=0.2, decay=1e-5):
+        z = np.column_stack([x, np.ones(len(x))])
+        w, m, v = np.zeros(z.shape[1]), 0.0, 0.0
+        mean = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+        w[-1] = np.log(mean / (1 - mean))
+        for t in range(1, steps + 1):
+            g = z.T @ (1 / (1 + np.exp(-np.clip(z @ w, -30, 30))) - y) / len(y)
+            g[:-1] += decay * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        return lambda x: 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -30, 30)))
+
+    fold, held, models, earlier = np.arange(len(texts)) % 3, [], [], x
+    for k in range(2):
+        known = ~np.isnan(y[:, k])
+        out = np.zeros(len(texts))
+        for f in range(3):
+            out[fold == f] = fit(earlier[known & (fold != f)], y[known & (fold != f), k])(earlier[fold == f])
+        models.append(fit(earlier[known], y[known, k]))
+        held.append(out)
+        earlier = np.column_stack([earlier, out])
+    np.testing.assert_allclose(chain.held_out, np.array(held).T, atol=1e-6)
+    new = ["crud vile alpha", "", "VILLAINY delta", "nothing known"]
+    z = np.array([[f in own(t) for f in chain.names] for t in new], float)
+    first = models[0](z)
+    want = np.column_stack([first, models[1](np.column_stack([z, first]))])
+    np.testing.assert_allclose(chain.score(new, {}), want, atol=1e-6)
+    rows = [(None, "crud vile alpha"), (1, None), (1, ""), (1, "VILLAINY delta"), (1, "VILLAINY delta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(v) for c, v in CLASH.items()})
+    got = Counter((r.doc_id, round(r.p_toxic, 6), r.rejected) for r in toxicity.toxicity(df, chain).collect())
+    p = {"crud vile alpha": want[0, 1], "": want[1, 1], "VILLAINY delta": want[2, 1]}
+    assert got == Counter((i, round(p[t or ""], 6), bool(p[t or ""] >= 0.5)) for i, t in rows)
+    kept = toxicity.keep_clean(df, chain)
+    assert kept.columns == df.columns and kept.count() == sum(p[t or ""] < 0.5 for _, t in rows)
+
+
+def test_labels_of_repeated_and_missing_ids(spark):
+    """A document labelled twice counts once, as 1 if any label says so; null ids and labels of no document are not learnt from."""
+    docs = spark.createDataFrame([(k, f"word{k % 7} other text") for k in range(40)] + [(None, "word1")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 7 == 1)) for k in range(40)] + [(1, 0, 0), (None, 0, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs, labels)
+    assert chain.held_out.shape == (40, 2)
+
+
 # --- 3
 @pytest.mark.parametrize(("group", "part"), [(20_000, 1 << 20), (2, 700)])
 def test_suffix_dedup(docs, rows, empty, monkeypatch, group, part):
@@ -313,7 +473,31 @@ def test_jaccard_join(spark, docs, rows, empty, monkeypatch):
     assert Counter(map(tuple, jaccard_join.jaccard_join(mine).collect())) == want
     assert sum(map(len, links)) > 30
     assert jaccard_join.jaccard_join(empty).count() == 0
-    assert jaccard_join.keep_one(docs).columns == docs.columns
+    assert jaccard_join.keep_one(empty).count() == 0
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    # one row of each component, the least id's, and every row without words
+    sets = [shingles(t) for _, t, _ in rows]
+    group = {s: {s} for s in set(sets) - {None}}
+    for a in list(group):
+        for b in list(group):
+            if a is not b and len(a & b) * 5 >= 4 * len(a | b) and group[a] is not group[b]:
+                both = group[a] | group[b]
+                for x in both:
+                    group[x] = both
+    heads = {id(g): min((i for (i, t, _), x in zip(rows, sets, strict=True) if x in g and i is not None), default=None) for g in {id(g): g for g in group.values()}.values()}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(heads.values()) + Counter(i for (i, _, _), x in zip(rows, sets, strict=True) if x is None)
+
+
+def test_keep_one_of_rows_without_ids(spark):
+    w = [f"u{k}" for k in range(40)]
+    near = [" ".join([*w[:k], "x", *w[k + 1 :]]) for k in (0, 1, 39)] + [" ".join(w)] * 2
+    rows = [(None, t) for t in near] + [(None, "another text of several words here"), (None, ""), (None, None), (4, near[0]), (4, "a quite different text with that id too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(df).collect())
+    assert got == Counter([(4, near[0]), (None, "another text of several words here"), (None, ""), (None, None), (4, "a quite different text with that id too")])
+    alone = spark.createDataFrame([(None, t) for t in near], "doc_id long, text string")
+    assert jaccard_join.keep_one(alone).count() == 1
 
 
 def test_pruning_keeps_similar_pairs():
