@@ -48,9 +48,11 @@ def cols(df: DataFrame, *names: str, n: int = 6) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a local one only where no checkpoint folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A folder that driver and executors share; only a session that is one process may have a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='barloom-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def market(spark, d):
@@ -112,8 +114,27 @@ def _(s, d):
 
 
 query("s10_panel_load", o.query(o.BRAND + ", n AS (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 120)", BAR_SQL, "bars", "WHERE symbol IN (SELECT symbol FROM n)"))(
-    lambda s, d: ((b := src.bars_brand(s, d)).join(b.groupBy("symbol").count().filter("count >= 120"), "symbol", "left_semi")).select(*BY, "ts", *OHLCV)
+    lambda s, d: src.load_panel_bars(src.bars_brand(s, d))[0].select(*BY, "ts", *OHLCV)
 )
+query("s10_panel_notes", o.query(o.BRAND + ", w AS (SELECT unnest(['BRAND#11', 'BRAND#12', 'NONE']) AS asked)", "coalesce(symbol, asked) AS symbol, count(symbol) AS bars, CASE WHEN count(symbol) < 1400 THEN 'skipped' ELSE 'loaded' END AS note", "w LEFT JOIN bars ON upper(symbol) = asked", "GROUP BY ALL"))(
+    lambda s, d: src.load_panel_bars(src.bars_brand(s, d), ["brand#11", "Brand#12 ", "none", "Brand#11"], 1400)[1]
+)
+
+
+@query("s6_dispatch", o.query(o.MARKET, BAR_SQL, "bars"))
+def _(s, d):
+    path = scratch(s)
+    src.write_csv(src.bars_market(s, d), path)
+    return src.load_data(s, {"data_source": {"type": "csv", "path": path}}).select(*BY, "ts", *OHLCV)
+
+
+@query("s9_synthetic_scan", stats.walk_bars("TEST", "2024-01-01", 200))
+def _(s, d):
+    config = {"data_source": {"type": "synthetic", "path": scratch(s)}}
+    src.load_data(s, config, lambda: gen.walk_bars(s, "TEST", "2024-01-01", 200))
+    return src.load_data(s, config, lambda: gen.walk_bars(s, "OTHER", "2024-01-01", 5)).select(*BY, "ts", *OHLCV)  # the file is there: it wins
+
+
 query("s12_json_sink", o.query(o.MARKET, f"strftime(ts, '%Y-%m-%d') AS day, {rr(*OHLCV)}", "bars"))(
     lambda s, d: rounded(lab.to_json(src.bars_market(s, d)).select(F.substring(F.get_json_object("json", "$.ts"), 1, 10).alias("day"), *[F.get_json_object("json", f"$.{x}").cast("double").alias(x) for x in OHLCV]))
 )
@@ -141,6 +162,9 @@ query("n3_clamp_window", o.query(o.HOURS, BAR_SQL, "bars", f"WHERE ts >= TIMESTA
 )
 query("n4_drop_incomplete", o.query(o.HOURS, BAR_SQL, "bars", f"WHERE ts + INTERVAL 1 HOUR <= TIMESTAMP '{NOW}'"))(lambda s, d: (src.drop_incomplete(src.tick_bars(src.ticks(s, d)), "1h", ntz(NOW))).select(*BY, "ts", *OHLCV))
 query("n5_split_suspects", o.query(o.BRAND + f", m AS (SELECT symbol, abs({o.change()}) AS m FROM bars)", "symbol, count(CASE WHEN m > 0.35 THEN 1 END) AS suspects", "m", "GROUP BY symbol"))(lambda s, d: src.split_suspects(src.bars_brand(s, d), BY))
+query("s8_vendor_history", f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY event_id DESC) AS k FROM ({RAW})) SELECT symbol, ts, value AS open, value AS high, value AS low, value AS close, 0.0 AS volume FROM k WHERE k = 1 AND value > 0 AND ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-01-25' AND ts + INTERVAL 1 HOUR <= TIMESTAMP '{NOW}'")(
+    lambda s, d: src.vendor_history(raw_events(s, d).drop("part"), "event_id", ntz("2024-01-02"), ntz("2024-01-25"), ntz(NOW), "1h")[0].select(*BY, "ts", *OHLCV)
+)
 _ALIASES = ["1min", "5Min", "1Hour", "1D", "fortnight"]
 query("n6_interval_map", "SELECT CASE o_orderkey % 5 WHEN 0 THEN '1m' WHEN 1 THEN '5m' WHEN 2 THEN '1h' ELSE '1d' END AS interval, count(*) AS n FROM orders GROUP BY 1")(
     lambda s, d: src.table(s, d, "orders").select(src.interval_of(F.array(*map(F.lit, _ALIASES))[(F.col("o_orderkey") % 5).cast("int")]).alias("interval")).groupBy("interval").agg(F.count("*").alias("n"))
@@ -461,14 +485,57 @@ query("c5_position_value", o.query(ORDERS, f"ts, close * quantity AS value, {o.r
 
 
 # --- streams, run over everything there is
-@query("st1_st4_new_bars", o.query(o.MARKET, f"symbol, ts, {rr('close')}", "bars"))
-def _(s, d):
+FIRST, LAST = "1999-01-01", "2001-06-01"
+
+
+def in_files(s, d, *parts: Column) -> DataFrame:
+    """A stream of the market's bars in files that come one after the other, the n-th with the rows of parts[n]."""
     s.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
-    path, sink, marks = scratch(s), scratch(s), scratch(s)
-    bars = src.bars_market(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    bars.repartition(1).write.parquet(path)
-    live.run_available(live.new_bars(live.read_bar_files(s, path)), sink, marks)
-    live.run_available(live.new_bars(live.read_bar_files(s, path)), sink, marks)  # nothing is new the second time
+    path = scratch(s)
+    bars = market(s, d).withColumn("ts", F.col("ts").cast("timestamp")).persist()
+    for rows in parts:
+        bars.filter(rows).drop("bar_idx").coalesce(1).write.mode("append").parquet(path)
+    bars.unpersist()
+    return live.read_bar_files(s, path)
+
+
+def append_to(sink: str):
+    return lambda batch, k: batch.write.mode("append").parquet(sink)
+
+
+def fails(batch, k):
+    raise RuntimeError("a callback that fails stops no other")
+
+
+_MARK = f"m AS (SELECT max(ts) AS mark FROM bars WHERE ts < TIMESTAMP '{FIRST}' AND bar_idx % 10 <> 3)"
+
+
+@query("st1_st6_live_bars", o.query(f"{o.MARKET}, {_MARK}", f"symbol, ts, {rr('close')}", "bars, m", f"WHERE (ts < TIMESTAMP '{FIRST}' AND bar_idx % 10 <> 3) OR (ts > mark AND ts + INTERVAL 1 DAY <= TIMESTAMP '{LAST}')"))
+def _(s, d):
+    sink, old = scratch(s), F.col("ts") < F.lit(FIRST).cast("timestamp")
+    # the second file brings late bars, repeated ones and new ones, some of which still form
+    stream = in_files(s, d, old & (F.col("bar_idx") % 10 != 3), ~old | (F.col("bar_idx") % 10 == 3) | (F.col("bar_idx") % 7 == 0))
+    live.live_bars(stream, "1d", LAST, [fails, append_to(sink)], scratch(s)).awaitTermination()
+    return cols(s.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", "close")
+
+
+_ENDS = ("1997-06-01", "1999-06-01")
+_LAST_OF = " UNION ALL ".join(f"SELECT max(ts) AS ts FROM od{w}" for w in [*[f" WHERE ts < TIMESTAMP '{e}'" for e in _ENDS], ""])
+
+
+@query("e8_live_loop", o.query(f"{ORDERS}, l AS ({_LAST_OF})", f"ts, action, quantity, {o.r('close', 'price')}", "od JOIN l USING (ts)"))
+def _(s, d):
+    sink, t = scratch(s), [F.lit(e).cast("timestamp") for e in _ENDS]
+    stream = in_files(s, d, F.col("ts") < t[0], (F.col("ts") >= t[0]) & (F.col("ts") < t[1]), F.col("ts") >= t[1])
+    live.trade_live(stream, append_to(sink), scratch(s)).awaitTermination()
+    return cols(s.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "ts", "action", "quantity", "price")
+
+
+@query("st1_st4_new_bars", o.query(f"{o.MARKET}, {_MARK}", f"symbol, ts, {rr('close')}", "bars, m", f"WHERE (ts < TIMESTAMP '{FIRST}' AND bar_idx % 10 <> 3) OR ts > mark"))
+def _(s, d):
+    sink, marks, old = scratch(s), scratch(s), F.col("ts") < F.lit(FIRST).cast("timestamp")
+    first = old & (F.col("bar_idx") % 10 != 3)
+    live.run_available(live.new_bars(in_files(s, d, first, ~first)), sink, marks)  # late bars and new ones
     return cols(s.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", "close")
 
 

@@ -41,6 +41,11 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--commission", type=float, default=1.0)
         c.add_argument("--slippage", type=float, default=2.0)
         c.add_argument("--rebalance")
+        c.add_argument("--lag", type=int, default=1)
+        c.add_argument("--leverage", type=float, default=1.0)
+        c.add_argument("--long-only", action="store_true")
+        c.add_argument("--capital", type=float, default=100_000.0)
+        c.add_argument("--seed", type=int, default=1)
         c.add_argument("--json", action="store_true")
     sub.add_parser("strategies")
     return p
@@ -57,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
         bars = spark.read.parquet(a.bars)
         wanted = [s.strip().upper() for s in a.symbol]
         bars = bars.filter(F.upper("symbol").isin(wanted)) if wanted else bars
-        cfg = lab.LabConfig(a.strategy, params(a.param), Costs(a.commission, a.slippage), a.permutations, a.folds, rebalance=a.rebalance)
+        cfg = lab.LabConfig(a.strategy, params(a.param), Costs(a.commission, a.slippage), a.permutations, a.folds, seed=a.seed, rebalance=a.rebalance, lag=a.lag, max_leverage=a.leverage, allow_short=not a.long_only, capital=a.capital)
         if a.command == "arena":
             rows = lab.run_arena(bars, a.permutations, cfg.costs)
         else:

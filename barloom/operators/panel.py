@@ -34,7 +34,11 @@ def with_state(dense: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def select_symbols(panel: DataFrame, symbols: list[str]) -> DataFrame:
-    return panel.filter(F.col("symbol").isin(symbols))
+    """Rows of the symbols that the panel has; an error if it has none of them."""
+    found = panel.filter(F.col("symbol").isin(symbols))
+    if found.isEmpty():
+        raise ValueError(f"none of {', '.join(symbols)} is in the panel")
+    return found
 
 
 def slice_bars(panel: DataFrame, first: int, stop: int) -> DataFrame:

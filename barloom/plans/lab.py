@@ -67,6 +67,16 @@ class LabConfig:
     ppy: int = 252
     rebalance: str | None = None
     block: int | None = None
+    lag: int = 1
+    max_leverage: float = 1.0
+    allow_short: bool = True
+    capital: float = 100_000.0
+
+    def how(self, panel: bool = False) -> dict:
+        """Options of the engine, or of the portfolio."""
+        if panel:
+            return {"lag": self.lag, "gross_leverage": self.max_leverage, "allow_short": self.allow_short}
+        return {"lag": self.lag, "max_leverage": self.max_leverage, "allow_short": self.allow_short, "capital": self.capital}
 
 
 @dataclass
@@ -80,11 +90,11 @@ class Report:
     extra: dict
 
 
-def trial_returns(bars: DataFrame, key: str, costs: Costs = Costs(), limit: int | None = 40, ppy: int = 252) -> DataFrame:
+def trial_returns(bars: DataFrame, key: str, costs: Costs = Costs(), limit: int | None = 40, ppy: int = 252, **how) -> DataFrame:
     """trial_id, bar_idx, net of every variant of a rule's grid over one series."""
     s = get_strategy(key)
     each = with_targets(bars, ["symbol"], [(s, g) for g in s.grid(limit)])
-    return run_backtest(each, ["symbol", "trial_id"], costs, ppy=ppy).select("trial_id", "bar_idx", "net")
+    return run_backtest(each, ["symbol", "trial_id"], costs, ppy=ppy, **how).select("trial_id", "bar_idx", "net")
 
 
 def _trial_sharpes(trials: DataFrame, ppy: int) -> list[float]:
@@ -105,17 +115,17 @@ def run_lab(bars: DataFrame, cfg: LabConfig = LabConfig()) -> Report:
     s = get_strategy(cfg.strategy)
     p = s.clean(cfg.params)
     stress = with_targets(bars, ["symbol"], [(s, p)]).withColumn("cost_mult", F.explode(F.array(F.lit(1), F.lit(3))))
-    both = run_backtest(stress, ["symbol", "cost_mult"], cfg.costs, ppy=ppy, cost_times="cost_mult")
+    both = run_backtest(stress, ["symbol", "cost_mult"], cfg.costs, ppy=ppy, cost_times="cost_mult", **cfg.how())
     runs = both.filter("cost_mult = 1")
     metrics = compute_metrics(runs, ["symbol"], ppy)
     bench = compute_metrics(runs, ["symbol"], ppy, ret="ret", equity="benchmark", position=None)
-    trials = trial_returns(bars, cfg.strategy, cfg.costs, cfg.grid_limit, ppy)
+    trials = trial_returns(bars, cfg.strategy, cfg.costs, cfg.grid_limit, ppy, **cfg.how())
     m, ratio = _one_row(metrics), _one_row(v.cost_stress(both, [], ppy))
     dsr = v.deflated_sharpe(v.moments_of(runs), _trial_sharpes(trials, ppy), len(s.grid(cfg.grid_limit)))
     over = _one_row(v.pbo(trials, cfg.n_splits))
-    null = v.permutation_null(bars, s, p, ["symbol"], cfg.n_permutations, cfg.costs, cfg.seed, cfg.block, ppy)
+    null = v.permutation_null(bars, s, p, ["symbol"], cfg.n_permutations, cfg.costs, cfg.seed, cfg.block, ppy, **cfg.how())
     test = _one_row(v.p_value(null, m["sharpe"]))
-    wf = v.walk_forward(bars, s, cfg.n_folds, costs=cfg.costs, ppy=ppy, grid_limit=min(cfg.grid_limit, 24))
+    wf = v.walk_forward(bars, s, cfg.n_folds, costs=cfg.costs, ppy=ppy, grid_limit=min(cfg.grid_limit, 24), **cfg.how())
     forward = _one_row(v.walk_forward_summary(wf[0])) if wf else {}
     row = {k: float(m[k]) for k in ("total_return", "sharpe", "max_drawdown", "n_trades", "turnover_ann")} | {
         "benchmark_sharpe": _one_row(bench)["sharpe"], "p_value": test["p_value"], "dsr": dsr["dsr"], "pbo": over["pbo"], "wf_efficiency": forward.get("efficiency"), "wf_win_rate": forward.get("oos_win_rate"),
@@ -134,11 +144,11 @@ def run_portfolio_lab(panel: DataFrame, cfg: LabConfig) -> Report:
     spark, ppy = panel.sparkSession, cfg.ppy
     s = get_xs_strategy(cfg.strategy)
     weighted = with_weights(panel, cfg.strategy, cfg.params)
-    held = run_portfolio(weighted, [], cfg.costs, rebalance=cfg.rebalance, ppy=ppy)
+    held = run_portfolio(weighted, [], cfg.costs, rebalance=cfg.rebalance, ppy=ppy, **cfg.how(panel=True))
     dates = portfolio_returns(held, [], cfg.costs, ppy)
     metrics = portfolio_metrics(dates, [], ppy)
     grid = s.grid(cfg.grid_limit)
-    trials = portfolio_returns(run_portfolio(trial_weights(panel, cfg.strategy, grid), ["trial_id"], cfg.costs, rebalance=cfg.rebalance, ppy=ppy), ["trial_id"], cfg.costs, ppy)
+    trials = portfolio_returns(run_portfolio(trial_weights(panel, cfg.strategy, grid), ["trial_id"], cfg.costs, rebalance=cfg.rebalance, ppy=ppy, **cfg.how(panel=True)), ["trial_id"], cfg.costs, ppy)
     stressed = portfolio_returns(held, [], Costs(cfg.costs.commission, cfg.costs.slippage, cfg.costs.borrow, 3 * cfg.costs.times), ppy)
     both = dates.withColumn("cost_mult", F.lit(1)).unionByName(stressed.withColumn("cost_mult", F.lit(3)))
     free = Costs(0, 0, 0)
@@ -147,7 +157,7 @@ def run_portfolio_lab(panel: DataFrame, cfg: LabConfig) -> Report:
     test = _one_row(v.p_value(null, observed))
     dsr = v.deflated_sharpe(v.moments_of(dates), _trial_sharpes(trials, ppy), len(grid))
     over = _one_row(v.pbo(trials, cfg.n_splits))
-    folds = v.walk_forward_panel(panel, s, min(cfg.n_folds, 4), costs=cfg.costs, rebalance=cfg.rebalance, ppy=ppy)
+    folds = v.walk_forward_panel(panel, s, min(cfg.n_folds, 4), costs=cfg.costs, rebalance=cfg.rebalance, ppy=ppy, **cfg.how(panel=True))
     forward = _one_row(v.walk_forward_summary(folds)) if folds is not None else {}
     style = factor_attribution(dates, style_factors(panel, ppy), ppy)
     life = _one_row(survivorship(panel))

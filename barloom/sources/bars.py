@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,19 +92,97 @@ def read_cache(spark: SparkSession, path: str, interval: str, symbols: list[str]
     return found.select("symbol", "ts", *OHLCV)
 
 
-def load_bars(source: str, cached: DataFrame | None, live: DataFrame | None, simulated: DataFrame, least: int = 50) -> tuple[DataFrame, str]:
-    """Bars and where they come from: a live frame or a cached one is taken if it has more than `least` rows, else the simulator's.
+def load_bars(source: str, cached: DataFrame | None, live: DataFrame | None, simulated: DataFrame, least: int = 50, start=None, end=None, cache: str | None = None, interval: str = "1d") -> tuple[DataFrame, str]:
+    """Bars from start to end and where they come from: a live frame or a cached one is taken if it has more than `least` rows there, else the simulator's.
 
     source: synthetic, yahoo or live (fail without a live frame), auto, or anything else for the cache.
+    cache: a folder that a live frame is written to, whole.
     """
-    enough = lambda df: df is not None and len(df.select(F.lit(1)).take(least + 1)) > least
+
+    def window(df: DataFrame) -> DataFrame:
+        df = df if start is None else df.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        return df if end is None else df.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+
+    enough = lambda df: df is not None and len(window(df).select(F.lit(1)).take(least + 1)) > least
     if source != "synthetic" and source in ("yahoo", "live", "auto") and enough(live):
-        return live, "yfinance"
+        if cache is not None:
+            write_cache(live, cache, interval)
+        return window(live), "yfinance"
     if source in ("yahoo", "live"):
         raise RuntimeError("no live bars")
     if source != "synthetic" and enough(cached):
-        return cached, "bundled"
-    return simulated, "synthetic"
+        return window(cached), "bundled"
+    return window(simulated), "synthetic"
+
+
+def load_panel_bars(bars: DataFrame, symbols: list[str] | None = None, min_bars: int = 120, simulated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bars of symbols with min_bars rows or more, a row per symbol asked for: symbol, bars, note).
+
+    Symbols that are missing are taken from `simulated` where it has them; what is too short is skipped and noted.
+    """
+    wanted = list(dict.fromkeys(s.strip().upper() for s in symbols)) if symbols else None
+    named = bars if wanted is None else bars.filter(F.upper("symbol").isin(wanted))
+    named = named.withColumn("simulated", F.lit(False))
+    if simulated is not None:
+        there = named.select("symbol").distinct()
+        more = simulated if wanted is None else simulated.filter(F.upper("symbol").isin(wanted))
+        named = named.unionByName(more.join(there, "symbol", "left_anti").select(*bars.columns, F.lit(True).alias("simulated")))
+    counts = named.groupBy("symbol").agg(F.count("*").alias("bars"), F.max("simulated").alias("simulated"))
+    if wanted is not None:
+        asked = bars.sparkSession.createDataFrame([(s,) for s in wanted], "asked string")
+        counts = asked.join(counts, F.upper("symbol") == F.col("asked"), "left").select(F.coalesce("symbol", "asked").alias("symbol"), F.coalesce("bars", F.lit(0)).alias("bars"), "simulated")
+    note = F.when(F.col("bars") < min_bars, "skipped").when(F.col("simulated"), "simulated").otherwise("loaded")
+    notes = counts.select("symbol", "bars", note.alias("note"))
+    return named.drop("simulated").join(notes.filter("note <> 'skipped'").select("symbol"), "symbol", "left_semi"), notes
+
+
+def vendor_history(raw: DataFrame, seq: str, start: Column, end: Column, now: Column, interval: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, suspected splits by symbol) of a vendor's raw rows: within the window the vendor keeps, clean, without the bar that still forms."""
+    bars = drop_incomplete(clamp_window(normalise(raw, seq), start, end, now, interval), interval, now)
+    return bars, split_suspects(bars, ["symbol"])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def synthetic_scan(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The bars in `path`; made and saved there first if there are none."""
+    if not exists(spark, path):
+        write_csv(make(), path)
+    return read_csv(spark, path)
+
+
+def read_config(path: str) -> dict:
+    """A JSON or, where PyYAML is installed, YAML file as a dict."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        import yaml
+
+        return yaml.safe_load(f)
+
+
+def load_data(spark: SparkSession, config: dict, make: Callable[[], DataFrame] | None = None, vendors: dict[str, Callable[[dict], DataFrame]] | None = None, strict: bool = True) -> DataFrame | None:
+    """Bars from the source a config names: csv, synthetic, or a vendor that the caller brings.
+
+    config: {"data_source": {"type": ..., "path": ...}}. Without `strict` a source that fails is None.
+    """
+    try:
+        source = config["data_source"]
+        kind = source["type"]
+        if kind == "csv":
+            return read_csv(spark, source["path"])
+        if kind == "synthetic" and make is not None:
+            return synthetic_scan(spark, source["path"], make)
+        if kind in (vendors or {}):
+            return vendors[kind](config)
+        raise ValueError(f"no data source {kind!r}")
+    except Exception:
+        if strict:
+            raise
+        return None
 
 
 def normalise(raw: DataFrame, seq: str, keep: str = "last", by: str = "symbol", drop_null: bool = False) -> DataFrame:

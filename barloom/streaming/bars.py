@@ -28,11 +28,9 @@ class HighWater(StatefulProcessor):
         self.mark = handle.getValueState("mark", "ts timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("ts", kind="stable")
         mark = self.mark.get()[0] if self.mark.exists() else None
-        if mark is not None:
-            pdf = pdf[pdf["ts"] > pd.Timestamp(mark)]
-        pdf = pdf.drop_duplicates("ts", keep="first")
+        parts = [p if mark is None else p[p["ts"] > pd.Timestamp(mark)] for p in rows]
+        pdf = pd.concat(parts).sort_values("ts", kind="stable").drop_duplicates("ts", keep="first")
         if len(pdf):
             self.mark.update((pdf["ts"].max().to_pydatetime(),))
         yield pdf[["symbol", "ts", *OHLCV]]
@@ -67,6 +65,18 @@ def complete_bars(stream: DataFrame, interval: str, now: str) -> DataFrame:
     return drop_incomplete(stream, interval, F.lit(now).cast("timestamp"))
 
 
+def live_bars(stream: DataFrame, interval: str, now: str, callbacks: list[Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None):
+    """Polled bars to every callback: those that still form are held back, then each symbol's mark passes what is newer."""
+    return fan_out(new_bars(complete_bars(stream, interval, now)), callbacks, checkpoint, every)
+
+
+def trade_live(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, **how):
+    """The signal rule on each symbol's recent bars after every batch; `act` gets the fills."""
+    from ..plans.agentic import run_once
+
+    return fan_out(recent_bars(stream), [lambda batch, k: act(run_once(batch.dropDuplicates(["symbol", "ts"]), ["symbol"], **how), k)], checkpoint, every)
+
+
 def new_bars(stream: DataFrame) -> DataFrame:
     return stream.groupBy("symbol").transformWithStateInPandas(HighWater(), BAR, "Append", "None")
 
@@ -84,11 +94,6 @@ def tick_windows(ticks: DataFrame, width: str = "1 hour", late: str = "10 minute
     )
 
 
-def tick_sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Ticks per symbol between pauses. An extension."""
-    return ticks.withWatermark("ts", late).groupBy("symbol", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select("symbol", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
-
-
 def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Everything there is, as Parquet; state and progress stay in `checkpoint`."""
     q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

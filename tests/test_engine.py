@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import make_bars, to_spark
+from conftest import as_bars, wander
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import numbered
@@ -9,7 +9,7 @@ from barloom.functions.indicators import with_indicators
 from barloom.operators import metrics
 from barloom.operators.cross_sectional import with_weights
 from barloom.operators.engine import Costs, run_backtest
-from barloom.operators.panel import make_panel, survivorship
+from barloom.operators.panel import make_panel, select_symbols, survivorship
 from barloom.operators.portfolio import carried, contributions, normalise_weights, portfolio_returns, run_portfolio
 from barloom.operators.strategies import REGISTRY, get_strategy, with_targets
 
@@ -19,21 +19,22 @@ BY = ["symbol"]
 def test_indicators_match_pandas(spark, bars):
     wanted = [("sma", 10), ("ema", 12), ("rsi", 14), ("atr", 14), ("macd", 12, 26, 9), ("boll", 20, 2.0), ("donchian", 20), ("rv", 20)]
     got = with_indicators(bars, BY, wanted).orderBy("ts").toPandas()
-    c = make_bars().close
+    frame = wander(400, 21)
+    c = frame.close
     d = c.diff()
     gain, loss = d.clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean(), (-d).clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
     e = lambda x, k: x.ewm(span=k, adjust=False, min_periods=k).mean()
     line = e(c, 12) - e(c, 26)
     want = {"sma_10": c.rolling(10).mean(), "ema_12": e(c, 12), "rsi_14": 100 - 100 / (1 + gain / loss), "macd_12_26_9_hist": line - e(line, 9), "boll_20_2p0_high": c.rolling(20).mean() + 2 * c.rolling(20).std(ddof=0)}
-    want |= {"donchian_20_high": (c * 1.005).rolling(20).max().shift(1), "rv_20": c.pct_change().rolling(20).std(ddof=0) * np.sqrt(252)}
+    want |= {"donchian_20_high": frame.high.rolling(20).max().shift(1), "rv_20": c.pct_change().rolling(20).std(ddof=0) * np.sqrt(252)}
     for k, v in want.items():
         np.testing.assert_allclose(got[k].astype(float), v, rtol=1e-9, err_msg=k)
 
 
 def test_targets_are_causal(spark):
-    pdf = make_bars(300, seed=3)
+    pdf = wander(300, 3)
     rules = [(s, s.clean({"lookback": 40, "slow": 60})) for s in REGISTRY.values()]
-    run = lambda n: with_targets(numbered(to_spark(spark, pdf.iloc[:n]), BY), BY, rules).filter("bar_idx < 200").orderBy("trial_id", "bar_idx").select("target").toPandas()
+    run = lambda n: with_targets(numbered(as_bars(spark, pdf.iloc[:n]), BY), BY, rules).filter("bar_idx < 200").orderBy("trial_id", "bar_idx").select("target").toPandas()
     pd.testing.assert_frame_equal(run(300), run(200))
 
 
@@ -54,7 +55,7 @@ def test_metrics_by_hand(spark):
     assert m["max_drawdown"] == -0.5 and m["time_under_water_yrs"] == 2 / 252 and m["total_return"] == pytest.approx(-0.1)
     flat = spark.createDataFrame([("x", i, 0.001, 1.0) for i in range(100)], "symbol string, ts int, net double, equity double")
     assert metrics.sharpes(flat, BY).first()["sharpe"] == 0
-    r = make_bars().close.pct_change().dropna()
+    r = wander(400, 21).close.pct_change().dropna()
     df = spark.createDataFrame([("x", i, float(v), 1.0, 0.0) for i, v in enumerate(r)], df.schema)
     m = metrics.compute_metrics(df, BY).first()
     assert m["skew"] == pytest.approx(r.skew()) and m["kurtosis"] == pytest.approx(r.kurtosis()) and m["var_95"] == pytest.approx(np.percentile(r, 5))
@@ -67,12 +68,16 @@ def test_one_name_portfolio_is_the_engine(spark, bars):
     np.testing.assert_allclose(book.net, single.net, atol=1e-12)
 
 
-def test_panel_and_book(spark, panel_bars):
-    p = make_panel(panel_bars)
-    assert p.count() == 8 * 500
-    assert p.filter("symbol = 'A2' and bar_idx between 100 and 139").filter("close is not null or tradable").count() == 0
+def test_panel_and_book(spark, book_bars):
+    p = make_panel(book_bars)
+    assert p.count() == 6 * 450
+    assert p.filter("symbol = 'N1' and bar_idx between 150 and 179").filter("close is not null or tradable").count() == 0
     s = survivorship(p).first()
-    assert s["n_delisted"] == 1 and s["delisted"] == ["A3"] and not s["biased"]
+    assert s["n_delisted"] == 1 and s["delisted"] == ["N4"] and s["late"] == ["N5"] and not s["biased"]
+    with pytest.raises(ValueError):
+        make_panel(book_bars.drop("volume"))
+    with pytest.raises(ValueError):
+        select_symbols(p, ["NONE"])
     book = run_portfolio(with_weights(p, "xs_reversal"))
     assert book.filter("not tradable and held <> 0").count() == 0
     total = contributions(book).agg(F.sum("contribution")).first()[0]
@@ -81,14 +86,14 @@ def test_panel_and_book(spark, panel_bars):
     assert over == pytest.approx(1.0)
 
 
-def test_drift_matches_a_loop(spark, panel_bars):
-    p = run_portfolio(with_weights(make_panel(panel_bars), "xs_reversal"))
+def test_drift_matches_a_loop(spark, book_bars):
+    p = run_portfolio(with_weights(make_panel(book_bars), "xs_reversal"))
     got = carried(p.drop("traded", "bench"), [], "21").orderBy("bar_idx", "symbol").toPandas()
-    shape = (500, 8)
+    shape = (450, 6)
     target, r, ok = p.orderBy("bar_idx", "symbol").toPandas()[["held", "asset_ret", "tradable"]].to_numpy().T
     target, r, ok = target.astype(float).reshape(shape), r.astype(float).reshape(shape), ok.astype(bool).reshape(shape)
-    now, want = np.zeros(8), []
-    for t in range(500):
+    now, want = np.zeros(6), []
+    for t in range(450):
         now = np.where(ok[t], target[t] if t % 21 == 0 else now, 0)
         want.append(now)
         now = now * (1 + r[t]) / (1 + now @ r[t])

@@ -1,7 +1,8 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
-from conftest import make_bars, to_spark
+from conftest import as_bars, wander
 from pyspark.sql import functions as F
 
 from barloom import cli
@@ -24,12 +25,12 @@ def test_normalise(spark):
 
 
 def test_validate(spark):
-    good = to_spark(spark, make_bars(10))
+    good = as_bars(spark, wander(10, 1))
     v = lambda df: src.validate(df).first()
     assert v(good)["valid"] and not v(good.limit(0))["valid"]
     assert not v(good.withColumn("low", F.lit(-1.0)))["valid"] and v(good.withColumn("volume", F.lit(-1.0)))["valid"]
     assert not v(good.withColumn("high", F.col("open") - 1))["valid"]
-    one = v(good.withColumn("close", F.when(F.dayofyear("ts") > 1, F.col("close"))))
+    one = v(good.withColumn("close", F.when(F.dayofmonth("ts") > 1, F.col("close"))))
     assert one["valid"] and one["n_missing"] == 1
     assert v(good.withColumn("volume", F.lit(0.0)))["volume_warning"]
 
@@ -43,12 +44,50 @@ def test_windows_of_vendors(spark):
 
 
 def test_load_falls_back(spark):
-    few, many, sim = (to_spark(spark, make_bars(n)) for n in (10, 60, 70))
+    few, many, sim = (as_bars(spark, wander(n, 1)) for n in (10, 60, 70))
     assert src.load_bars("auto", many, few, sim)[1] == "bundled" and src.load_bars("auto", few, None, sim)[1] == "synthetic" and src.load_bars("yahoo", None, many, sim)[1] == "yfinance"
     with pytest.raises(RuntimeError):
         src.load_bars("live", many, few, sim)
 
 
+def test_load_counts_rows_in_the_window_and_caches_live_bars(spark, tmp_path):
+    live_bars, sim = as_bars(spark, wander(90, 2, "A")), as_bars(spark, wander(60, 3, "A"))
+    got, origin = src.load_bars("auto", None, live_bars, sim, start=D(2021, 3, 1), end=D(2021, 6, 1), cache=str(tmp_path / "c"), interval="1d")
+    assert origin == "yfinance" and got.count() == 67 and src.read_cache(spark, str(tmp_path / "c"), "1d", ["A"]).count() == 90
+    assert src.load_bars("auto", None, live_bars, sim, start=D(2021, 6, 1))[1] == "synthetic"  # too few rows there
+
+
+def test_panel_notes(spark):
+    have, sim = as_bars(spark, pd.concat([wander(130, 1, "A"), wander(20, 2, "B")])), as_bars(spark, pd.concat([wander(140, 3, "A"), wander(150, 4, "C")]))
+    got, notes = src.load_panel_bars(have, ["a", "B", "c ", "x", "A"], 120, sim)
+    assert {r.symbol: (r.bars, r.note) for r in notes.collect()} == {"A": (130, "loaded"), "B": (20, "skipped"), "C": (150, "simulated"), "X": (0, "skipped")}
+    assert {r.symbol: r["count"] for r in got.groupBy("symbol").count().collect()} == {"A": 130, "C": 150}
+
+
+def test_dispatch_and_config(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"data_source": {"type": "synthetic", "path": "%s"}}' % (tmp_path / "made"))
+    (tmp_path / "c.yaml").write_text("data_source: {type: vendor}\n")
+    config = src.read_config(str(tmp_path / "c.json"))
+    make = lambda n: lambda: gen.walk_bars(spark, "T", "2024-01-01", n)
+    assert src.load_data(spark, config, make(60)).count() == 60 and src.load_data(spark, config, make(5)).count() == 60
+    assert src.load_data(spark, src.read_config(str(tmp_path / "c.yaml")), vendors={"vendor": lambda c: make(7)()}).count() == 7
+    assert src.load_data(spark, {"data_source": {"type": "odd"}}, strict=False) is None
+    with pytest.raises(ValueError):
+        src.load_data(spark, {"data_source": {"type": "odd"}})
+
+
+def test_vendor_history(spark):
+    raw = spark.createDataFrame([("a", D(2024, 6, k), c, k) for k, c in ((3, 1200.0), (4, 1208.0), (5, 120.5), (6, 121.0))], "symbol string, Date timestamp_ntz, `Adj Close` double, seq int")
+    at = lambda *x: F.lit(D(*x)).cast("timestamp_ntz")
+    got, suspects = src.vendor_history(raw, "seq", at(2024, 6, 1), at(2024, 6, 30), at(2024, 6, 6, 12), "1d")
+    assert got.count() == 3 and suspects.first()["suspects"] == 1  # the bar of the 6th still forms
+
+
+def test_nudged_bars(spark):
+    one = live.nudged(as_bars(spark, wander(1, 5, "A")), 3).first()
+    assert abs(one.close / one.open - 1) <= 0.01 and one.high == max(one.open, one.close) and one.low == min(one.open, one.close)
+
+
 def test_generators(spark):
     one, two = (gen.simulate(spark, ["AAPL"], "2018-01-01", "2019-12-31").toPandas() for _ in range(2))
     assert one.equals(two) and abs(one.close.iloc[-1] - 190) < 1e-9 and (one.high >= one[["open", "close"]].max(axis=1)).all() and (one.low > 0).all()

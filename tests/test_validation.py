@@ -4,12 +4,12 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import make_bars, to_spark
+from conftest import as_bars, wander
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import numbered
-from barloom.operators.cross_sectional import with_weights
-from barloom.operators.panel import make_panel
+from barloom.functions.columns import norm_cdf, norm_cdf_column, norm_ppf, norm_ppf_column, numbered
+from barloom.operators.cross_sectional import get_xs_strategy, with_weights
+from barloom.operators.panel import make_panel, slice_bars
 from barloom.operators.strategies import get_strategy
 from barloom.plans import agentic, lab
 from barloom.plans import validation as v
@@ -22,15 +22,18 @@ def trials(spark, x):
     return spark.createDataFrame(pd.DataFrame({"trial_id": np.tile(np.arange(n), t), "bar_idx": np.repeat(np.arange(t), n), "net": x.ravel()}))
 
 
-def test_pbo_tells_noise_from_an_edge(spark):
-    noise = v.pbo(trials(spark, np.random.default_rng(11).normal(0, 0.01, (1200, 30)))).first()
-    assert 0.2 < noise["pbo"] < 0.8 and noise["n_combinations"] == 70
-    x = np.random.default_rng(12).normal(0, 0.01, (1200, 20))
-    x[:, 3] += 0.004
-    edge = v.pbo(trials(spark, x)).first()
-    assert edge["pbo"] < 0.15 and edge["most_selected"] == 3
-    assert v.pbo(trials(spark, x[:, :1])).first()["pbo"] is None
-    assert v.pbo(trials(spark, x[:800, :10]), 7).first()["n_combinations"] == 70  # odd splits are evened
+def test_pbo_by_hand(spark):
+    """Four chunks of two bars, six ways to choose half of them."""
+    up, down = [2.0, 4.0], [-2.0, -4.0]
+    turns = v.pbo(trials(spark, np.array([up * 2 + down * 2, down * 2 + up * 2]).T), 4).first()
+    # {1,2} and {3,4} choose what then fails; the other four see a tie, take the first and it is as good as the other
+    assert turns["n_combinations"] == 6 and turns["pbo"] == pytest.approx(2 / 6) and turns["selection_stability"] == pytest.approx(5 / 6) and turns["prob_oos_loss"] == pytest.approx(1.0)
+    worse = [x - 0.5 for x in up + down + up + down]
+    steady = v.pbo(trials(spark, np.array([worse, up + down + up + down, [x - 1 for x in worse]]).T), 4).first()
+    assert steady["pbo"] == 0 and steady["most_selected"] == 1 and steady["selection_stability"] == 1
+    one = v.pbo(trials(spark, np.array([up * 4]).T), 4).first()
+    assert one["pbo"] is None and one["n_combinations"] == 0
+    assert v.pbo(trials(spark, np.array([up * 2 + down * 2, down * 2 + up * 2]).T), 3).first()["n_combinations"] == 6  # an odd number of chunks is made even
 
 
 def test_pbo_combinations_match_numpy(spark):
@@ -45,18 +48,18 @@ def test_pbo_combinations_match_numpy(spark):
         assert row.best == i.argmax() and row.oos_sharpe == pytest.approx(o[row.best]) and row.omega == pytest.approx((o <= o[row.best]).sum() / 7)
 
 
-def test_permutations_keep_what_they_should(spark, bars, panel_bars):
+def test_permutations_keep_what_they_should(spark, bars, book_bars):
     m = v.permute_bars(bars, BY, 2)
     ends = m.filter("bar_idx = 399").toPandas().close
-    np.testing.assert_allclose(ends, make_bars().close.iloc[-1])  # the same moves in another order
-    p = with_weights(make_panel(panel_bars), "xs_reversal")
+    np.testing.assert_allclose(ends, wander(400, 21).close.iloc[-1])  # the same moves in another order
+    p = with_weights(make_panel(book_bars), "xs_reversal")
     perm = v.permute_within_dates(p, 1)
     multiset = lambda df: df.filter("listed").groupBy("ts").agg(F.sort_array(F.collect_list(F.round("weight", 9))).alias("w"))
     assert multiset(p).exceptAll(multiset(perm)).count() == 0
 
 
 def test_permutation_p_values(spark):
-    real = to_spark(spark, make_bars(800, seed=5, phi=0.35))
+    real = as_bars(spark, wander(800, 5, echo=0.4))
     s = get_strategy("momentum")
     from barloom.operators.engine import Costs, run_backtest
     from barloom.operators.metrics import sharpes
@@ -76,12 +79,72 @@ def test_deflated_sharpe():
 
 
 def test_walk_forward(spark):
-    folds, stitched = v.walk_forward(numbered(to_spark(spark, make_bars(600)), BY), get_strategy("momentum"), n_folds=3)
+    folds, stitched = v.walk_forward(numbered(as_bars(spark, wander(600, 8)), BY), get_strategy("momentum"), n_folds=3)
     assert folds.count() == 3 and stitched.groupBy("ts").count().filter("count > 1").count() == 0
     assert 0 <= v.walk_forward_summary(folds).first()["oos_win_rate"] <= 1
     assert v.fold_bounds(200) == [] and len(v.fold_bounds(2000)) == 5
 
 
+def test_walk_forward_panel_matches_slices(spark, book_bars):
+    """Every fold against runs of its own slices, one variant at a time."""
+    p, rule = make_panel(book_bars), get_xs_strategy("xs_reversal")
+    bounds = v.fold_bounds(450, 2)
+    got = {r.fold: r for r in v.walk_forward_panel(p, rule, n_folds=2, grid_limit=3).collect()}
+    assert len(got) == len(bounds) == 2
+    grid = rule.grid(3)
+    sharpe = lambda df: lab.portfolio_metrics(lab.portfolio_returns(lab.run_portfolio(df))).first()
+    for fold, start, test, stop in bounds:
+        seen = [sharpe(with_weights(slice_bars(p, start, test), rule.key, g))["sharpe"] for g in grid]
+        best = int(np.argmax(seen))
+        warm = with_weights(slice_bars(p, start, stop), rule.key, grid[best]).select("symbol", "ts", "weight")
+        out = sharpe(slice_bars(p, test, stop).join(warm, ["symbol", "ts"]))
+        assert got[fold].trial_id == best and got[fold].is_sharpe == pytest.approx(seen[best])
+        assert got[fold].oos_sharpe == pytest.approx(out["sharpe"]) and got[fold].oos_max_dd == pytest.approx(out["max_drawdown"])
+
+
+def test_normal_distribution(spark):
+    x = [*np.linspace(-9, 9, 181), -40.0, 40.0]
+    p = [1e-300, 1e-12, *np.linspace(0.001, 0.999, 200), 1 - 1e-12]
+    got = spark.createDataFrame([(float(a),) for a in x], "x double").select("x", norm_cdf_column(F.col("x")).alias("y")).collect()
+    assert all(r.y == pytest.approx(norm_cdf(r.x), rel=1e-9, abs=1e-14) for r in got)
+    got = spark.createDataFrame([(float(a),) for a in p], "p double").select("p", norm_ppf_column(F.col("p")).alias("y")).collect()
+    assert all(r.y == pytest.approx(norm_ppf(r.p), rel=1e-9, abs=1e-12) for r in got)
+    odd = spark.createDataFrame([(0.0,), (1.0,), (None,)], "p double").select(norm_ppf_column(F.col("p")).alias("y")).collect()
+    assert all(r.y is None for r in odd)
+
+
+def test_attribution_matches_numpy(spark, book_bars):
+    """Least squares with robust errors, from the definition."""
+    p = make_panel(book_bars)
+    dates, styles = lab.portfolio_returns(lab.run_portfolio(with_weights(p, "xs_reversal"))), lab.style_factors(p)
+    got = lab.factor_attribution(dates, styles)
+    wide = styles.toPandas().pivot(index="bar_idx", columns="factor", values="net").merge(dates.select("bar_idx", "net").toPandas(), on="bar_idx").dropna()
+    names = [f for f in ("market", "momentum", "low_vol", "reversal", "liquidity") if wide[f].std() > 1e-12]
+    x, y = np.column_stack([np.ones(len(wide)), wide[names]]), wide["net"].to_numpy()
+    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+    e, inverse = y - x @ beta, np.linalg.inv(x.T @ x)
+    errors = np.sqrt(np.diag(inverse @ (x.T * e**2) @ x @ inverse))
+    assert got["n_obs"] == len(wide) and got["alpha_annual"] == pytest.approx(beta[0] * 252) and got["alpha_t_stat"] == pytest.approx(beta[0] / errors[0])
+    assert got["betas"] == pytest.approx(dict(zip(names, beta[1:], strict=True))) and got["beta_t_stats"] == pytest.approx(dict(zip(names, beta[1:] / errors[1:], strict=True)))
+    assert got["r_squared"] == pytest.approx(1 - (e**2).sum() / ((y - y.mean()) ** 2).sum())
+    assert not lab.factor_attribution(dates.limit(20), styles)["available"]
+
+
+def test_portfolio_lab(spark, book_bars):
+    p = make_panel(book_bars)
+    cfg = lab.LabConfig("xs_reversal", n_permutations=9, n_folds=2, n_splits=4, grid_limit=3)
+    r = lab.run_portfolio_lab(p, cfg)
+    row, dates = r.score.first(), lab.portfolio_returns(lab.run_portfolio(with_weights(p, "xs_reversal")))
+    m = lab.portfolio_metrics(dates).first()
+    assert row.sharpe == pytest.approx(m["sharpe"]) and row.max_drawdown == pytest.approx(m["max_drawdown"]) and row.turnover_ann == pytest.approx(m["turnover_ann"])
+    assert r.extra["permutation"]["n"] == 9 and row.p_value in [pytest.approx(k / 10) for k in range(1, 11)]
+    assert r.trials.select("trial_id").distinct().count() == 3 and r.extra["dsr"]["n_trials"] == 3
+    assert row.biased is False and r.extra["survivorship"]["n_delisted"] == 1 and r.extra["attribution"]["available"]
+    assert 0 <= row.score <= 100 and row.grade in "ABCDF" and row.cost_ratio is not None and (row.alpha_significant or row.score <= lab.CAPS["no_alpha"])
+    late = lab.run_portfolio_lab(p, lab.LabConfig("equal_weight", n_permutations=1, n_folds=2, n_splits=4, grid_limit=2, allow_short=False, max_leverage=0.5)).runs
+    assert late.groupBy("ts").agg(F.sum(F.abs("held")).alias("g")).agg(F.max("g")).first()[0] == pytest.approx(0.5)
+
+
 def test_score_caps(spark):
     row = dict.fromkeys(lab.INPUTS) | {"total_return": -0.1, "sharpe": 1.0, "max_drawdown": -0.6, "n_trades": 5.0, "turnover_ann": 1.0, "benchmark_sharpe": 2.0, "p_value": 0.001, "dsr": 1.0, "pbo": 0.0, "wf_efficiency": 1.0, "wf_win_rate": 1.0, "cost_ratio": 1.0}
     got = lab.reality_score(lab._input_row(spark, row)).first()
@@ -100,15 +163,15 @@ def test_environment_and_signals(spark, bars):
     assert 0.35 < rate < 0.65
 
 
-def test_arenas_deflate_by_each_rules_own_grid(spark, panel_bars):
-    bars = to_spark(spark, make_bars(200, 3))
+def test_arenas_deflate_by_each_rules_own_grid(spark, book_bars):
+    bars = as_bars(spark, wander(200, 3))
     got = {r.strategy: r for r in lab.run_arena(bars, 2).collect()}
     for key in ("buy_and_hold", "sma_cross"):
         s = get_strategy(key)
         runs = lab.run_backtest(lab.with_targets(numbered(bars, BY), BY, [(s, s.clean())]), BY)
         assert got[key].dsr == pytest.approx(v.deflated_sharpe(v.moments_of(runs), None, len(s.grid(40)))["dsr"])
         assert got[key].max_drawdown == pytest.approx(lab.compute_metrics(runs, BY).first()["max_drawdown"])
-    p = make_panel(panel_bars)
+    p = make_panel(book_bars)
     races = {r.strategy: r for r in lab.run_portfolio_arena(p, 2, rebalance="M").collect()}
     key = "xs_reversal"
     dates = lab.portfolio_returns(lab.run_portfolio(with_weights(p, key), rebalance="M"))
