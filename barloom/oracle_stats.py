@@ -177,8 +177,8 @@ def attribution(returns: str) -> str:
         end = clear("d0", f"z{x}", others, [x])
         steps.append(f"k{x} AS (SELECT row_number() OVER (ORDER BY y0, one0, {', '.join(f'{n}0' for n in names)}) AS k, {x} AS r, y0 FROM {end})")
         steps.append(f"b{x} AS (SELECT sum(r * er.y0) / nullif(sum(r * r), 0) AS beta, sqrt(sum(r * r * e * e)) / nullif(sum(r * r), 0) AS err FROM k{x} JOIN er USING (k))")
-        found += [f"SELECT '{'alpha_annual' if x == 'one' else 'beta_' + x}' AS name, beta{' * 252' if x == 'one' else ''} AS value FROM b{x}", f"SELECT '{'alpha_t_stat' if x == 'one' else 't_' + x}', beta / err FROM b{x}"]
-    found += ["SELECT 'r_squared', 1 - sum(e * e) / (var_pop(y0) * count(*)) FROM er", "SELECT 'n_obs', CAST(count(*) AS DOUBLE) FROM er"]
+        found += [f"SELECT '{'alpha_annual' if x == 'one' else 'beta_' + x}' AS name, beta{' * 252' if x == 'one' else ''} AS value FROM b{x}", f"SELECT '{'alpha_t_stat' if x == 'one' else 't_' + x}', CASE WHEN err > 0 THEN beta / err WHEN beta IS NOT NULL THEN 0 END FROM b{x}"]
+    found += ["SELECT 'r_squared', CASE WHEN var_pop(y0) > 0 THEN 1 - sum(e * e) / (var_pop(y0) * count(*)) ELSE 0 END FROM er", "SELECT 'n_obs', CAST(count(*) AS DOUBLE) FROM er"]
     # a factor that never moves has no row
     steps.append(f"fitted AS (SELECT * FROM ({' UNION ALL '.join(found)}) WHERE value IS NOT NULL)")
     return ", ".join(steps)

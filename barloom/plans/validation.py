@@ -94,10 +94,12 @@ def permute_within_dates(panel: DataFrame, n_perm: int, seed: int = 1, by: tuple
     perms = F.broadcast(spark.range(n_perm).select(F.col("id").cast("int").alias("perm_id")))
     each = panel.join(perms, how="cross")
     at = [*by, "perm_id", "ts"]
-    listed = each.filter("listed").withColumn("_u", draw(F.lit(seed), "perm_id", "bar_idx", "symbol"))
-    names = listed.withColumn("_k", F.row_number().over(W.partitionBy(*at).orderBy("_u", "symbol"))).drop("weight", "_u")
-    weights = listed.select(*at, "weight", F.row_number().over(W.partitionBy(*at).orderBy("symbol")).alias("_k"))
-    return names.join(weights, [*at, "_k"]).drop("_k").unionByName(each.filter("not listed").withColumn("weight", F.lit(0.0)))
+    drawn = each.filter("listed").withColumn("_u", draw(F.lit(seed), "perm_id", "bar_idx", "symbol"))
+    names = drawn.withColumn("_k", F.row_number().over(W.partitionBy(*at).orderBy("_u", "symbol"))).drop("weight", "_u")
+    # the weights of a date keep their order: only the names are dealt anew
+    once = [*by, "ts"]
+    weights = panel.filter("listed").select(*once, "weight", F.row_number().over(W.partitionBy(*once).orderBy("symbol")).alias("_k"))
+    return names.join(weights, [*once, "_k"]).drop("_k").unionByName(each.filter("not listed").withColumn("weight", F.lit(0.0)))
 
 
 def cross_permutation_null(panel: DataFrame, n_perm: int, seed: int = 1, ppy: int = 252, costs: Costs = Costs(0, 0, 0), rebalance: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
