@@ -78,12 +78,13 @@ def tilts(hist: DataFrame, sources: DataFrame, most: float = MOST, steps: int =
     """Adds mean and lam to `sources`. hist: key, size, c (documents of that size). Newton steps, bracketed by bisection."""
     spark = hist.sparkSession
     mean = F.col("source_size") / F.col("n")
-    grows = F.col("target") >= F.col("source_size")
+    grows, full = F.col("target") >= F.col("source_size"), F.col("target") >= F.col("source_size") * (float(most) * (1 - 1e-12))
     state = sources.filter("target > 0 and source_size > 0").select(
         "*", mean.alias("mean"),
         F.when(grows, F.lit(0.0)).otherwise(mean * F.log(F.col("target") / F.col("source_size"))).alias("lo"),
         F.when(grows, mean * F.log(F.lit(float(most)))).otherwise(F.lit(0.0)).alias("hi"),
-        F.lit(0.0).alias("lam"), F.lit(False).alias("done"),
+        # a source at its limit takes all it has `most` times: there is nothing to solve
+        F.when(full, mean * F.log(F.lit(float(most)))).otherwise(F.lit(0.0)).alias("lam"), full.alias("done"),
     )
     path = new_path(spark, "tilt")
     state = cut(state, "tilt", path)
