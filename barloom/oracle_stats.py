@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import statistics
 
 from . import oracle as o
@@ -112,7 +113,7 @@ def walk_forward(lags: tuple[int, ...] = (5, 10, 20, 60, 120, 250), n_folds: int
     pick = "CASE k " + " ".join(f"WHEN {k} THEN lag(close, {k}) OVER (PARTITION BY fold, trial_id ORDER BY ts)" for k in lags) + " END"
     grid = ", ".join(f"({i}, {k})" for i, k in enumerate(lags))
     rule = f"coalesce({o.sign('m')}, 0.0)"
-    rename = lambda text, tag: __import__("re").sub(r"\b(tg|e1|e2|e3|e4|e5|bt)\b", lambda m: m[0] + tag, text)
+    rename = lambda text, tag: re.sub(r"\b(tg|e1|e2|e3|e4|e5|bt)\b", lambda m: m[0] + tag, text)
     return (
         f"{o.MARKET}, {folds('SELECT count(*) FROM bars', n_folds)}, gr AS (SELECT * FROM (VALUES {grid}) t(trial_id, k)), "
         f"sl AS (SELECT bars.* EXCLUDE (symbol), fold, trial_id, test, k, {pick} AS before FROM bars JOIN folds ON bar_idx >= start AND bar_idx < stop, gr), "
