@@ -124,11 +124,13 @@ def norm_ppf_column(p: Column) -> Column:
 
     def near(p: Column) -> Column:
         middle = let((p - 0.5) * (p - 0.5), lambda r: polynomial(r, PPF_TOP) / polynomial(r, PPF_BOTTOM)) * (p - 0.5)
-        out = let(F.sqrt(-2 * F.log(F.least(p, 1 - p))), lambda t: polynomial(t, PPF_TAIL_TOP) / polynomial(t, PPF_TAIL_BOTTOM))
-        return F.when(p < PPF_TAIL, out).when(p > 1 - PPF_TAIL, -out).otherwise(middle)
+        out = let(F.sqrt(-2 * F.log(p)), lambda t: polynomial(t, PPF_TAIL_TOP) / polynomial(t, PPF_TAIL_BOTTOM))
+        return F.when(p < PPF_TAIL, out).otherwise(middle)
 
     step = lambda p, x: let((norm_cdf_column(x) - p) * 2.5066282746310002 * F.exp(x * x / 2), lambda u: x - u / (1 + x * u / 2))
-    return let(p, lambda v: F.when((v > 0) & (v < 1), let(near(v), lambda x: step(v, x))))
+    # the lower tail for both: beside 1 a distribution function has no digits left
+    below = lambda p: let(p, lambda q: let(near(q), lambda x: step(q, x)))
+    return let(p, lambda v: F.when((v > 0) & (v <= 0.5), below(v)).when((v > 0.5) & (v < 1), -below(1 - v)))
 
 
 def finite(c: str) -> Column:
