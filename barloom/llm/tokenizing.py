@@ -126,6 +126,10 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def tokens(self, piece: str) -> list[int]:
+        """Ids of a pre-token, by the library's merges."""
+        return [t.id for t in self.library.model.tokenize(piece)]
+
     def pieces(self, segment: bytes, plain: bool) -> list[str]:
         """The library's pre-tokens of a segment."""
         if plain:
@@ -212,10 +216,10 @@ class Encoder:
                 self._forget()
             found: list[int] = []
             sizes: list[int] = []
-            model, was = self.library.model, 0
+            was = 0
             for x, plain in self.raw(part, where[new]):
                 for p in self.pieces(x, plain):
-                    found += [t.id for t in model.tokenize(p)]
+                    found += self.tokens(p)
                 sizes.append(len(found) - was)
                 was = len(found)
             n = np.array(sizes, np.int64)
