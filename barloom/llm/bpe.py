@@ -15,6 +15,7 @@ frame; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -177,9 +178,18 @@ def decoded(rows: DataFrame, path: str | None = None, most: int = 1 << 20) -> Da
 
 
 def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of `docs`."""
-    both = decoded(encoded(docs, path), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of `docs`: encoded and decoded in one task each."""
+    path = path or vocabulary(VOCABULARY)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, stop, ids, offsets in bpe_encoder(path).encode(b.column(1)):
+                names = [sha(pack(ids[s:e])) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+                texts = [sha(t.encode()) for t in decoder(path).texts(ids, offsets)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, stop - first), pa.array(np.diff(offsets)), pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), text_col().alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op13_query(spark: SparkSession, sf_dir: str) -> DataFrame:
