@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +12,16 @@ from . import oracle as o
 from . import oracle_stats as stats
 from .functions import columns as c
 from .functions import indicators as ind
-from .operators import attribution, metrics, panel, portfolio
+from .functions.quantiles import exact_quantiles
+from .functions.scans import averaged, scanned
+from .operators import attribution, joins, metrics, panel, portfolio
 from .operators.cross_sectional import XS_REGISTRY, rebalance_hold, with_weights
 from .operators.engine import run_backtest
 from .operators.strategies import REGISTRY, get_strategy, with_targets
 from .plans import agentic, lab, validation
 from .sources import bars as src
 from .sources import generators as gen
+from .sources.scratch import scratch
 from .streaming import bars as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,14 +48,6 @@ def cols(df: DataFrame, *names: str, n: int = 6) -> DataFrame:
     return rounded(df.select(*names), n)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share; only a session that is one process may have a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='barloom-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def market(spark, d):
     return c.numbered(src.bars_market(spark, d), BY)
 
@@ -316,6 +309,52 @@ query(
 )(lambda s, d: rounded(metrics.compute_metrics(market_run(s, d), BY).withColumns({k: slog(k) for k in ("total_return", "cagr", "calmar")})))
 query("m0_periods_per_year", o.query(o.BRAND + f", x AS (SELECT symbol, epoch(ts) - epoch({o.lag('ts')}) AS st FROM bars)", "symbol, CAST(greatest(1, round_even(252 / greatest(median(st) / 86400 / 1.4, 1.0), 0)) AS INT) AS ppy", "x", "GROUP BY symbol"))(lambda s, d: metrics.periods_per_year(src.bars_brand(s, d), BY))
 
+# --- keys too long for one task, joins along time
+query("b6_blocked_backtest", o.query(SMA_BT, f"ts, {rr(*ENGINE)}, {o.r(stats.slog('equity'), 'equity')}, {o.r(stats.slog('benchmark'), 'benchmark')}", "bt"))(
+    lambda s, d: rounded(run_backtest(market_target(s, d), BY, block="year").select("ts", *ENGINE, slog("equity").alias("equity"), slog("benchmark").alias("benchmark")))
+)
+query("w_blocked_scans", o.query(
+    "t AS (SELECT event_type AS symbol, event_id, ts, value + 1 AS price, CASE WHEN event_id % 3 > 0 THEN value END AS part FROM events)",
+    f"symbol, event_id, {o.r('sum(price) ' + o.far(), 'summed')}, {o.r('sum(ln(price)) ' + o.far(), 'log_product')}, {o.r('max(price) ' + o.far(), 'top')}, {o.r('min(price) ' + o.far(), 'low')}, count(part) {o.far()} AS n_parts, "
+    f"{o.r('last_value(part IGNORE NULLS) ' + o.far(), 'held')}, {o.r(o.lag('price'), 'before')}, {o.r(o.lag('price', 7), 'before_7')}", "t",
+))(
+    lambda s, d: cols(scanned(
+        src.ticks(s, d).join(src.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("part")), "event_id"), BY,
+        {"summed": ("sum", "price"), "log_product": ("sum", F.log("price")), "top": ("max", "price"), "low": ("min", "price"), "n_parts": ("count", "part"), "held": ("last", "part"), "before": ("lag", "price", 1), "before_7": ("lag", "price", 7)}, block="day",
+    ), "symbol", "event_id", "summed", "log_product", "top", "low", "n_parts", "held", "before", "before_7")
+)
+query("i2_ema_of_ticks", o.query("t AS (SELECT event_type AS symbol, event_id, ts, CASE WHEN event_id % 5 > 0 THEN value + 1 END AS price FROM events WHERE event_id % 5 > 0)", f"symbol, event_id, {o.r(o.ema('price', 2 / 13, 12), 'ema_12')}, {o.r(o.ema('price', 2 / 201, 200), 'ema_200')}", "t"))(
+    lambda s, d: cols(averaged(src.ticks(s, d).filter("event_id % 5 > 0"), BY, [("ema_12", "price", 2 / 13, False, 12), ("ema_200", "price", 2 / 201, False, 200)], block="day"), "symbol", "event_id", "ema_12", "ema_200")
+)
+query("m_exact_quantiles", o.query(f"{o.BRAND}, x AS (SELECT symbol, {o.change()} AS ch FROM bars), q AS (SELECT unnest([0.0, 0.05, 0.5, 0.95]) AS q)", "symbol, q, round(CASE q WHEN 0.0 THEN min(ch) WHEN 0.05 THEN quantile_cont(ch, 0.05) WHEN 0.5 THEN quantile_cont(ch, 0.5) ELSE quantile_cont(ch, 0.95) END, 6) + 0.0 AS value, count(ch) AS n", "x, q", "GROUP BY symbol, q"))(
+    lambda s, d: cols(exact_quantiles(src.bars_brand(s, d).withColumn("ch", c.change(1, BY)), BY, "ch", [0.0, 0.05, 0.5, 0.95]), "symbol", "q", "value", "n")
+)
+query("m_blocked_metrics", SQL["m_metrics"])(lambda s, d: rounded(metrics.compute_metrics(market_run(s, d), BY, block="year").withColumns({k: slog(k) for k in ("total_return", "cagr", "calmar")})))
+query("asof_last_tick", o.query(o.HOURS, f"b.symbol, b.ts, {o.r('b.close', 'close')}, q.ts AS tick_ts, {o.r('q.price', 'price')}", "bars b ASOF LEFT JOIN (SELECT event_type AS symbol, ts, value + 1 AS price FROM events) q ON b.symbol = q.symbol AND b.ts >= q.ts"))(
+    lambda s, d: cols(joins.asof_join(src.tick_bars(src.ticks(s, d)).select("symbol", "ts", "close"), src.ticks(s, d), BY, ties="event_id", block="day").withColumnRenamed("ts_right", "tick_ts"), "symbol", "ts", "close", "tick_ts", "price")
+)
+query("interval_open_orders", "WITH n AS (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1), iv AS (SELECT o_custkey, o_orderkey, o_orderdate, shipped FROM orders JOIN n ON l_orderkey = o_orderkey) SELECT p.o_orderkey AS placed, iv.o_orderkey AS still_open FROM orders p JOIN iv ON p.o_custkey = iv.o_custkey AND iv.o_orderdate <= p.o_orderdate AND p.o_orderdate < iv.shipped WHERE p.o_orderkey <> iv.o_orderkey")(
+    lambda s, d: joins.interval_join(
+        src.table(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("placed"), "o_orderdate"),
+        src.table(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("still_open"), F.col("o_orderdate").alias("opened")).join(src.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("still_open")).agg(F.max("l_shipdate").alias("shipped")), "still_open"),
+        ["o_custkey"], "o_orderdate", "opened", "shipped",
+    ).filter("placed <> still_open").select("placed", "still_open")
+)
+_FIXED = "CASE WHEN symbol = 'Brand#11' AND bar_idx % 50 = 0 THEN close * 2 ELSE close END"
+
+
+@query("s3_cache_corrections", o.query(o.BRAND, f"symbol, ts, {o.r(_FIXED, 'close')}", "bars", "WHERE symbol IN ('Brand#11', 'Brand#12')"))
+def _(s, d):
+    """Two symbols cached one after the other, some bars held back; they come late, with corrections."""
+    path, b = scratch(s), brand(s, d)
+    late = F.col("bar_idx") % 40 == 7
+    for x in ("Brand#11", "Brand#12"):
+        src.write_cache(b.filter((F.col("symbol") == x) & ~late), path, "1d")
+    fixes = b.filter((F.col("symbol") == "Brand#11") & (F.col("bar_idx") % 50 == 0)).withColumn("close", F.col("close") * 2)
+    rest = b.filter(F.col("symbol").isin("Brand#11", "Brand#12") & late).join(fixes.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+    src.upsert_cache(fixes.unionByName(rest), path, "1d", scratch(s))
+    return cols(src.read_cache(s, path, "1d", ["Brand#11", "Brand#12"]), "symbol", "ts", "close")
+
 # --- panels, cross-sections, portfolios
 query("a1_a2_panel", o.query(o.PANEL, f"symbol, ts, bar_idx, {', '.join(OHLCV)}", "panel"))(lambda s, d: the_panel(s, d).withColumn("bar_idx", F.col("bar_idx").cast("bigint")).select("symbol", "ts", "bar_idx", *OHLCV))
 query("a3_a4_tradable_returns", o.query(o.PANEL, f"symbol, ts, listed, tradable, {rr('ret')}, CASE WHEN listed THEN close * volume END AS dollar_volume", "panel"))(
@@ -499,10 +538,6 @@ def in_files(s, d, *parts: Column) -> DataFrame:
     return live.read_bar_files(s, path)
 
 
-def append_to(sink: str):
-    return lambda batch, k: batch.write.mode("append").parquet(sink)
-
-
 def fails(batch, k):
     raise RuntimeError("a callback that fails stops no other")
 
@@ -515,7 +550,7 @@ def _(s, d):
     sink, old = scratch(s), F.col("ts") < F.lit(FIRST).cast("timestamp")
     # the second file brings late bars, repeated ones and new ones, some of which still form
     stream = in_files(s, d, old & (F.col("bar_idx") % 10 != 3), ~old | (F.col("bar_idx") % 10 == 3) | (F.col("bar_idx") % 7 == 0))
-    live.live_bars(stream, "1d", LAST, [fails, append_to(sink)], scratch(s)).awaitTermination()
+    live.live_bars(stream, "1d", LAST, [fails, live.batch_sink(sink)], scratch(s)).awaitTermination()
     return cols(s.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", "close")
 
 
@@ -527,7 +562,7 @@ _LAST_OF = " UNION ALL ".join(f"SELECT max(ts) AS ts FROM od{w}" for w in [*[f"
 def _(s, d):
     sink, t = scratch(s), [F.lit(e).cast("timestamp") for e in _ENDS]
     stream = in_files(s, d, F.col("ts") < t[0], (F.col("ts") >= t[0]) & (F.col("ts") < t[1]), F.col("ts") >= t[1])
-    live.trade_live(stream, append_to(sink), scratch(s)).awaitTermination()
+    live.trade_live(stream, live.batch_sink(sink), scratch(s)).awaitTermination()
     return cols(s.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "ts", "action", "quantity", "price")
 
 
@@ -539,6 +574,13 @@ def _(s, d):
     return cols(s.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", "close")
 
 
+query(
+    "st_tick_sessions",
+    "WITH t AS (SELECT event_type AS symbol, ts, value + 1 AS price, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS apart FROM events), i AS (SELECT *, sum(CASE WHEN apart IS NULL OR apart >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts) AS island FROM t) "
+    "SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, round(arg_min(price, ts), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, ts), 6) AS close, CAST(count(*) AS DOUBLE) AS volume FROM i GROUP BY symbol, island",
+)(lambda s, d: cols(live.tick_sessions(src.ticks(s, d)), "symbol", "first_ts", "last_ts", *OHLCV))
+
+
 @query("st_tick_windows", "SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, count(*) AS n FROM events WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY 1, 2")
 def _(s, d):
     path, sink = scratch(s), scratch(s)

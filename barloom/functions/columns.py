@@ -137,7 +137,12 @@ def finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def numbered(df: DataFrame, by: list[str], order: str = "ts", name: str = "bar_idx") -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: str = "ts", name: str = "bar_idx", block=None) -> DataFrame:
+    """Rows of a key numbered from 0; block: for long keys, see scans.block_of."""
+    if block is not None:
+        from .scans import scanned
+
+        return scanned(df, by, {name: ("count", F.lit(1))}, order, block).withColumn(name, F.col(name).cast("int") - 1)
     return df.withColumn(name, F.row_number().over(over(by, order)) - 1)
 
 

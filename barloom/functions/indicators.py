@@ -1,7 +1,6 @@
 """Technical indicators as columns over bars, one sort per key.
 
-Everything but exponential averages is a window expression. Those are a true recursion, and all that
-a plan needs are computed in one grouped map per key (a key's bars are one series).
+Exponential averages are scans over blocks of a key; everything else is a window expression.
 Indicators are named by tuples such as ("sma", 20) and become columns such as sma_20.
 """
 
@@ -9,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import change, last_rows, over, ratio, rolling
+from .scans import averaged
 
 Ema = tuple  # (name, source column, alpha, adjust, least values)
 
@@ -23,21 +22,14 @@ def name_of(ind: tuple) -> str:
 
 
 def with_emas(df: DataFrame, by: list[str], emas: list[Ema], order: str = "ts") -> DataFrame:
-    """Adds exponential averages. A source is a column, an average before it, or a pair whose difference is averaged."""
-    if not emas:
-        return df
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{e[0]}` double" for e in emas])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        for name, source, alpha, adjust, least in emas:
-            x = pdf[source[0]] - pdf[source[1]] if isinstance(source, tuple) else pdf[source]
-            pdf[name] = x.astype(float).ewm(alpha=alpha, adjust=adjust, min_periods=least).mean()
-        return pdf
-
-    out = df.groupBy(*by).applyInPandas(run, schema)
-    # missing values come back as NaN
-    return out.withColumns({e[0]: F.when(~F.isnan(e[0]), F.col(e[0])) for e in emas})
+    """Adds exponential averages. A source is a column, or a pair of columns or averages whose difference is averaged."""
+    plain, pairs = [e for e in emas if not isinstance(e[1], tuple)], [e for e in emas if isinstance(e[1], tuple)]
+    if plain:
+        df = averaged(df, by, plain, order)
+    if pairs:
+        apart = {f"_apart_{e[0]}": F.col(e[1][0]) - F.col(e[1][1]) for e in pairs}
+        df = averaged(df.withColumns(apart), by, [(e[0], f"_apart_{e[0]}", *e[2:]) for e in pairs], order).drop(*apart)
+    return df
 
 
 def true_range(by: list[str], order: str = "ts") -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, over, ratio, so_far
+from ..functions.quantiles import exact_quantiles
+from ..functions.scans import scanned
 
 DEGENERATE = 1e-12
 
@@ -29,20 +31,28 @@ def sharpes(df: DataFrame, by: list[str], ppy: int = 252, c: str = "net") -> Dat
     return df.filter(finite(c)).groupBy(*by).agg(sharpe_of(F.avg(c), F.stddev_samp(c), F.count(c), ppy).alias("sharpe"))
 
 
-def with_drawdown(df: DataFrame, by: list[str], order: str = "ts", equity: str = "equity") -> DataFrame:
+def with_drawdown(df: DataFrame, by: list[str], order: str = "ts", equity: str = "equity", block=None) -> DataFrame:
+    """block: for long keys, see run_backtest."""
+    if block is not None:
+        df = scanned(df, by, {"_peak": ("max", equity)}, order, block)
+        return df.withColumn("drawdown", ratio(equity, "_peak") - 1).drop("_peak")
     return df.withColumn("drawdown", ratio(F.col(equity), F.max(equity).over(so_far(by, order))) - 1)
 
 
-def under_water(df: DataFrame, by: list[str], order: str = "ts") -> DataFrame:
+def under_water(df: DataFrame, by: list[str], order: str = "ts", block=None) -> DataFrame:
     """by, under_water: the longest run of bars below an earlier peak. A run is the bars between two bars at a peak."""
-    island = F.sum((F.col("drawdown") >= 0).cast("int")).over(so_far(by, order))
-    runs = df.withColumn("_island", island).groupBy(*by, "_island").agg(F.count(F.when(F.col("drawdown") < 0, 1)).alias("_n"))
+    peak = (F.col("drawdown") >= 0).cast("int")
+    df = df.withColumn("_island", F.sum(peak).over(so_far(by, order))) if block is None else scanned(df, by, {"_island": ("sum", peak)}, order, block)
+    runs = df.groupBy(*by, "_island").agg(F.count(F.when(F.col("drawdown") < 0, 1)).alias("_n"))
     return runs.groupBy(*by).agg(F.max("_n").alias("under_water"))
 
 
-def compute_metrics(df: DataFrame, by: list[str], ppy: int = 252, rf: float = 0.0, order: str = "ts", ret: str = "net", equity: str = "equity", position: str | None = "position") -> DataFrame:
-    """One row per key with the full bundle, from `ret`, `equity` and, if given, `position`."""
-    df = with_drawdown(df, by, order, equity).withColumn("_r", F.when(finite(ret), F.col(ret)))
+def compute_metrics(df: DataFrame, by: list[str], ppy: int = 252, rf: float = 0.0, order: str = "ts", ret: str = "net", equity: str = "equity", position: str | None = "position", block=None) -> DataFrame:
+    """One row per key with the full bundle, from `ret`, `equity` and, if given, `position`.
+
+    block: for keys too long for one task, see run_backtest; quantiles then come from counting passes.
+    """
+    df = with_drawdown(df, by, order, equity, block).withColumn("_r", F.when(finite(ret), F.col(ret)))
     r, x = F.col("_r"), F.col("_r") - rf / ppy
     n = F.count(r)
     down = F.when(x < 0, x * x)
@@ -50,15 +60,18 @@ def compute_metrics(df: DataFrame, by: list[str], ppy: int = 252, rf: float = 0.
     aggs = {
         "n_bars": n, "_mean": F.avg(r), "_sd": F.stddev_samp(r), "_first": F.min_by(equity, order), "_last": F.max_by(equity, order),
         "_down": F.sqrt(F.avg(down)), "max_drawdown": F.min("drawdown"), "hit_rate": F.avg((r > 0).cast("double")), "_g1": pop3, "_g2": pop4,
-        "var_95": F.percentile(r, 0.05), "best_bar": F.max(r), "worst_bar": F.min(r),
+        **({"var_95": F.percentile(r, 0.05)} if block is None else {}), "best_bar": F.max(r), "worst_bar": F.min(r),
     }
     if position:
-        df = df.withColumn("_turn", F.abs(F.col(position) - F.coalesce(F.lag(position).over(over(by, order)), F.lit(0.0))))
+        df = df.withColumn("_before", F.lag(position).over(over(by, order))) if block is None else scanned(df, by, {"_before": ("lag", position, 1)}, order, block)
+        df = df.withColumn("_turn", F.abs(F.col(position) - F.coalesce("_before", F.lit(0.0))))
         p = F.col(position)
         aggs |= {"exposure": F.avg(F.abs(p)), "long_share": F.avg((p > 0).cast("double")), "short_share": F.avg((p < 0).cast("double")), "_turned": F.sum("_turn"), "n_trades": F.count(F.when(F.col("_turn") > 1e-9, 1))}
     s = df.groupBy(*by).agg(*[c.alias(k) for k, c in aggs.items()])
+    if block is not None:
+        s = s.join(exact_quantiles(df, by, "_r", [0.05]).select(*by, F.col("value").alias("var_95")), by, "left")
     tail = df.join(s.select(*by, "var_95"), by).filter("_r <= var_95").groupBy(*by).agg(F.avg("_r").alias("_cvar"))
-    s = s.join(tail, by, "left").join(under_water(df, by, order), by)
+    s = s.join(tail, by, "left").join(under_water(df, by, order, block), by)
     k, m = F.col("n_bars").cast("double"), F.col("_mean") - rf / ppy
     years = k / ppy
     total = ratio("_last", "_first") - 1

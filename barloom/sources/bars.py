@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,13 +83,63 @@ def write_csv(bars: DataFrame, path: str) -> None:
     bars.withColumnRenamed("ts", "timestamp").write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path)
 
 
+#: A cache's folders, outermost first. A correction rewrites a symbol's year.
+CACHE = ("interval", "symbol", "year")
+
+
+def _escaped(name: str) -> str:
+    """A value as Spark writes it into a folder's name."""
+    return re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", name)
+
+
+def _placed(bars: DataFrame, interval: str) -> DataFrame:
+    return bars.select(F.regexp_replace("symbol", "/", "_").alias("symbol"), "ts", *OHLCV, F.lit(interval).alias("interval"), F.year("ts").alias("year"))
+
+
 def write_cache(bars: DataFrame, path: str, interval: str) -> None:
-    """Parquet by interval and symbol, so that a lookup reads one folder."""
-    bars.withColumn("interval", F.lit(interval)).withColumn("symbol", F.regexp_replace("symbol", "/", "_")).write.mode("overwrite").partitionBy("interval", "symbol").parquet(path)
+    """Bars of whole symbols in place of what the cache has of them; other symbols and intervals stay."""
+    spark = bars.sparkSession
+    new = _placed(bars, interval)
+    if exists(spark, path):
+        # years that a symbol no longer has go too: empty them, then write
+        symbols = new.select("symbol").distinct()
+        old = _cached(spark, path).filter(F.col("interval") == interval)
+        gone = old.join(symbols, "symbol", "left_semi").select("symbol", "year").distinct().join(new.select("symbol", "year").distinct(), ["symbol", "year"], "left_anti")
+        stale = [f"{path}/interval={interval}/symbol={_escaped(r['symbol'])}/year={r['year']}" for r in gone.toLocalIterator()]
+    else:
+        stale = []
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CACHE).parquet(path)
+    for folder in stale:
+        remove(spark, folder)
+
+
+def _cached(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"symbol string, {SCHEMA.split(', ', 1)[1]}, interval string, year int").parquet(path)
+
+
+def upsert_cache(bars: DataFrame, path: str, interval: str, scratch: str | None = None) -> None:
+    """Late and corrected bars into a cache by (symbol, ts): only the years they fall into are written anew.
+
+    Of bars that repeat a symbol and time, any one wins: give one of each. The merged years are
+    written to `scratch` first, so that no file is read while it is replaced, and a run that dies can
+    be run again.
+    """
+    spark = bars.sparkSession
+    new = _placed(bars, interval)
+    if exists(spark, path):
+        years = new.select("interval", "symbol", "year").distinct()
+        # the folders' columns alone decide what is read of the cache
+        old = _cached(spark, path).join(F.broadcast(years) if years.count() <= 100_000 else years, list(CACHE), "left_semi")
+        new = old.join(new.select("symbol", "ts"), ["symbol", "ts"], "left_anti").unionByName(new)
+    new = new.dropDuplicates(["symbol", "ts"])
+    if scratch is not None:
+        new.write.mode("overwrite").parquet(scratch)
+        new = spark.read.schema(new.schema).parquet(scratch)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CACHE).parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str, interval: str, symbols: list[str]) -> DataFrame:
-    found = spark.read.parquet(path).filter((F.col("interval") == interval) & F.col("symbol").isin([s.replace("/", "_") for s in symbols]))
+    found = _cached(spark, path).filter((F.col("interval") == interval) & F.col("symbol").isin([s.replace("/", "_") for s in symbols]))
     return found.select("symbol", "ts", *OHLCV)
 
 
@@ -147,6 +198,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def synthetic_scan(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The bars in `path`; made and saved there first if there are none."""
     if not exists(spark, path):
