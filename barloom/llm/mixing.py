@@ -5,9 +5,10 @@ allowed: the distribution nearest to one copy of everything (in relative entropy
 to the source's target. lambda solves the convex dual; its derivative sums over all documents, so
 each Newton step is one grouped aggregate, and the state of every source is a row of a small
 table. Rates become whole copies by systematic rounding along a descending order of sizes (the
-error of a run of documents is below its largest document) and single-document repairs, each the
-one that brings its source nearest to its target, until none brings it nearer. Repairs are chosen
-on the counts of sizes and copies; documents are read once more, to carry them out.
+error of a run of documents is below its largest document) and repairs: copies of as many documents
+at once as fit into what a source lacks or has too many, then single ones, until none brings it
+nearer to its target. Repairs are chosen on the counts of sizes; documents are read once more, to
+carry them out.
 
 Defined results: null text has size 0; null source is a source of its own, last; documents
 without words take 0; a source without words has target 0; an empty table returns an empty frame;
@@ -115,27 +116,40 @@ def tilts(hist: DataFrame, sources: DataFrame, most: float = MOST, steps: int =
     return state.select(*names, "lam")
 
 
-def repairs(cells: DataFrame, most: int) -> DataFrame | None:
-    """key, size, copies, delta: documents with these to be given one copy more or less, one for each row; None if there are none.
+def repairs(cells: DataFrame, most: int) -> DataFrame:
+    """key, size, n, total: the sizes of documents whose copies, `total` of all n documents together, have to change.
 
-    cells: key, size, copies, c (how many such documents), target (of the source).
+    cells: key, size, n, total, target (of the source). A source that lacks words (or has too many)
+    takes copies along falling sizes, of each size as many at once as are there and fit into what
+    is still lacking; what remains is below half of it, so a few rounds end with no size that
+    fits. Then the one copy that brings the source nearest is taken, and the search goes on until
+    none brings it nearer.
     """
-    cells = cut(cells, "cells")
-    gaps = cells.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size") * F.col("c"))).alias("gap"))
-    fixes = None
+    spark = cells.sparkSession
+    path = new_path(spark, "cells")
+    now = cut(cells.withColumn("was", F.col("total")), "cells", path)
     while True:
-        rest, now = cells, gaps
-        if fixes is not None:
-            rest = cells.join(fixes, ["key", "size", "copies"], "left_anti")
-            done = fixes.groupBy("key").agg(F.sum(F.col("delta") * F.col("size")).alias("done"))
-            now = gaps.join(done, "key", "left").select("key", (F.col("gap") - F.coalesce("done", F.lit(0))).alias("gap"))
-        left = F.abs(F.abs("gap") - F.col("size"))
-        able = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-        best = rest.join(now, "key").filter(able & (left < F.abs("gap"))).groupBy("key").agg(F.min(F.struct(left.alias("left"), "size", "copies", F.signum("gap").cast("int").alias("delta"))).alias("x"))
-        best = cut(best.select("key", "x.size", "x.copies", "x.delta"), "fix")
-        if best.isEmpty():
-            return fixes
-        fixes = best if fixes is None else cut(fixes.unionByName(best), "fixes")
+        gaps = now.groupBy("key").agg((F.first("target") - F.sum(F.col("total") * F.col("size"))).alias("gap"))
+        x = now.join(small(cut(gaps, "gaps")), "key")
+        room = F.when(F.col("gap") > 0, most * F.col("n") - F.col("total")).otherwise(F.col("total"))
+        x = x.withColumns({"off": F.abs("gap"), "room": room})
+        fits = F.col("size") <= F.col("off")
+        before = F.coalesce(F.sum(F.when(fits, F.col("room") * F.col("size"))).over(W.partitionBy("key").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        bulk = F.when(fits, F.greatest(F.lit(0), F.least(F.col("room"), F.floor((F.col("off") - before) / F.col("size"))))).otherwise(0)
+        x = x.withColumn("bulk", bulk)
+        left = F.abs(F.col("off") - F.col("size"))
+        one = F.when((F.col("room") > 0) & (left < F.col("off")), F.struct(left.alias("left"), F.col("size").alias("size")))
+        best = x.groupBy("key").agg(F.max("bulk").alias("any"), F.min(one).alias("one"))
+        x = x.join(small(cut(best, "best")), "key")
+        step = F.when(F.col("any") > 0, F.col("bulk")).when(F.col("size") == F.col("one.size"), 1).otherwise(0)
+        moved = x.select("key", "size", "n", "target", "was", (F.col("total") + F.signum("gap").cast("int") * step).cast("bigint").alias("total"), (step > 0).alias("moved"))
+        after = new_path(spark, "cells")
+        now = cut(moved, "cells", after)
+        drop_path(spark, path)
+        path = after
+        if now.filter("moved").isEmpty():
+            return now.filter("total <> was").select("key", "size", "n", "total")
+        now = now.drop("moved")
 
 
 def _mix(docs: DataFrame, weights=WEIGHTS, pool: float = POOL, most: int = MOST) -> DataFrame:
@@ -162,11 +176,13 @@ def _mix(docs: DataFrame, weights=WEIGHTS, pool: float = POOL, most: int = MOST)
     upto = F.col("before") + F.sum("rate").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     copies = F.least(F.lit(most), F.greatest(F.lit(0), (F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("rate") + 0.5)).cast("int")))
     done = cut(placed.join(runs, ["key", "step", "part"]).withColumn("upto", upto).withColumn("copies", copies).drop("before", "upto", "step", "part"), "copies")
-    fixes = repairs(done.groupBy("key", "size", "copies").agg(F.count("*").alias("c"), F.first("target").alias("target")), most)
-    if fixes is not None:
-        chosen = done.join(small(fixes), ["key", "size", "copies"]).groupBy("key", "size", "copies").agg(F.min(F.struct("h", "row", "delta")).alias("x"))
-        chosen = small(cut(chosen.select("x.row", "x.delta"), "chosen"))
-        done = done.join(chosen, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("delta", F.lit(0)))
+    fixes = small(repairs(done.groupBy("key", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("total"), F.first("target").alias("target")), most))
+    # documents of one size have one rate: their copies are dealt evenly, the odd ones to the first of them
+    chosen = ordered(done.join(fixes, ["key", "size"]).select("key", "size", "h", "row", "n", "total"), ["key", "size", "h", "row"])
+    firsts = small(cut(chosen.groupBy("key", "size").agg(F.min("place").alias("first")), "firsts"))
+    nth = F.col("place") - F.col("first")
+    chosen = chosen.join(firsts, ["key", "size"]).select("row", (F.floor(F.col("total") / F.col("n")) + (nth < F.pmod("total", "n")).cast("int")).cast("int").alias("dealt"))
+    done = done.join(small(cut(chosen, "chosen")), "row", "left").withColumn("copies", F.coalesce("dealt", "copies")).drop("dealt")
     cols = ["doc_id", "source", "same", "size", "source_size", "target", "rate", "copies"]
     none = rows.filter("size = 0").groupBy("key").agg(F.count("*").alias("none")).join(sources, "key")
     empty = join_by_size(rows.filter("size = 0"), none, "key", "none", total).withColumns({"rate": F.lit(0.0), "copies": F.lit(0)})

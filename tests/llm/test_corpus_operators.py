@@ -93,6 +93,43 @@ def test_index_deals_itself_into_more_buckets(spark):
     assert (again.version, again.buckets, again.rows().count()) == (index.version, index.buckets, len(seen))
 
 
+class Died(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_insert", "_rename", "_open", "drop_path"])
+@pytest.mark.parametrize("reopen", [True, False])
+def test_index_survives_a_rewrite_that_dies(spark, monkeypatch, step, reopen):
+    """Killed before a step of the rewrite (halfway through the insert): the next batch finds every digest once."""
+    path = new_path(spark, "t6x")
+    batch = lambda n, at: spark.createDataFrame([(at + i, f"text {i}") for i in range(n)], "doc_id long, text string")
+    exact_dedup.exact_dedup(batch(50, 0), exact_dedup.DigestIndex(spark, path, 2, bucket_rows=40)).count()
+    index = exact_dedup.DigestIndex(spark, path, 2, bucket_rows=40)
+
+    def dies(self, *args, real=exact_dedup.DigestIndex._insert):
+        if step == "_insert":
+            real(self, args[0].limit(20), *args[1:])
+        raise Died
+
+    with monkeypatch.context() as m:
+        m.setattr(*((exact_dedup, "drop_path", lambda spark, p, real=exact_dedup.drop_path: real(spark, p) if p.endswith(".new") else dies(index)) if step == "drop_path" else (exact_dedup.DigestIndex, step, dies)))
+        with pytest.raises(Died):
+            index.make_room(100)
+    index = exact_dedup.DigestIndex(spark, path, 2, bucket_rows=40)
+    if reopen:
+        index = exact_dedup.DigestIndex(spark, path, 2, bucket_rows=40)
+    got = exact_dedup.exact_dedup(batch(110, 1000), index).collect()
+    assert {(r.doc_id, r.keep_id) for r in got} == {(1000 + i, i if i < 50 else 1000 + i) for i in range(110)} and len(got) == 110
+    assert index.rows().count() == 110 and index.rows().select("digest").distinct().count() == 110
+
+
+def test_keep_first_of_a_batch_that_the_index_holds(spark):
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "t6k"), 2)
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    assert {r.doc_id for r in exact_dedup.keep_first(docs, index).collect()} == {2, 3} == {r.doc_id for r in exact_dedup.keep_first(docs, index).collect()}
+    assert exact_dedup.keep_first(docs.withColumn("doc_id", F.col("doc_id") + 10), index).count() == 0
+
+
 def test_anti_join_reads_the_index_without_a_shuffle(spark, docs):
     index = exact_dedup.DigestIndex(spark, new_path(spark, "t6d"), 4)
     exact_dedup.exact_dedup(docs, index).count()
@@ -140,7 +177,7 @@ def test_mixing(spark, docs, rows, empty):
         np.testing.assert_allclose(np.sort(mine), np.sort(rates), atol=1e-6)
     for s, t in target.items():  # copies are whole, so half of a source's largest document may be out of reach
         largest = max(r.size for r in got if r.source == s)
-        assert abs(taken[s] - t) <= max(2, 0.02 * t, largest / 2 if len([r for r in got if r.source == s]) < 20 else 0), s
+        assert abs(taken[s] - t) <= max(1, largest / 2 if len([r for r in got if r.source == s]) < 20 else 0), s
     assert Counter(map(tuple, mixing.mix(docs).collect())) == Counter(map(tuple, got))
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
     out = mixing.mixed(docs)
@@ -168,6 +205,17 @@ def test_mixing_of_hot_and_odd_sources(spark, monkeypatch):
     assert mixing.mixed(df).count() == sum(r.copies for r in got)
 
 
+def test_mixing_repairs_many_documents_at_once(spark):
+    """A source of thousands of one-word documents and one of 3,000 words ends within a word of its target; so does its mirror, that lacks words."""
+    rows = [(k, "w", "a") for k in range(10_000)] + [(20_000, "w " * 3000, "a")]
+    for pool in (0.9, 1.37):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), pool=pool)
+        total, target, most = got.agg(F.sum("taken"), F.max("target"), F.max(F.col("taken") / F.col("size"))).first()
+        assert abs(total - target) <= 1 and target == pytest.approx(13_000 * pool) and most <= 2
+        each = {r.c for r in got.filter("size = 1").groupBy(F.col("copies").alias("c")).count().collect()}
+        assert max(each) - min(each) <= 1
+
+
 # --- 4, 5, 9
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_matches_the_library(name, monkeypatch):
