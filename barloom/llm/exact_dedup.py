@@ -5,7 +5,8 @@ reduced to one row per digest (with map-side combining, so a group of copies of
 one row per task), deduplicated against the index by a sort-merge anti-join that reads the
 index without shuffling it, and its new digests are appended. The number of buckets doubles as
 the index grows, so that a bucket stays a task's worth of digests; the index is then written anew
-beside itself and renamed, as it is when appends have left many files. One writer at a time.
+beside itself and renamed, as it is when appends have left many files; a rewrite that dies at any step
+leaves the version before or after it, whole. One writer at a time.
 
 Defined results: a null text equals the empty text; a null doc_id never beats another id, and in
 a group that has only null ids all are kept (`keep_first` leaves one); rows that repeat both doc_id and
@@ -37,13 +38,20 @@ class DigestIndex:
         names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
         found = sorted((int(m[1]), int(m[2])) for x in names if (m := re.fullmatch(r"v(\d+)-(\d+)", x)))
         self._open(*(found[-1] if found else (0, buckets)))
+        for name in names:  # older versions, and rewrites that died
+            if (m := re.fullmatch(r"v(\d+)-(\d+)(\.new)?", name)) and (m[3] or (int(m[1]), int(m[2])) != found[-1]):
+                self._clear(f"{self.path}/{name}")
 
     def _open(self, version: int, buckets: int) -> None:
         self.version, self.buckets = version, buckets
         self.table = self._create(f"{self.path}/v{version}-{buckets}", buckets)
 
+    @staticmethod
+    def _name(folder: str) -> str:
+        return "digest_index_" + hashlib.md5(folder.encode()).hexdigest()[:16]
+
     def _create(self, folder: str, buckets: int) -> str:
-        table = "digest_index_" + hashlib.md5(folder.encode()).hexdigest()[:16]
+        table = self._name(folder)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}'"
@@ -67,15 +75,24 @@ class DigestIndex:
         if buckets == self.buckets and len(there.inputFiles()) <= self.buckets * self.bucket_files:
             return
         old, to = f"{self.path}/v{self.version}-{self.buckets}", f"{self.path}/v{self.version + 1}-{buckets}"
+        # what a rewrite that died has left is no part of the index: only a whole one gets its name
+        self._clear(to + ".new")
         made = self._create(to + ".new", buckets)
         self._insert(there, made, buckets)
         self.spark.sql(f"DROP TABLE {made}")
         self.spark.sql(f"DROP TABLE {self.table}")
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        path(to).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(path(to + ".new"), path(to))
+        self._rename(to + ".new", to)
         self._open(self.version + 1, buckets)
         drop_path(self.spark, old)
 
+    def _clear(self, folder: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(folder)}")
+        drop_path(self.spark, folder)
+
+    def _rename(self, old: str, new: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        path(new).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(path(old), path(new))
+
     def append_new(self, groups: DataFrame) -> None:
         """groups: digest, keep_id (one row per digest). Appends those whose digest is not there yet."""
         self.make_room(groups.count())
@@ -107,7 +124,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, normalise=None) -> DataFram
 
 
 def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of `docs`, all columns, that stay; one row where a kept row is repeated."""
+    """The rows of `docs`, all columns, that stay; one row where a kept row is repeated.
+
+    Texts that an earlier batch brought stay only under the id they had then: with an index that
+    already holds this batch's texts from other documents, none of them stays.
+    """
     own, kept_id, same = free_names(docs.columns, "digest", "kept_id", "same")
     kept = exact_dedup(docs.select("doc_id", "text"), index).filter("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(same)).distinct()
     marked = docs.withColumn(own, digest_of(text_col()))
