@@ -208,7 +208,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 def verified_links(docs: DataFrame, members: DataFrame, similarity: float, need: list[tuple[int, int]]) -> DataFrame:
     """node, links, root for every candidate class: verified pairs in a pair of blocks, and the least class they join it to.
 
-    members: node, component, rep (a doc_id of the class), signature, size (classes of the component).
+    members: node, component, rep and like (doc_id and hash of a text of the class), signature, size (classes of the component).
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +221,11 @@ def verified_links(docs: DataFrame, members: DataFrame, similarity: float, need:
                 rows = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(own, pa.binary())], names=["node", "component", "signature", "size", "shingles"])
                 yield rows.filter(pa.array(same, pa.bool_()))
 
-    # a member's text is fetched by its id: only the members' texts move, unless there are very many
-    m, d = members.withColumnRenamed("rep", "of"), docs.select(F.col("doc_id").cast("bigint").alias("id"), text_col().alias("text"))
-    ids = small(cut(members.select(F.col("rep").alias("of")).distinct(), "members"))
-    wanted = d.join(ids, d["id"].eqNullSafe(ids["of"]), "left_semi")
-    found = wanted.join(m, wanted["id"].eqNullSafe(m["of"])).select("text", "node", "component", "signature", "size")
+    # a member's text is fetched by its id and hash, as ids may be missing or repeated: only the members' texts move, unless there are very many
+    m, d = members.withColumnsRenamed({"rep": "of", "like": "alike"}), docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text_col()).alias("own"), text_col().alias("text"))
+    ids = small(cut(m.select("of", "alike").distinct(), "members"))
+    wanted = d.join(ids, d["id"].eqNullSafe(ids["of"]) & (d["own"] == ids["alike"]), "left_semi")
+    found = wanted.join(m, wanted["id"].eqNullSafe(m["of"]) & (wanted["own"] == m["alike"])).select("text", "node", "component", "signature", "size")
     rows = blocked(found.mapInArrow(sets, "node binary, component binary, signature binary, size bigint, shingles binary"), "size", GROUP_BLOCK)
     least = similarity - 1e-12
 
@@ -273,14 +273,15 @@ def _joined(docs: DataFrame, similarity: float, tolerance: float) -> tuple[DataF
     rows = cut(sketch(docs), "sketches")
     need = needed_matches(BANDS * ROWS, similarity, tolerance)
     classes = cut(
-        rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.max("signature").alias("signature")), "classes"
-    )
+        rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("x"), F.count("*").alias("class_size"), F.max("signature").alias("signature"))
+        .select("node", F.col("x.doc_id").alias("rep"), F.col("x.same").alias("like"), "class_size", "signature"), "classes",
+    )
     edges = cut(candidate_edges(classes, need), "candidates")
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     components = cut(with_components(ends, edges), "components")
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    members = join_by_size(components, sizes, "component", "size", components.count()).withColumnRenamed("id", "node").join(classes.select("node", "rep", "signature"), "node")
-    links = cut(verified_links(docs, members.select("node", "component", "rep", "signature", "size"), similarity, need), "links")
+    members = join_by_size(components, sizes, "component", "size", components.count()).withColumnRenamed("id", "node").join(classes.select("node", "rep", "like", "signature"), "node")
+    links = cut(verified_links(docs, members.select("node", "component", "rep", "like", "signature", "size"), similarity, need), "links")
     joined = links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = cut(with_components(counts.select(F.col("node").alias("id")), joined), "linked").withColumnRenamed("id", "node")
