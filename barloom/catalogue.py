@@ -23,6 +23,7 @@ from .sources import bars as src
 from .sources import generators as gen
 from .sources.scratch import scratch
 from .streaming import bars as live
+from .streaming import poll
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -411,6 +412,21 @@ def _(s, d):
     return rounded(s.createDataFrame(rows, "name string, value double"))
 
 
+_RULES = " UNION ALL ".join(f"SELECT * FROM ({o.query(f'{o.PANEL}, {stats.style_books()}, {XS[k]}, {o.portfolio()}, {stats.attribution(chr(112) + chr(100))}', f'{chr(39)}{k}{chr(39)} AS strategy, name, ' + rr('value'), 'fitted')})" for k in ("xs_momentum", "xs_reversal", "low_volatility"))
+
+
+@query("r2_attribution_by_rule", _RULES)
+def _(s, d):
+    """Three rules' books regressed in one plan."""
+    p = the_panel(s, d)
+    books = functools.reduce(DataFrame.unionByName, [with_weights(p, k).withColumn("strategy", F.lit(k)) for k in ("xs_momentum", "xs_reversal", "low_volatility")])
+    found = attribution.attributed(portfolio.portfolio_returns(portfolio.run_portfolio(books, ["strategy"]), ["strategy"]), attribution.style_factors(p), ["strategy"])
+    plain = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).cast("double").alias("value")) for k in ("alpha_annual", "alpha_t_stat", "r_squared", "n_obs")])
+    named = lambda c, sign: F.transform(F.map_entries(c), lambda e: F.struct(F.concat(F.lit(sign), e["key"]).alias("name"), e["value"].alias("value")))
+    rows = found.select("strategy", F.explode(F.concat(plain, named("betas", "beta_"), named("beta_t_stats", "t_"))).alias("x"))
+    return rounded(rows.select("strategy", "x.*"))
+
+
 # --- validation
 PARTS = f"pt AS (SELECT symbol, bar_idx, ln(open / {o.lag('close')}) AS gap, ln(greatest(high, open) / open) AS hi, ln(least(low, open) / open) AS lo, ln(close / open) AS body, volume FROM bars), parts AS (SELECT * FROM pt WHERE bar_idx > 0)"
 query("t1_decompose", o.query(f"{o.MARKET}, {PARTS}", f"bar_idx, {rr('gap', 'hi', 'lo', 'body', 'volume')}", "parts"))(lambda s, d: cols(validation.decompose(src.bars_market(s, d), BY).withColumn("bar_idx", F.col("bar_idx").cast("bigint")), "bar_idx", "gap", "hi", "lo", "body", "volume"))
@@ -487,8 +503,8 @@ _ARENA = " UNION ALL ".join(f"SELECT '{k}' AS strategy, net FROM ({o.query(f'{o.
 _GRIDS = "CASE mo.strategy " + " ".join(f"WHEN '{k}' THEN {min(n, 40)}" for k, n in {"buy_and_hold": 1, "sma_cross": 19, "ema_cross": 24, "macd_trend": 36, "rsi_reversion": 48, "bollinger_reversion": 16, "donchian_breakout": 5, "momentum": 6, "vol_target_momentum": 36, "channel_trend": 48, "coin_flip": 16}.items()) + " END"
 query("z2_deflated_rules", o.query(f"ar AS ({_ARENA}), {stats.deflated('ar', _GRIDS.replace('mo.', ''), 'strategy')}", f"strategy, CAST(n_trials AS INT) AS n_trials, {rr('sharpe', 'hurdle', 'psr', 'dsr')}", "ds"))(lambda s, d: rounded(lab.deflated_rules(src.bars_market(s, d))))
 query("z2_arena")(lambda s, d: lab.run_arena(src.bars_market(s, d)))
-query("z4_portfolio_lab")(lambda s, d: lab.run_portfolio_lab(the_panel(s, d), lab.LabConfig("xs_reversal", n_permutations=150, n_folds=4, grid_limit=24)).score)
-query("z3_portfolio_arena")(lambda s, d: lab.run_portfolio_arena(the_panel(s, d), rebalance="M"))
+query("z4_portfolio_lab")(lambda s, d: lab.run_portfolio_lab(the_panel(s, d), lab.PortfolioConfig("xs_reversal")).score)
+query("z3_portfolio_arena")(lambda s, d: lab.run_portfolio_arena(the_panel(s, d)))
 
 # --- the signal rule, its fills, the environment
 ORDERS = f"{o.MARKET}, {SIGNALS}"
@@ -574,6 +590,23 @@ def _(s, d):
     return cols(s.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", "close")
 
 
+@query("st2_polled_bars", o.query(o.MARKET, f"symbol, ts, {rr('close')}", "bars", "WHERE year(ts) % 3 > 0"))
+def _(s, d):
+    """A year's bars a poll; every third poll failed. The stream is stopped after three years and goes on."""
+    path, sink, marks, b = scratch(s), scratch(s), scratch(s), market(s, d)
+    poll.register(s)
+    years = [r["y"] for r in b.select(F.year("ts").alias("y")).distinct().orderBy("y").collect()]  # a row a year
+    for some in (years[:3], years[3:]):
+        for y in some:
+            if y % 3:
+                poll.record(s, b.filter(F.year("ts") == y), path, y - years[0])
+            else:
+                poll.record_failure(s, path, y - years[0])
+        stream = s.readStream.format("bar_poll").option("path", path).load().drop("poll")
+        live.fan_out(live.new_bars(stream), [live.batch_sink(sink)], marks).awaitTermination()
+    return cols(s.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", "close")
+
+
 query(
     "st_tick_sessions",
     "WITH t AS (SELECT event_type AS symbol, ts, value + 1 AS price, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS apart FROM events), i AS (SELECT *, sum(CASE WHEN apart IS NULL OR apart >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts) AS island FROM t) "

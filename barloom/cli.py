@@ -1,4 +1,4 @@
-"""Command line: lab, arena, portfolio, strategies, over bars in Parquet (symbol, ts, ohlcv)."""
+"""Command line: one rule or book examined, races of all, and the list of rules, over bars in Parquet, CSV or a cache."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.cross_sectional import list_xs_strategies
@@ -14,43 +14,79 @@ from .operators.engine import Costs
 from .operators.panel import make_panel
 from .operators.strategies import list_strategies
 from .plans import lab
+from .ship import ship
+from .sources.bars import read_cache, read_csv
+
+
+PORTFOLIO = ("portfolio", "portfolio-arena")
+COMMANDS = {"lab": (250, 5), "arena": (120, 5), "portfolio": (150, 4), "portfolio-arena": (80, 4)}  # permutations and folds
 
 
 def params(pairs: list[str]) -> dict[str, float]:
     """['fast=10'] -> {'fast': 10.0}"""
-    out = {}
-    for p in pairs:
-        name, eq, value = p.partition("=")
-        if not eq:
-            raise ValueError(f"{p!r} is not name=value")
-        out[name.strip()] = float(value)
-    return out
+    out = dict(p.split("=", 1) if "=" in p else _refuse(p) for p in pairs)
+    return {k.strip(): float(v) for k, v in out.items()}
+
+
+def _refuse(pair: str):
+    raise ValueError(f"{pair!r} is not name=value")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("barloom", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("lab", "arena", "portfolio"):
-        c = sub.add_parser(name)
-        c.add_argument("bars")
+    for name, (permutations, folds) in COMMANDS.items():
+        c, book = sub.add_parser(name), name in PORTFOLIO
+        c.add_argument("bars", help="Parquet of symbol, ts, ohlcv; a cache's folder with --source cache")
+        c.add_argument("--source", choices=["table", "cache", "csv"], default="table")
+        c.add_argument("--interval", default="1d", help="of a cache")
         c.add_argument("--symbol", action="append", default=[])
-        c.add_argument("--strategy", default="xs_momentum" if name == "portfolio" else "sma_cross")
-        c.add_argument("--param", action="append", default=[])
-        c.add_argument("--permutations", type=int, default=250)
-        c.add_argument("--folds", type=int, default=5)
+        c.add_argument("--start")
+        c.add_argument("--end")
+        c.add_argument("--permutations", type=int, default=permutations)
         c.add_argument("--commission", type=float, default=1.0)
         c.add_argument("--slippage", type=float, default=2.0)
-        c.add_argument("--rebalance")
+        c.add_argument("--borrow", type=float, default=50.0)
         c.add_argument("--lag", type=int, default=1)
         c.add_argument("--leverage", type=float, default=1.0)
         c.add_argument("--long-only", action="store_true")
-        c.add_argument("--capital", type=float, default=100_000.0)
+        c.add_argument("--capital", type=float, default=1_000_000.0 if book else 100_000.0)
         c.add_argument("--seed", type=int, default=1)
         c.add_argument("--json", action="store_true")
+        if book:
+            c.add_argument("--rebalance", default="M", help="D, W, M, Q or a number of bars")
+            c.add_argument("--max-weight", type=float, default=0.25)
+        else:
+            c.add_argument("--block", type=int, help="permute blocks of so many bars, not single ones")
+        if not name.endswith("arena"):
+            c.add_argument("--strategy", default="xs_momentum" if book else "sma_cross")
+            c.add_argument("--param", action="append", default=[])
+            c.add_argument("--folds", type=int, default=folds)
     sub.add_parser("strategies")
     return p
 
 
+def config(a: argparse.Namespace) -> lab.LabConfig:
+    """What the flags say; a command has those flags only that it heeds."""
+    given = {"costs": Costs(a.commission, a.slippage, a.borrow), "n_permutations": a.permutations, "seed": a.seed, "lag": a.lag, "max_leverage": a.leverage, "allow_short": not a.long_only, "capital": a.capital}
+    if "strategy" in a:
+        given |= {"strategy": a.strategy, "params": params(a.param), "n_folds": a.folds}
+    if a.command in PORTFOLIO:
+        return lab.PortfolioConfig(**given, rebalance=a.rebalance, max_weight=a.max_weight)
+    return lab.LabConfig(**given, block=a.block)
+
+
+def load(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    wanted = [s.strip() for x in a.symbol for s in x.split(",") if s.strip()]
+    if a.source == "cache":
+        bars = read_cache(spark, a.bars, a.interval, wanted)
+    else:
+        bars = read_csv(spark, a.bars) if a.source == "csv" else spark.read.parquet(a.bars)
+        bars = bars.filter(F.upper("symbol").isin([s.upper() for s in wanted])) if wanted else bars
+    bars = bars.filter(F.col("ts") >= F.lit(a.start).cast("timestamp_ntz")) if a.start else bars
+    return bars.filter(F.col("ts") <= F.lit(a.end).cast("timestamp_ntz")) if a.end else bars
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         a = parser().parse_args(argv)
@@ -59,15 +95,14 @@ def main(argv: list[str] | None = None) -> int:
                 print(s.key, json.dumps(s.clean()), len(s.grid()))
             return 0
         spark = SparkSession.builder.getOrCreate()
-        bars = spark.read.parquet(a.bars)
-        wanted = [s.strip().upper() for s in a.symbol]
-        bars = bars.filter(F.upper("symbol").isin(wanted)) if wanted else bars
-        cfg = lab.LabConfig(a.strategy, params(a.param), Costs(a.commission, a.slippage), a.permutations, a.folds, seed=a.seed, rebalance=a.rebalance, lag=a.lag, max_leverage=a.leverage, allow_short=not a.long_only, capital=a.capital)
+        ship(spark)
+        bars, cfg = load(spark, a), config(a)
         if a.command == "arena":
-            rows = lab.run_arena(bars, a.permutations, cfg.costs)
+            rows = lab.run_arena(bars, a.permutations, cfg)
+        elif a.command == "portfolio-arena":
+            rows = lab.run_portfolio_arena(make_panel(bars), a.permutations, cfg)
         else:
-            report = lab.run_lab(bars, cfg) if a.command == "lab" else lab.run_portfolio_lab(make_panel(bars), cfg)
-            rows = report.score
+            rows = (lab.run_lab(bars, cfg) if a.command == "lab" else lab.run_portfolio_lab(make_panel(bars), cfg)).score
         for r in lab.to_json(rows).collect():  # a row per report or rule
             print(r["json"] if a.json else " ".join(f"{k}={v}" for k, v in json.loads(r["json"]).items()))
     except Exception as e:  # noqa: BLE001

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numbered, ramp
-from ..operators.attribution import factor_attribution, style_factors
+from ..operators.attribution import attributed, factor_attribution, style_factors
 from ..operators.cross_sectional import get_xs_strategy, list_xs_strategies, trial_weights, with_weights
 from ..operators.engine import Costs, run_backtest
-from ..operators.metrics import compute_metrics, sharpes
+from ..operators.metrics import compute_metrics, periods_per_year, sharpes
 from ..operators.panel import survivorship
 from ..operators.portfolio import portfolio_metrics, portfolio_returns, run_portfolio
 from ..operators.strategies import get_strategy, list_strategies, with_targets
+from ..sources.scratch import cut
 from . import validation as v
 
 # Weights of the score's parts, grades by least score, and the caps of weak cases.
@@ -64,21 +65,46 @@ class LabConfig:
     n_splits: int = 8
     grid_limit: int = 40
     seed: int = 1
-    ppy: int = 252
-    rebalance: str | None = None
+    ppy: int | None = None  # told by the bars' own step
     block: int | None = None
     lag: int = 1
     max_leverage: float = 1.0
     allow_short: bool = True
     capital: float = 100_000.0
 
-    def how(self, panel: bool = False) -> dict:
-        """Options of the engine, or of the portfolio."""
-        if panel:
-            return {"lag": self.lag, "gross_leverage": self.max_leverage, "allow_short": self.allow_short}
+    def how(self) -> dict:
+        """Options of the engine."""
         return {"lag": self.lag, "max_leverage": self.max_leverage, "allow_short": self.allow_short, "capital": self.capital}
 
 
+@dataclass
+class PortfolioConfig(LabConfig):
+    """A book's: dates to trade on (see rebalance_rows), and the largest share of a name."""
+
+    strategy: str = "xs_momentum"
+    n_permutations: int = 150
+    n_folds: int = 4
+    grid_limit: int = 24
+    capital: float = 1_000_000.0
+    rebalance: str | None = "M"
+    max_weight: float | None = 0.25
+
+    def how(self, capped: bool = True) -> dict:
+        """Options of the portfolio; walk-forward folds are not capped by name."""
+        return {"lag": self.lag, "gross_leverage": self.max_leverage, "allow_short": self.allow_short, "rebalance": self.rebalance} | ({"max_weight": self.max_weight} if capped else {})
+
+
+#: Bars that a series, and dates that a panel, must have to be analysed.
+LEAST_BARS, LEAST_DATES = 120, 250
+
+
+def step_of(bars: DataFrame, given: int | None = None) -> int:
+    """Periods in a year, from the median step between the times of bars or of a panel."""
+    if given is not None:
+        return given
+    return _one_row(periods_per_year(bars.select("ts").distinct().withColumn("_k", F.lit(0)), ["_k"]))["ppy"]
+
+
 @dataclass
 class Report:
     """DataFrames of a run; `score` is one row."""
@@ -108,10 +134,10 @@ def _one_row(df: DataFrame) -> dict:
 
 def run_lab(bars: DataFrame, cfg: LabConfig = LabConfig()) -> Report:
     """bars: one symbol's."""
-    spark, ppy = bars.sparkSession, cfg.ppy
+    if len(bars.select("ts").take(LEAST_BARS)) < LEAST_BARS:
+        raise ValueError(f"at least {LEAST_BARS} bars are needed")
+    spark, ppy = bars.sparkSession, step_of(bars, cfg.ppy)
     bars = numbered(bars, ["symbol"])
-    if len(bars.select("ts").take(120)) < 120:
-        raise ValueError("at least 120 bars are needed")
     s = get_strategy(cfg.strategy)
     p = s.clean(cfg.params)
     stress = with_targets(bars, ["symbol"], [(s, p)]).withColumn("cost_mult", F.explode(F.array(F.lit(1), F.lit(3))))
@@ -139,25 +165,27 @@ def _input_row(spark, row: dict) -> DataFrame:
     return spark.createDataFrame([tuple(row[n] for n in INPUTS)], kinds)
 
 
-def run_portfolio_lab(panel: DataFrame, cfg: LabConfig) -> Report:
+def run_portfolio_lab(panel: DataFrame, cfg: PortfolioConfig = PortfolioConfig()) -> Report:
     """panel: make_panel's. Permutations deal weights anew within dates, free of cost on both sides."""
-    spark, ppy = panel.sparkSession, cfg.ppy
+    if (panel.agg(F.max("bar_idx") + 1).first()[0] or 0) < LEAST_DATES:
+        raise ValueError(f"at least {LEAST_DATES} dates are needed")
+    spark, ppy, how = panel.sparkSession, step_of(panel, cfg.ppy), cfg.how()
     s = get_xs_strategy(cfg.strategy)
     weighted = with_weights(panel, cfg.strategy, cfg.params)
-    held = run_portfolio(weighted, [], cfg.costs, rebalance=cfg.rebalance, ppy=ppy, **cfg.how(panel=True))
-    dates = portfolio_returns(held, [], cfg.costs, ppy)
+    held = cut(run_portfolio(weighted, [], cfg.costs, ppy=ppy, **how))
+    dates = cut(portfolio_returns(held, [], cfg.costs, ppy, cfg.capital))
     metrics = portfolio_metrics(dates, [], ppy)
     grid = s.grid(cfg.grid_limit)
-    trials = portfolio_returns(run_portfolio(trial_weights(panel, cfg.strategy, grid), ["trial_id"], cfg.costs, rebalance=cfg.rebalance, ppy=ppy, **cfg.how(panel=True)), ["trial_id"], cfg.costs, ppy)
+    trials = cut(portfolio_returns(run_portfolio(trial_weights(panel, cfg.strategy, grid), ["trial_id"], cfg.costs, ppy=ppy, **how), ["trial_id"], cfg.costs, ppy).select("trial_id", "ts", "bar_idx", "net"))
     stressed = portfolio_returns(held, [], Costs(cfg.costs.commission, cfg.costs.slippage, cfg.costs.borrow, 3 * cfg.costs.times), ppy)
     both = dates.withColumn("cost_mult", F.lit(1)).unionByName(stressed.withColumn("cost_mult", F.lit(3)))
     free = Costs(0, 0, 0)
     observed = _one_row(sharpes(portfolio_returns(held, [], free, ppy).withColumn("_k", F.lit(0)), ["_k"], ppy))["sharpe"]
-    null = v.cross_permutation_null(weighted, cfg.n_permutations, cfg.seed, ppy, free, cfg.rebalance)
+    null = v.cross_permutation_null(weighted, cfg.n_permutations, cfg.seed, ppy, free, **how)
     test = _one_row(v.p_value(null, observed))
     dsr = v.deflated_sharpe(v.moments_of(dates), _trial_sharpes(trials, ppy), len(grid))
     over = _one_row(v.pbo(trials, cfg.n_splits))
-    folds = v.walk_forward_panel(panel, s, min(cfg.n_folds, 4), costs=cfg.costs, rebalance=cfg.rebalance, ppy=ppy, **cfg.how(panel=True))
+    folds = v.walk_forward_panel(panel, s, cfg.n_folds, costs=cfg.costs, grid_limit=min(cfg.grid_limit, 12), ppy=ppy, **cfg.how(capped=False))
     forward = _one_row(v.walk_forward_summary(folds)) if folds is not None else {}
     style = factor_attribution(dates, style_factors(panel, ppy), ppy)
     life = _one_row(survivorship(panel))
@@ -168,7 +196,7 @@ def run_portfolio_lab(panel: DataFrame, cfg: LabConfig) -> Report:
         "cost_ratio": _one_row(v.cost_stress(both, [], ppy))["ratio"], "benchmark_correlation": _one_row(dates.agg(F.corr("net", "bench").alias("c")))["c"],
         "alpha_significant": style.get("alpha_significant"), "r_squared": style.get("r_squared"), "biased": life["biased"],
     }
-    return Report(held, metrics, trials, reality_score(_input_row(spark, row)), {"dsr": dsr, "pbo": over, "permutation": test, "walk_forward": forward, "attribution": style, "survivorship": life, "null": null})
+    return Report(held, metrics, trials, reality_score(_input_row(spark, row)), {"dsr": dsr, "pbo": over, "permutation": test, "walk_forward": forward, "attribution": style, "survivorship": life, "null": null, "ppy": ppy})
 
 
 def rule_moments(runs: DataFrame, ppy: int = 252) -> DataFrame:
@@ -178,9 +206,9 @@ def rule_moments(runs: DataFrame, ppy: int = 252) -> DataFrame:
     return obs.join(sharpes(runs, ["trial_id"], ppy), "trial_id")
 
 
-def arena_runs(bars: DataFrame, costs: Costs = Costs(), ppy: int = 252) -> DataFrame:
+def arena_runs(bars: DataFrame, costs: Costs = Costs(), ppy: int = 252, **how) -> DataFrame:
     """Every rule at its defaults over one numbered series, told apart by trial_id, in one plan."""
-    return run_backtest(with_targets(bars, ["symbol"], [(s, s.clean()) for s in list_strategies()]), ["symbol", "trial_id"], costs, ppy=ppy)
+    return run_backtest(with_targets(bars, ["symbol"], [(s, s.clean()) for s in list_strategies()]), ["symbol", "trial_id"], costs, ppy=ppy, **how)
 
 
 def deflated_rules(bars: DataFrame, costs: Costs = Costs(), ppy: int = 252, grid_limit: int = 40) -> DataFrame:
@@ -192,14 +220,19 @@ def deflated_rules(bars: DataFrame, costs: Costs = Costs(), ppy: int = 252, grid
     return bars.sparkSession.createDataFrame(out, "strategy string, n_trials int, sharpe double, hurdle double, psr double, dsr double")
 
 
-def run_arena(bars: DataFrame, n_permutations: int = 120, costs: Costs = Costs(), seed: int = 1, ppy: int = 252, grid_limit: int = 40) -> DataFrame:
-    """Every rule at its defaults: metrics, p_value, dsr over the rule's own grid and evidence = (1 - p) * dsr, best first. One backtest plan for all."""
+def run_arena(bars: DataFrame, n_permutations: int = 120, config: LabConfig = LabConfig()) -> DataFrame:
+    """Every rule at its defaults: metrics, p_value, dsr over the rule's own grid and evidence = (1 - p) * dsr, best first. One backtest plan for all.
+
+    config: costs, options of the engine, seed and kind of the permutations.
+    """
+    ppy, grid_limit = step_of(bars, config.ppy), config.grid_limit
     bars = numbered(bars, ["symbol"])
     rules = [(s, s.clean()) for s in list_strategies()]
-    runs = arena_runs(bars, costs, ppy)
-    markets = v.permute_bars(bars, ["symbol"], n_permutations, seed)
+    runs = cut(arena_runs(bars, config.costs, ppy, **config.how()))
+    # every average reads the markets anew: they are written once
+    markets = cut(v.permute_bars(bars, ["symbol"], n_permutations, config.seed, config.block))
     keys = ["perm_id", "symbol"]
-    null = sharpes(run_backtest(with_targets(markets, keys, rules, "bar_idx"), [*keys, "trial_id"], costs, ppy=ppy, order="bar_idx"), [*keys, "trial_id"], ppy).withColumnRenamed("sharpe", "_null")
+    null = sharpes(run_backtest(with_targets(markets, keys, rules, "bar_idx"), [*keys, "trial_id"], config.costs, ppy=ppy, order="bar_idx", **config.how()), [*keys, "trial_id"], ppy).withColumnRenamed("sharpe", "_null")
     obs = rule_moments(runs, ppy)
     tested = obs.join(null, "trial_id").groupBy(*obs.columns).agg(((1 + F.count(F.when(F.col("_null") >= F.col("sharpe"), 1))) / (F.count("*") + 1)).alias("p_value"))
     rows = tested.collect()  # a row per rule
@@ -212,30 +245,28 @@ def run_arena(bars: DataFrame, n_permutations: int = 120, costs: Costs = Costs()
     return _ranked(bars.sparkSession, out, "cagr double, max_drawdown double, n_trades double")
 
 
-def run_portfolio_arena(panel: DataFrame, n_permutations: int = 80, costs: Costs = Costs(), seed: int = 1, ppy: int = 252, grid_limit: int = 24, rebalance: str | None = None) -> DataFrame:
+def run_portfolio_arena(panel: DataFrame, n_permutations: int = 80, config: PortfolioConfig = PortfolioConfig()) -> DataFrame:
     """Every cross-sectional rule at its defaults, on one schedule: as run_arena, with turnover and the t statistic of alpha over the style factors."""
+    ppy, how = step_of(panel, config.ppy), config.how()
     rules = [s.key for s in list_xs_strategies()]
     weighted = None
     for i, k in enumerate(rules):
         part = with_weights(panel, k).withColumn("trial_id", F.lit(i))
         weighted = part if weighted is None else weighted.unionByName(part)
-    dates = portfolio_returns(run_portfolio(weighted, ["trial_id"], costs, rebalance=rebalance, ppy=ppy), ["trial_id"], costs, ppy)
-    free = Costs(0, 0, 0)
-    shown = {r["trial_id"]: r["sharpe"] for r in sharpes(portfolio_returns(run_portfolio(weighted, ["trial_id"], free, rebalance=rebalance, ppy=ppy), ["trial_id"], free, ppy), ["trial_id"], ppy).collect()}
-    stats = {r["trial_id"]: r.asDict() for r in dates.groupBy("trial_id").agg(F.count("net").alias("n"), F.avg("net").alias("mean"), F.stddev_samp("net").alias("sd"), F.skewness("net").alias("skew"), (F.kurtosis("net") + 3).alias("kurt"), F.product(1 + F.col("net")).alias("growth")).collect()}
-    null: dict[int, list[float]] = {}
-    for r in v.cross_permutation_null(weighted, n_permutations, seed, ppy, rebalance=rebalance, by=("trial_id",)).collect():  # a row per rule and permutation
-        null.setdefault(r["trial_id"], []).append(r["sharpe"])
-    more = {r["trial_id"]: r for r in portfolio_metrics(dates, ["trial_id"], ppy).select("trial_id", "cagr", "max_drawdown", "n_trades", "turnover_ann").collect()}
-    styles = style_factors(panel, ppy).persist()  # a row per factor and date, read once for each rule
-    alpha = [factor_attribution(dates.filter(F.col("trial_id") == i), styles, ppy).get("alpha_t_stat") for i in range(len(rules))]
-    styles.unpersist()
+    by, free = ["trial_id"], Costs(0, 0, 0)
+    held = cut(run_portfolio(weighted, by, config.costs, ppy=ppy, **how))
+    dates = cut(portfolio_returns(held, by, config.costs, ppy, config.capital))
+    shown = sharpes(portfolio_returns(held, by, free, ppy), by, ppy).withColumnRenamed("sharpe", "_shown")
+    null = v.cross_permutation_null(weighted, n_permutations, config.seed, ppy, by=("trial_id",), **how)
+    tested = null.join(shown, by).groupBy(*by).agg(((1 + F.count(F.when(F.col("sharpe") >= F.col("_shown"), 1))) / (F.count("*") + 1)).alias("p_value"))
+    more = portfolio_metrics(dates, by, ppy).select(*by, "cagr", "max_drawdown", "n_trades", "turnover_ann")
+    alpha = attributed(dates, style_factors(panel, ppy), by, ppy).select(*by, "alpha_t_stat")
+    rows = rule_moments(dates, ppy).join(tested, by).join(more, by).join(alpha, by, "left").collect()  # a row per rule
     out = []
-    for i, k in enumerate(rules):
-        m = more[i]
-        p = (1 + sum(x >= shown[i] for x in null[i])) / (len(null[i]) + 1)
-        dsr = v.deflated_sharpe(stats[i], None, len(get_xs_strategy(k).grid(grid_limit)))
-        out.append((k, dsr["sharpe"] * ppy**0.5, stats[i]["growth"] - 1, m["cagr"], m["max_drawdown"], float(m["n_trades"]), m["turnover_ann"], alpha[i], p, dsr["dsr"], (1 - p) * dsr["dsr"]))
+    for r in rows:
+        k = rules[r["trial_id"]]
+        dsr = v.deflated_sharpe(r.asDict(), None, len(get_xs_strategy(k).grid(config.grid_limit)))
+        out.append((k, dsr["sharpe"] * ppy**0.5, r["growth"] - 1, r["cagr"], r["max_drawdown"], float(r["n_trades"]), r["turnover_ann"], r["alpha_t_stat"], r["p_value"], dsr["dsr"], (1 - r["p_value"]) * dsr["dsr"]))
     return _ranked(panel.sparkSession, out, "cagr double, max_drawdown double, n_trades double, turnover_ann double, alpha_t_stat double")
 
 

@@ -88,27 +88,32 @@ def bootstrap_paths(returns: DataFrame, n_paths: int, seed: int = 1, c: str = "n
     return each.select("path_id", "bar_idx", F.product(1 + F.col("_r")).over(so_far(["path_id"], "bar_idx")).alias("wealth"))
 
 
+#: Columns of a panel that a portfolio reads beside its weights.
+STATE = ["symbol", "ts", "bar_idx", "listed", "tradable", "ret"]
+
+
 def permute_within_dates(panel: DataFrame, n_perm: int, seed: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
-    """The panel once per perm_id, each date's weights dealt anew among its listed names, within each `by`."""
+    """What a portfolio reads of the panel, once per perm_id, each date's weights dealt anew among its listed names, within each `by`."""
     spark = panel.sparkSession
     perms = F.broadcast(spark.range(n_perm).select(F.col("id").cast("int").alias("perm_id")))
-    each = panel.join(perms, how="cross")
+    panel = panel.select(*by, *STATE, "weight")
+    each = panel.drop("weight").join(perms, how="cross")
     at = [*by, "perm_id", "ts"]
     drawn = each.filter("listed").withColumn("_u", draw(F.lit(seed), "perm_id", "bar_idx", "symbol"))
-    names = drawn.withColumn("_k", F.row_number().over(W.partitionBy(*at).orderBy("_u", "symbol"))).drop("weight", "_u")
+    names = drawn.withColumn("_k", F.row_number().over(W.partitionBy(*at).orderBy("_u", "symbol"))).drop("_u")
     # the weights of a date keep their order: only the names are dealt anew
     once = [*by, "ts"]
     weights = panel.filter("listed").select(*once, "weight", F.row_number().over(W.partitionBy(*once).orderBy("symbol")).alias("_k"))
     return names.join(weights, [*once, "_k"]).drop("_k").unionByName(each.filter("not listed").withColumn("weight", F.lit(0.0)))
 
 
-def cross_permutation_null(panel: DataFrame, n_perm: int, seed: int = 1, ppy: int = 252, costs: Costs = Costs(0, 0, 0), rebalance: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def cross_permutation_null(panel: DataFrame, n_perm: int, seed: int = 1, ppy: int = 252, costs: Costs = Costs(0, 0, 0), by: tuple[str, ...] = (), **how) -> DataFrame:
+    """perm_id, sharpe of books whose weights went to other names; how: see run_portfolio."""
     keys = [*by, "perm_id"]
-    runs = run_portfolio(permute_within_dates(panel, n_perm, seed, by), keys, costs, rebalance=rebalance, ppy=ppy)
+    runs = run_portfolio(permute_within_dates(panel, n_perm, seed, by), keys, costs, ppy=ppy, **how)
     return sharpes(portfolio_returns(runs, keys, costs, ppy), keys, ppy)
 
 
-# Sharpe statistics on a few driver numbers; sr is per period throughout.
 def probabilistic_sharpe(sr: float, n: int, skew: float, kurt: float, benchmark: float = 0.0) -> float:
     below = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
     return 0.5 if n < 3 or below <= 0 else norm_cdf((sr - benchmark) * math.sqrt(n - 1) / math.sqrt(below))

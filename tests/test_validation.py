@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import norm_cdf, norm_cdf_column, norm_ppf, norm_ppf_column, numbered
 from barloom.operators.cross_sectional import get_xs_strategy, with_weights
+from barloom.operators.engine import Costs
 from barloom.operators.panel import make_panel, slice_bars
 from barloom.operators.strategies import get_strategy
 from barloom.plans import agentic, lab
@@ -132,7 +133,7 @@ def test_attribution_matches_numpy(spark, book_bars):
 
 def test_portfolio_lab(spark, book_bars):
     p = make_panel(book_bars)
-    cfg = lab.LabConfig("xs_reversal", n_permutations=9, n_folds=2, n_splits=4, grid_limit=3)
+    cfg = lab.PortfolioConfig("xs_reversal", n_permutations=9, n_folds=2, n_splits=4, grid_limit=3, rebalance=None, max_weight=None)
     r = lab.run_portfolio_lab(p, cfg)
     row, dates = r.score.first(), lab.portfolio_returns(lab.run_portfolio(with_weights(p, "xs_reversal")))
     m = lab.portfolio_metrics(dates).first()
@@ -141,7 +142,7 @@ def test_portfolio_lab(spark, book_bars):
     assert r.trials.select("trial_id").distinct().count() == 3 and r.extra["dsr"]["n_trials"] == 3
     assert row.biased is False and r.extra["survivorship"]["n_delisted"] == 1 and r.extra["attribution"]["available"]
     assert 0 <= row.score <= 100 and row.grade in "ABCDF" and row.cost_ratio is not None and (row.alpha_significant or row.score <= lab.CAPS["no_alpha"])
-    late = lab.run_portfolio_lab(p, lab.LabConfig("equal_weight", n_permutations=1, n_folds=2, n_splits=4, grid_limit=2, allow_short=False, max_leverage=0.5)).runs
+    late = lab.run_portfolio_lab(p, lab.PortfolioConfig("equal_weight", n_permutations=1, n_folds=2, n_splits=4, grid_limit=2, allow_short=False, max_leverage=0.5, rebalance=None, max_weight=None)).runs
     assert late.groupBy("ts").agg(F.sum(F.abs("held")).alias("g")).agg(F.max("g")).first()[0] == pytest.approx(0.5)
 
 
@@ -172,14 +173,61 @@ def test_arenas_deflate_by_each_rules_own_grid(spark, book_bars):
         assert got[key].dsr == pytest.approx(v.deflated_sharpe(v.moments_of(runs), None, len(s.grid(40)))["dsr"])
         assert got[key].max_drawdown == pytest.approx(lab.compute_metrics(runs, BY).first()["max_drawdown"])
     p = make_panel(book_bars)
-    races = {r.strategy: r for r in lab.run_portfolio_arena(p, 2, rebalance="M").collect()}
+    races = {r.strategy: r for r in lab.run_portfolio_arena(p, 2, lab.PortfolioConfig(max_weight=0.15)).collect()}
     key = "xs_reversal"
-    dates = lab.portfolio_returns(lab.run_portfolio(with_weights(p, key), rebalance="M"))
+    dates = lab.portfolio_returns(lab.run_portfolio(with_weights(p, key), rebalance="M", max_weight=0.15))
     assert races[key].dsr == pytest.approx(v.deflated_sharpe(v.moments_of(dates), None, len(lab.get_xs_strategy(key).grid(24)))["dsr"])
     assert races[key].turnover_ann == pytest.approx(lab.portfolio_metrics(dates).first()["turnover_ann"])
     assert races[key].alpha_t_stat == pytest.approx(lab.factor_attribution(dates, lab.style_factors(p)).get("alpha_t_stat"))
 
 
+def test_attribution_of_many_keys_in_one_plan(spark, book_bars):
+    p = make_panel(book_bars)
+    styles, parts = lab.style_factors(p), []
+    for k in ("xs_reversal", "low_volatility"):
+        parts.append(lab.portfolio_returns(lab.run_portfolio(with_weights(p, k))).select("bar_idx", "net").withColumn("rule", F.lit(k)))
+    parts.append(parts[0].limit(30).withColumn("rule", F.lit(None).cast("string")))
+    got = {r.rule: r.asDict() for r in lab.attributed(parts[0].unionByName(parts[1]).unionByName(parts[2]), styles, ["rule"]).collect()}
+    assert set(got) == {"xs_reversal", "low_volatility", None} and not got[None]["available"] and got[None]["n_obs"] <= 30 and got[None]["alpha_annual"] is None
+    for k, part in zip(("xs_reversal", "low_volatility"), parts[:2], strict=True):
+        one = lab.factor_attribution(part, styles)
+        for name, value in one.items():
+            assert got[k][name] == (pytest.approx(value, rel=1e-6) if isinstance(value, (float, dict)) else value), name
+
+
+def hourly(frame, hours=7):
+    """The same bars, an hour apart, on days of seven."""
+    days = pd.bdate_range("2021-03-01", periods=len(frame) // hours + 1)
+    return frame.assign(ts=[days[k // hours] + pd.Timedelta(hours=9 + k % hours) for k in range(len(frame))])
+
+
+def test_labs_infer_the_step_of_the_bars(spark, book_bars):
+    frame = wander(260, 8)
+    small = lab.LabConfig("momentum", {"lookback": 5}, n_permutations=2, n_folds=2, n_splits=4, grid_limit=2)
+    daily, hours = (lab.run_lab(as_bars(spark, f), small).metrics.first() for f in (frame, hourly(frame)))
+    ppy = round(6.5 * 3600 / 3600 * 252)
+    assert daily.years == pytest.approx(260 / 252) and hours.years == pytest.approx(260 / ppy)
+    assert hours.total_return != 0 and hours.sharpe == pytest.approx(daily.sharpe * (ppy / 252) ** 0.5, rel=0.02)  # but for a year's cost of shorts
+    assert lab.step_of(as_bars(spark, hourly(frame))) == ppy and lab.step_of(as_bars(spark, frame), 12) == 12
+    weekly = frame.assign(ts=pd.date_range("2021-01-04", periods=260, freq="7D"))
+    assert lab.step_of(as_bars(spark, weekly)) == 50
+    races = {r.strategy: r for r in lab.run_arena(as_bars(spark, hourly(frame)), 1, lab.LabConfig(costs=Costs(0, 0, 0), allow_short=False, lag=2, max_leverage=0.5)).collect()}
+    s = get_strategy("sma_cross")
+    runs = lab.run_backtest(lab.with_targets(numbered(as_bars(spark, hourly(frame)), BY), BY, [(s, s.clean())]), BY, Costs(0, 0, 0), lag=2, max_leverage=0.5, allow_short=False, ppy=ppy)
+    assert races["sma_cross"].sharpe == pytest.approx(lab.compute_metrics(runs, BY, ppy).first()["sharpe"])
+
+
+def test_largest_share_of_a_name(spark, book_bars):
+    """Five names at 0.1 each cannot hold more than a half; a panel of less than 250 dates is refused."""
+    p = make_panel(book_bars.filter("symbol <> 'N4'"))
+    r = lab.run_portfolio_lab(p, lab.PortfolioConfig("equal_weight", n_permutations=1, n_folds=2, n_splits=4, grid_limit=2, max_weight=0.1, rebalance="D"))
+    top = r.runs.agg(F.max(F.abs("held"))).first()[0]
+    gross = r.runs.groupBy("ts").agg(F.sum(F.abs("held")).alias("g")).agg(F.max("g")).first()[0]
+    assert top == pytest.approx(0.1) and gross == pytest.approx(0.5) and r.extra["ppy"] == 252
+    with pytest.raises(ValueError, match="250"):
+        lab.run_portfolio_lab(p.filter("bar_idx < 249"))
+
+
 @pytest.mark.parametrize(("name", "least"), [("z1_reality_score", 250), ("z2_arena", 120), ("z3_portfolio_arena", 80), ("t4_p_value", 300), ("t7_cross_permutation_null", 200)])
 def test_queries_draw_as_many_permutations_as_the_reference(monkeypatch, name, least):
     from barloom import catalogue
