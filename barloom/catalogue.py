@@ -18,7 +18,7 @@ from .operators import attribution, joins, metrics, panel, portfolio
 from .operators.cross_sectional import XS_REGISTRY, rebalance_hold, with_weights
 from .operators.engine import run_backtest
 from .operators.strategies import REGISTRY, get_strategy, with_targets
-from .plans import agentic, lab, validation
+from .plans import agentic, lab, sql, validation
 from .sources import bars as src
 from .sources import generators as gen
 from .sources.scratch import scratch
@@ -258,6 +258,9 @@ SIGNALS = (
     "od AS (SELECT *, CASE WHEN action = 'hold' THEN 0 ELSE greatest(1, least(CAST(floor(10000 / close) AS INT), 100)) END AS quantity FROM sg)"
 )
 query("i12_signal_set", o.query(f"{o.MARKET}, {SIGNALS}", f"ts, {rr('sma_20', 'sma_50', 'rsi')}", "ind"))(lambda s, d: cols(ind.signal_set(market(s, d), BY), "ts", "sma_20", "sma_50", "rsi"))
+query("i12_signal_bands_and_averages", o.query(f"{o.MARKET}, m0 AS (SELECT *, {o.ema('close', 2 / 13, 12)} - {o.ema('close', 2 / 27, 26)} AS macd FROM bars)", f"ts, {o.r(f'({_mid}) - 2 * ({_sd})', 'bb_lower')}, {o.r(f'({_mid}) + 2 * ({_sd})', 'bb_upper')}, {o.r('macd', 'macd')}, {o.r(o.ema('macd', 0.2, 9), 'macd_signal')}", "m0"))(
+    lambda s, d: cols(ind.signal_averages(ind.signal_set(market(s, d), BY), BY), "ts", "bb_lower", "bb_upper", "macd", "macd_signal")
+)
 _bf = lambda x: f"coalesce(first_value({x} IGNORE NULLS) {o.over(frame='ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING')}, 0)"
 query("i13_i14_model_features", o.query(f"{o.MARKET}, {FEATURES}", f"ts, {o.r(_bf('sma_20'), 'sma_20')}, {o.r(_bf('sma_50'), 'sma_50')}, {o.r(_bf('rsi'), 'rsi')}, {o.r(_bf('sma_20 - 2 * sd'), 'bb_lower')}, {o.r(_bf('sma_20 + 2 * sd'), 'bb_upper')}, {o.r(_bf('macd'), 'macd')}", "ft"))(
     lambda s, d: cols(ind.model_features(market(s, d), BY), "ts", "sma_20", "sma_50", "rsi", "bb_lower", "bb_upper", "macd")
@@ -310,6 +313,23 @@ query(
 )(lambda s, d: rounded(metrics.compute_metrics(market_run(s, d), BY).withColumns({k: slog(k) for k in ("total_return", "cagr", "calmar")})))
 query("m0_periods_per_year", o.query(o.BRAND + f", x AS (SELECT symbol, epoch(ts) - epoch({o.lag('ts')}) AS st FROM bars)", "symbol, CAST(greatest(1, round_even(252 / greatest(median(st) / 86400 / 1.4, 1.0), 0)) AS INT) AS ppy", "x", "GROUP BY symbol"))(lambda s, d: metrics.periods_per_year(src.bars_brand(s, d), BY))
 
+
+
+# --- from SQL
+@query("sql_backtest", SQL["b1_b6_backtest"])
+def _(s, d):
+    sql.register(s, src.bars_market(s, d), "market_")
+    run = s.sql("SELECT * FROM market_backtest(TABLE(SELECT symbol, ts, close, target FROM market_target_sma_cross) PARTITION BY symbol ORDER BY ts)")
+    return rounded(run.select("ts", *ENGINE, slog("equity").alias("equity"), slog("benchmark").alias("benchmark")))
+
+
+@query("sql_metrics", o.query(f"{SMA_BT}, {METRICS}", f"symbol, CAST(n AS BIGINT) AS n_bars, {o.r(stats.slog('(e1 / e0 - 1)'), 'total_return')}, {o.r('m / sd * sqrt(252.0)', 'sharpe')}, {o.r('mdd', 'max_drawdown')}, {o.r('hit', 'hit_rate')}", "y"))
+def _(s, d):
+    sql.register(s, src.bars_market(s, d), "market_")
+    run = "SELECT symbol, ts, net, equity FROM market_backtest(TABLE(SELECT symbol, ts, close, target FROM market_target_sma_cross) PARTITION BY symbol ORDER BY ts)"
+    return rounded(s.sql(f"SELECT * FROM market_metrics(TABLE({run}) PARTITION BY symbol ORDER BY ts)").withColumn("total_return", slog("total_return")))
+
+
 # --- keys too long for one task, joins along time
 query("b6_blocked_backtest", o.query(SMA_BT, f"ts, {rr(*ENGINE)}, {o.r(stats.slog('equity'), 'equity')}, {o.r(stats.slog('benchmark'), 'benchmark')}", "bt"))(
     lambda s, d: rounded(run_backtest(market_target(s, d), BY, block="year").select("ts", *ENGINE, slog("equity").alias("equity"), slog("benchmark").alias("benchmark")))

@@ -136,6 +136,12 @@ def signal_set(df: DataFrame, by: list[str], order: str = "ts") -> DataFrame:
     return df.withColumns(cols | {"rsi": rsi, "bb_lower": low, "bb_upper": high}).drop("_move")
 
 
+def signal_averages(df: DataFrame, by: list[str], order: str = "ts") -> DataFrame:
+    """macd and macd_signal of the signal rule: averages from the first bar on, missing until `slow` bars and then nine more values are there."""
+    df = with_emas(df, by, [("_fast", "close", 2 / 13, False, 12), ("_slow", "close", 2 / 27, False, 26), ("macd_signal", ("_fast", "_slow"), 2 / 10, False, 9)], order)
+    return df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+
+
 def model_features(df: DataFrame, by: list[str], order: str = "ts") -> DataFrame:
     """Feature table of the trading environment: gaps filled from the future, then with 0. Not for signals."""
     from .columns import backfill

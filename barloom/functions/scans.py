@@ -137,9 +137,10 @@ def averaged(df: DataFrame, by: list[str], emas: Iterable[tuple], order: str = "
         *[F.max(F.when(known[s], F.struct(F.col("_row").alias("row"), F.col(f"_x{num[s]}").alias("x")))).alias(f"last{num[s]}") for s in sources],
         *[F.count(f"_x{num[s]}").alias(f"n{num[s]}") for s in sources],
     )
-    folded = lambda k: F.aggregate(  # noqa: E731  the map in front of every run, and the block's own
-        F.transform(F.array_sort("runs"), lambda r: r[f"m{k}"]), F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.array().cast("array<struct<a:double,b:double>>").alias("out")),
-        lambda acc, m: F.struct((m["a"] * acc["a"]).alias("a"), (m["a"] * acc["b"] + m["b"]).alias("b"), F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))).alias("out")),
+    # the map in front of every run, and the block's own
+    folded = lambda k: F.expr(
+        f"aggregate(transform(array_sort(runs), r -> r.m{k}), named_struct('a', 1D, 'b', 0D, 'out', CAST(array() AS array<struct<a:double,b:double>>)), "
+        "(acc, m) -> named_struct('a', m.a * acc.a, 'b', m.a * acc.b + m.b, 'out', concat(acc.out, array(named_struct('a', acc.a, 'b', acc.b)))))"
     )
     per = ends.groupBy("_at").agg(
         F.max("row").alias("rows"), F.collect_list(F.struct("_run", *[f"m{k}" for k in scans])).alias("runs"), *[F.min(f"first{num[s]}").alias(f"first{num[s]}") for s in sources],
@@ -148,44 +149,37 @@ def averaged(df: DataFrame, by: list[str], emas: Iterable[tuple], order: str = "
     per = per.withColumns({f"f{k}": folded(k) for k in scans}).drop("runs")
 
     # blocks of a key in order: the value that each begins with, and the one at its first known row
-    none = F.lit(None).cast("double")
     kind = x.schema["_at"].dataType["block"].dataType.simpleString()
     fields = [f"{c}{i}:double" for i in range(len(emas)) for c in "uv"] + [f"n{num[s]}:bigint" for s in sources]
-    start = F.struct(
-        *[none.alias(f"y{i}") for i in range(len(emas))], *[F.lit(0.0).alias(f"w{i}") for i in range(len(emas))], *[F.lit(0).cast("bigint").alias(f"gap{num[s]}") for s in sources],
-        *[F.lit(0).cast("bigint").alias(f"n{num[s]}") for s in sources], F.array().cast(f"array<struct<at:{kind},{','.join(fields)}>>").alias("out"),
-    )
-
-    def step(acc: Column, b: Column) -> Column:
-        after, shown = {}, {}
-        for i, (_, s, alpha, adjust, _) in enumerate(emas):
-            k, y = num[s], acc[f"y{i}"]
-            first, last = b[f"first{k}"], b[f"last{k}"]
-            if alpha >= 1:
-                shown[f"u{i}"], shown[f"v{i}"] = y, none
-                after[f"y{i}"], after[f"w{i}"] = F.coalesce(last["x"], y), F.lit(0.0)
-            elif adjust:
-                y = F.coalesce(y, F.lit(0.0))
-                shown[f"u{i}"], shown[f"v{i}"] = y, acc[f"w{i}"]
-                after[f"y{i}"], after[f"w{i}"] = b[f"f{i}v"]["a"] * y + b[f"f{i}v"]["b"], b[f"f{i}w"]["a"] * acc[f"w{i}"] + b[f"f{i}w"]["b"]
-            else:
-                q = F.greatest(F.pow(F.lit(1 - alpha), acc[f"gap{k}"] + first["row"]), F.lit(1e-100))
-                begin = F.when(y.isNull(), first["x"]).otherwise((q * y + alpha * first["x"]) / (q + alpha))
-                shown[f"u{i}"], shown[f"v{i}"] = y, begin
-                after[f"y{i}"], after[f"w{i}"] = F.when(first.isNull(), y).otherwise(b[f"f{i}v"]["a"] * begin + b[f"f{i}v"]["b"]), F.lit(0.0)
-        for s in sources:
-            k = num[s]
-            after[f"gap{k}"] = F.when(b[f"last{k}"].isNull(), acc[f"gap{k}"] + b["rows"]).otherwise(b["rows"] - b[f"last{k}"]["row"]).cast("bigint")
-            shown[f"n{k}"], after[f"n{k}"] = acc[f"n{k}"], (acc[f"n{k}"] + b[f"n{k}"]).cast("bigint")
-        names = [f"{c}{i}" for i in range(len(emas)) for c in "uv"] + [f"n{num[s]}" for s in sources]
-        out = F.concat(acc["out"], F.array(F.struct(b["at"].alias("at"), *[shown[c].alias(c) for c in names])))
-        order_ = [f"y{i}" for i in range(len(emas))] + [f"w{i}" for i in range(len(emas))] + [f"gap{num[s]}" for s in sources] + [f"n{num[s]}" for s in sources]
-        return F.struct(*[after[c].alias(c) for c in order_], out.alias("out"))
+    after, shown = {}, {}
+    for i, (_, s, alpha, adjust, _) in enumerate(emas):
+        k, y, w = num[s], f"acc.y{i}", "0D"
+        shown[f"u{i}"], shown[f"v{i}"] = y, "CAST(NULL AS DOUBLE)"
+        if alpha >= 1:
+            y = f"coalesce(b.last{k}.x, {y})"
+        elif adjust:
+            shown[f"u{i}"], shown[f"v{i}"] = f"coalesce({y}, 0D)", f"acc.w{i}"
+            y, w = f"b.f{i}v.a * coalesce({y}, 0D) + b.f{i}v.b", f"b.f{i}w.a * acc.w{i} + b.f{i}w.b"
+        else:
+            q = f"greatest(pow({1 - alpha!r}D, acc.gap{k} + b.first{k}.row), 1e-100D)"
+            begin = f"CASE WHEN {y} IS NULL THEN b.first{k}.x ELSE ({q} * {y} + {alpha!r}D * b.first{k}.x) / ({q} + {alpha!r}D) END"
+            shown[f"v{i}"] = begin
+            y = f"CASE WHEN b.first{k} IS NULL THEN {y} ELSE b.f{i}v.a * ({begin}) + b.f{i}v.b END"
+        after[f"y{i}"], after[f"w{i}"] = y, w
+    for s in sources:
+        k = num[s]
+        shown[f"n{k}"] = f"acc.n{k}"
+        after[f"gap{k}"] = f"CAST(CASE WHEN b.last{k} IS NULL THEN acc.gap{k} + b.rows ELSE b.rows - b.last{k}.row END AS BIGINT)"
+        after[f"n{k}"] = f"CAST(acc.n{k} + b.n{k} AS BIGINT)"
+    zero = {c: "CAST(NULL AS DOUBLE)" if c[0] == "y" else "0D" if c[0] == "w" else "0L" for c in after} | {"out": f"CAST(array() AS array<struct<at:{kind},{','.join(fields)}>>)"}
+    record = lambda d: "named_struct(" + ", ".join(f"'{c}', {v}" for c, v in d.items()) + ")"
+    put = f"concat(acc.out, array({record({'at': 'b.at'} | {f.split(':')[0]: shown[f.split(':')[0]] for f in fields})}))"
+    walked = F.expr(f"aggregate(blocks, {record(zero)}, (acc, b) -> {record(after | {'out': put})}).out")
 
     of_key = per.select("_at", F.col("_at.block").alias("at"), "rows", *[F.struct(F.col(f"f{k}.a").alias("a"), F.col(f"f{k}.b").alias("b")).alias(f"f{k}") for k in scans], *[c for s in sources for c in (f"first{num[s]}", f"last{num[s]}", f"n{num[s]}")])
     keys = [c.alias(f"_k{i}") for i, c in enumerate(_keys(by))]
     folded_keys = of_key.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[c for c in of_key.columns if c != "_at"]))).alias("blocks"))
-    opened = folded_keys.select(*[f"_k{i}" for i in range(len(keys))], F.explode(F.aggregate("blocks", start, step)["out"]).alias("_o"))
+    opened = folded_keys.select(*[f"_k{i}" for i in range(len(keys))], F.explode(walked).alias("_o"))
     opened = opened.select(F.struct(*[F.col(f"_k{i}").alias(f"k{i}") for i in range(len(by))], F.col("_o.at").alias("block")).alias("_at"), "_o")
     table = opened.join(per.select("_at", *[F.col(f"f{k}.out").alias(f"_f{k}") for k in scans]), "_at")
     both = x.join(table, "_at")

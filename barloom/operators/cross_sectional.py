@@ -100,10 +100,11 @@ def list_xs_strategies(exclude: tuple[str, ...] = ()) -> list[CrossSectional]:
     return [s for k, s in XS_REGISTRY.items() if k not in exclude]
 
 
-def trial_weights(panel: DataFrame, key: str, grid: list[dict], by: list[str] = []) -> DataFrame:  # noqa: B006
+def trial_weights(panel: DataFrame, key: str, grid: list[dict], by: list[str] = [], only: str | None = None) -> DataFrame:  # noqa: B006
     """The panel once per variant of a rule, told apart by trial_id, with weight in [-1, 1].
 
-    Scores of all variants come from one sort per symbol; then variants are rows, ranked by trial and date.
+    Scores of all variants come from one sort per symbol; then variants are rows, ranked by trial and
+    date. only: a column with the one trial_id that its row is wanted for; no other is ranked or held.
     """
     s = get_xs_strategy(key)
     grid = [s.clean(g) for g in grid]
@@ -113,7 +114,7 @@ def trial_weights(panel: DataFrame, key: str, grid: list[dict], by: list[str] =
         panel = panel.withColumn("weight", F.coalesce(ratio(F.col("listed").cast("double"), n), F.lit(0.0)))
     score = lambda g: F.lit(None).cast("double") if s.score is None else s.score(by, **g)
     variants = F.array(*[F.struct(F.lit(k).alias("trial_id"), score(g).alias("score"), F.lit(float(g.get("long_frac", 0.3))).alias("_frac"), F.lit(int(g["rebalance"])).alias("_every")) for k, g in enumerate(grid)])
-    df = panel.withColumn("_all", variants).select(*[c for c in panel.columns if c not in ("trial_id", "score")], F.explode("_all").alias("_v")).select("*", "_v.*").drop("_v")
+    df = panel.withColumn("_all", variants).select(*[c for c in panel.columns if c not in ("trial_id", "score")], F.explode("_all" if only is None else F.filter("_all", lambda v: v["trial_id"] == F.col(only))).alias("_v")).select("*", "_v.*").drop("_v")
     if s.score is not None:
         df = legs_of(df, keys, F.col("_frac"), F.col("_frac"))
     return rebalance_hold(df, keys, F.col("_every")).withColumn("weight", F.coalesce(clip(F.col("weight"), -1, 1), F.lit(0.0))).drop("score", "_frac", "_every")

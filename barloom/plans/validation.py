@@ -256,7 +256,9 @@ def walk_forward_panel(panel: DataFrame, strategy, n_folds: int = 4, train_ratio
     scored = sharpes(portfolio_returns(run_portfolio(train, keys, costs, rebalance=rebalance, ppy=ppy, **how), keys, costs, ppy), keys, ppy)
     # a row per fold
     winners = F.broadcast(scored.groupBy("fold").agg(F.max_by("trial_id", F.struct("sharpe", -F.col("trial_id"))).alias("trial_id"), F.max("sharpe").alias("is_sharpe")))
-    warm = trial_weights(with_state(each, ("fold",)), strategy.key, grid, ["fold"]).join(winners.select(*keys), keys, "left_semi").select("fold", "symbol", "ts", "weight")
+    # a fold's whole slice is scored for warmth, but only its winner is ranked and held
+    won = with_state(each, ("fold",)).join(winners.select("fold", F.col("trial_id").alias("_won")), "fold")
+    warm = trial_weights(won, strategy.key, grid, ["fold"], "_won").select("fold", "symbol", "ts", "weight")
     tested = with_state(each.filter("at_bar >= test").withColumn("bar_idx", F.col("at_bar") - F.col("test")), ("fold",)).join(warm, ["fold", "symbol", "ts"])
     dates = portfolio_returns(run_portfolio(tested, ["fold"], costs, rebalance=rebalance, ppy=ppy, **how), ["fold"], costs, ppy)
     m = compute_metrics(dates, ["fold"], ppy, order="bar_idx", position=None).select("fold", F.col("sharpe").alias("oos_sharpe"), F.col("total_return").alias("oos_return"), F.col("max_drawdown").alias("oos_max_dd"))

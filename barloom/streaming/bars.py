@@ -83,12 +83,17 @@ def trade_live(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpo
     return fan_out(recent_bars(stream), [lambda batch, k: act(run_once(batch.dropDuplicates(["symbol", "ts"]), ["symbol"], **how), k)], checkpoint, every)
 
 
+def _keyed(stream: DataFrame):
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # the one that keeps typed state
+    return stream.groupBy("symbol")
+
+
 def new_bars(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("symbol").transformWithStateInPandas(HighWater(), BAR, "Append", "None")
+    return _keyed(stream).transformWithStateInPandas(HighWater(), BAR, "Append", "None")
 
 
 def recent_bars(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("symbol").transformWithStateInPandas(Recent(), BAR, "Append", "None")
+    return _keyed(stream).transformWithStateInPandas(Recent(), BAR, "Append", "None")
 
 
 def late_bars(stream: DataFrame, late: str = "7 days") -> DataFrame:
