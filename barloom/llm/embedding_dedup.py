@@ -6,7 +6,7 @@ order of its summed distances to both codes (the multi-sequence order), and is c
 vectors of each cell it visits, by cosine in double precision. How many cells are visited is fitted
 to a target recall on pairs made at the threshold itself, so that it holds where links are rare, and
 on the links of sample queries to all other vectors; the larger number counts. Vectors of each length
-have an index of their own, of a single cell where there are few of them.
+have an index of their own, whose codes follow their number.
 
 Copies of a vector are one class throughout. A pair is met in the cell of either vector that the
 other one visits and counted once for each; large cells are dealt into blocks, each pair of blocks
@@ -38,10 +38,8 @@ SAMPLE, PAIRS = 16384, 8192
 #: Queries held against all vectors; more of them where the first have fewer than LINKS links.
 QUERIES, LINKS = (256, 2048), 1000
 RECALL = 0.999
-#: Vectors of an average cell, and most codes of a half: a quarter of the sample.
-CELL, CODES = 32, 4096
-#: Vectors of a length up to which they are one cell: nothing is fitted.
-FEW = 1024
+#: Vectors of an average cell, and most codes of a half: a quarter of the sample. Cells of still more vectors are dealt into blocks.
+CELL, CODES = 32, SAMPLE // 4
 BLOCK = 1500
 
 
@@ -111,6 +109,11 @@ class MultiIndex:
         return np.minimum(self.rank(x, self.own(y)), self.rank(y, self.own(x)))
 
 
+def codes_for(n):
+    """Codes of a half so that the grid has a cell for CELL of n vectors; n: a column."""
+    return F.floor(F.sqrt(n / CELL))
+
+
 def packed(v) -> bytes | None:
     """Bytes of a usable vector, in single precision where that holds it whole; None of others."""
     if not v.is_valid or not len(v.values) or v.values.null_count:
@@ -196,7 +199,7 @@ def fitted(classes: DataFrame, dims: int, n: int, cosine: float, recall: float)
     drawn = classes.filter(F.col("dims") == dims).orderBy(F.xxhash64("node")).limit(SAMPLE + PAIRS).select("node", "vec").toArrow().combine_chunks()
     points, nodes = matrix(drawn.column("vec").combine_chunks(), dims), drawn.column("node").to_pylist()
     sample = points[:SAMPLE]
-    index = MultiIndex(sample, int(np.clip(np.sqrt(n / CELL), 1, min(CODES, max(1, len(sample) // 4)))))
+    index = MultiIndex(sample, int(np.clip(np.sqrt(n / CELL), 1, min(CODES, max(1, len(sample) // 4)))))  # codes_for(n), as far as the sample goes
     visits = visits_at(index, points[-PAIRS:], cosine, recall)
     shared = classes.sparkSession.sparkContext.broadcast(index)
     for queries in QUERIES:
@@ -211,9 +214,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     spark = embeddings.sparkSession
     rows = cut(read_vectors(embeddings), "vectors")
     classes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.max("dims").alias("dims"), F.max("vec").alias("vec")), "vector-classes")
-    # lengths above FEW vectors: an index each
-    large = classes.groupBy("dims").count().filter(F.col("count") > FEW).orderBy("dims").collect()
-    made = spark.sparkContext.broadcast({r["dims"]: fitted(classes, r["dims"], r["count"], cosine, recall) for r in large})
+    # an index for each length; where it has one code a half, its grid is one cell and there is nothing to fit
+    lengths = classes.groupBy("dims").count().filter(codes_for(F.col("count")) > 1).orderBy("dims").collect()
+    made = spark.sparkContext.broadcast({r["dims"]: fitted(classes, r["dims"], r["count"], cosine, recall) for r in lengths})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -565,7 +565,6 @@ def test_embedding_dedup(spark, monkeypatch, block):
     x[400:440] = x[400] + rng.normal(size=(40, 16)) * 0.1
     x = x.astype(np.float32)
     odd = [(9000, None), (9001, []), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [None] + [1.0] * 15), (9005, [1.0] * 3), (None, [5.0] * 16)]
-    monkeypatch.setattr(embedding_dedup, "FEW", 100)
     df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "node": F.lit("n"), "size": F.lit(2)})
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
@@ -575,6 +574,8 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert true > 300 and 0.9 * true <= found <= true
     wrong = sum(got[i].n_links != near[i].sum() for i in range(700))
     assert wrong <= 14
+    asked = [i for i in range(700) if i % 20 == 0 and near[i].any()]  # a query set of its own, against all rows
+    assert sum(got[i].n_links for i in asked) >= 0.9 * sum(near[i].sum() for i in asked) > 0
     for i in range(700):
         assert got[i].n_links <= near[i].sum() and got[i].kept == (got[i].component_id == i)
     assert all(got[i].n_links == 0 and got[i].kept for i in (9000, 9001, 9002, 9003, 9004, 9005, None))
@@ -583,7 +584,7 @@ def test_embedding_dedup(spark, monkeypatch, block):
 
 def test_embedding_dedup_of_any_length_and_size(spark, monkeypatch):
     """Lengths are indexed apart, a codebook or none; doubles keep their precision and range."""
-    monkeypatch.setattr(embedding_dedup, "FEW", 50)
+    monkeypatch.setattr(embedding_dedup, "CELL", 4)
     rng = np.random.default_rng(8)
     long = rng.normal(size=(200, 6))
     long[100:150] = long[:50] * 1e-290  # the same directions, far smaller
