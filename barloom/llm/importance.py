@@ -147,3 +147,30 @@ def resampled(docs: DataFrame, target: DataFrame, order: int = ORDER, buckets: i
 
 def op11_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _fold(first: str, rest: str) -> str:
+    """SQL: the CRC register after the bytes `rest`, from the register `first`."""
+    return f"list_reduce(list_prepend({first}, {rest}), lambda c, z: xor(c >> 8, t[xor(c & 255, z) + 1]))"
+
+
+OP11_SQL = rf"""
+WITH tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+x AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+w AS MATERIALIZED (SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+u AS (SELECT side, r, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM w),
+n AS MATERIALIZED (SELECT side, r, a, lead(a) OVER q AS a2, lead(a, 2) OVER q AS a3 FROM u WINDOW q AS (PARTITION BY side, r ORDER BY p)),
+b AS MATERIALIZED (SELECT a, list_transform(range(octet_length(encode(a))), lambda i: CAST('0x' || substr(hex(encode(a)), 2 * i + 1, 2) AS BIGINT)) AS b FROM (SELECT DISTINCT a FROM n)),
+c1 AS MATERIALIZED (SELECT a, {_fold("4294967295", "b")} AS c FROM b, tab),
+c2 AS MATERIALIZED (SELECT g.a, g.a2, {_fold("c1.c", "list_prepend(32, b.b)")} AS c FROM (SELECT DISTINCT a, a2 FROM n WHERE a2 IS NOT NULL) g JOIN c1 ON c1.a = g.a JOIN b ON b.a = g.a2, tab),
+c3 AS MATERIALIZED (SELECT g.a, g.a2, g.a3, {_fold("c2.c", "list_prepend(32, b.b)")} AS c FROM (SELECT DISTINCT a, a2, a3 FROM n WHERE a3 IS NOT NULL) g JOIN c2 ON c2.a = g.a AND c2.a2 = g.a2 JOIN b ON b.a = g.a3, tab),
+f AS MATERIALIZED (SELECT side, r, xor(c, 4294967295) % 10000 AS k FROM (
+  SELECT side, r, c FROM n JOIN c1 USING (a) UNION ALL SELECT side, r, c FROM n JOIN c2 USING (a, a2) UNION ALL SELECT side, r, c FROM n JOIN c3 USING (a, a2, a3))),
+k AS (SELECT k, count(CASE WHEN side = 0 THEN 1 END) AS s, count(CASE WHEN side = 1 THEN 1 END) AS t FROM (SELECT side, k FROM f UNION ALL SELECT 2, range FROM range(10000)) GROUP BY k),
+gain AS MATERIALIZED (SELECT k, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS g FROM k),
+v AS (SELECT r, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS weight FROM f JOIN gain USING (k) WHERE side = 0 GROUP BY r),
+d AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN v ON v.r = w.r WHERE side = 0),
+o AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score, n_words >= 20 AS able FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS able_n FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * able_n // 100 THEN place END AS rank FROM p
+"""

@@ -25,5 +25,6 @@ SQL = {
     "op2_embedding_near_dedup": embedding_dedup.OP2_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op8_ngram_jaccard_join": jaccard_join.OP8_SQL,
+    "op11_target_distribution_importance_resampling": importance.OP11_SQL,
     "op12_vector_code_compression": vector_codes.OP12_SQL,
 }
