@@ -117,7 +117,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     # at most `capacity` rows
     where = spark.sparkContext.broadcast(slots(best_two_fit({int(r[0]): int(r[1]) for r in counts.collect()}, capacity)))
     dealt = (
-        made.join(counts.select("length", F.ceil(F.col("count") / RUN).alias("parts")), "length")
+        made.join(F.broadcast(counts.select("length", F.ceil(F.col("count") / RUN).alias("parts"))), "length")
         .withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("part", F.pmod("h", "parts")).drop("parts")
     )
     runs = dealt.groupBy("length", "part").count()
