@@ -147,12 +147,13 @@ def xs_weights() -> dict[str, str]:
     }
 
 
-def portfolio(carry: str | None = None, by: str = "", source: str = "wt", free: bool = False) -> str:
-    """CTEs from wt to pd (dates). carry: the condition of a row to rebalance on; by: a key of separate books; free: without costs."""
+def portfolio(carry: str | None = None, by: str = "", source: str = "wt", free: bool = False, cap: float | None = None) -> str:
+    """CTEs from wt to pd (dates). carry: the condition of a row to rebalance on; by: a key of separate books; free: without costs; cap: the largest weight of a name."""
     lead, name = (f"{by}, ", f"{by}, symbol") if by else ("", "symbol")
     fee, borrow = ("0.0", "0.0") if free else ("0.0003", "0.005 / 252")
+    weight = "coalesce(weight, 0.0)" if cap is None else f"greatest({-cap}, least({cap}, coalesce(weight, 0.0)))"
     steps = [
-        f"n1 AS (SELECT *, CASE WHEN listed THEN coalesce(weight, 0.0) ELSE 0.0 END AS w1, coalesce(ret, 0.0) AS ar FROM {source})",
+        f"n1 AS (SELECT *, CASE WHEN listed THEN {weight} ELSE 0.0 END AS w1, coalesce(ret, 0.0) AS ar FROM {source})",
         f"n2 AS (SELECT *, w1 * coalesce(least(1.0, 1.0 / nullif(sum(abs(w1)) OVER (PARTITION BY {lead}ts), 0)), 1.0) AS target FROM n1)",
         f"h1 AS (SELECT *, CASE WHEN tradable THEN coalesce({lag('target', 1, name, 'bar_idx')}, 0.0) ELSE 0.0 END AS held FROM n2)",
     ]

@@ -137,15 +137,15 @@ def run_lab(bars: DataFrame, cfg: LabConfig = LabConfig()) -> Report:
     if len(bars.select("ts").take(LEAST_BARS)) < LEAST_BARS:
         raise ValueError(f"at least {LEAST_BARS} bars are needed")
     spark, ppy = bars.sparkSession, step_of(bars, cfg.ppy)
-    bars = numbered(bars, ["symbol"])
+    bars = cut(numbered(bars, ["symbol"]))
     s = get_strategy(cfg.strategy)
     p = s.clean(cfg.params)
     stress = with_targets(bars, ["symbol"], [(s, p)]).withColumn("cost_mult", F.explode(F.array(F.lit(1), F.lit(3))))
-    both = run_backtest(stress, ["symbol", "cost_mult"], cfg.costs, ppy=ppy, cost_times="cost_mult", **cfg.how())
+    both = cut(run_backtest(stress, ["symbol", "cost_mult"], cfg.costs, ppy=ppy, cost_times="cost_mult", **cfg.how()))
     runs = both.filter("cost_mult = 1")
     metrics = compute_metrics(runs, ["symbol"], ppy)
     bench = compute_metrics(runs, ["symbol"], ppy, ret="ret", equity="benchmark", position=None)
-    trials = trial_returns(bars, cfg.strategy, cfg.costs, cfg.grid_limit, ppy, **cfg.how())
+    trials = cut(trial_returns(bars, cfg.strategy, cfg.costs, cfg.grid_limit, ppy, **cfg.how()))
     m, ratio = _one_row(metrics), _one_row(v.cost_stress(both, [], ppy))
     dsr = v.deflated_sharpe(v.moments_of(runs), _trial_sharpes(trials, ppy), len(s.grid(cfg.grid_limit)))
     over = _one_row(v.pbo(trials, cfg.n_splits))
@@ -169,9 +169,10 @@ def run_portfolio_lab(panel: DataFrame, cfg: PortfolioConfig = PortfolioConfig()
     """panel: make_panel's. Permutations deal weights anew within dates, free of cost on both sides."""
     if (panel.agg(F.max("bar_idx") + 1).first()[0] or 0) < LEAST_DATES:
         raise ValueError(f"at least {LEAST_DATES} dates are needed")
+    panel = cut(panel)  # each part reads it anew
     spark, ppy, how = panel.sparkSession, step_of(panel, cfg.ppy), cfg.how()
     s = get_xs_strategy(cfg.strategy)
-    weighted = with_weights(panel, cfg.strategy, cfg.params)
+    weighted = cut(with_weights(panel, cfg.strategy, cfg.params))
     held = cut(run_portfolio(weighted, [], cfg.costs, ppy=ppy, **how))
     dates = cut(portfolio_returns(held, [], cfg.costs, ppy, cfg.capital))
     metrics = portfolio_metrics(dates, [], ppy)
@@ -226,7 +227,7 @@ def run_arena(bars: DataFrame, n_permutations: int = 120, config: LabConfig = La
     config: costs, options of the engine, seed and kind of the permutations.
     """
     ppy, grid_limit = step_of(bars, config.ppy), config.grid_limit
-    bars = numbered(bars, ["symbol"])
+    bars = cut(numbered(bars, ["symbol"]))
     rules = [(s, s.clean()) for s in list_strategies()]
     runs = cut(arena_runs(bars, config.costs, ppy, **config.how()))
     # every average reads the markets anew: they are written once
@@ -247,12 +248,14 @@ def run_arena(bars: DataFrame, n_permutations: int = 120, config: LabConfig = La
 
 def run_portfolio_arena(panel: DataFrame, n_permutations: int = 80, config: PortfolioConfig = PortfolioConfig()) -> DataFrame:
     """Every cross-sectional rule at its defaults, on one schedule: as run_arena, with turnover and the t statistic of alpha over the style factors."""
+    panel = cut(panel)  # each rule reads it anew
     ppy, how = step_of(panel, config.ppy), config.how()
     rules = [s.key for s in list_xs_strategies()]
     weighted = None
     for i, k in enumerate(rules):
         part = with_weights(panel, k).withColumn("trial_id", F.lit(i))
         weighted = part if weighted is None else weighted.unionByName(part)
+    weighted = cut(weighted)
     by, free = ["trial_id"], Costs(0, 0, 0)
     held = cut(run_portfolio(weighted, by, config.costs, ppy=ppy, **how))
     dates = cut(portfolio_returns(held, by, config.costs, ppy, config.capital))
