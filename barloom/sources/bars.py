@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import over
+from .scratch import exists, remove
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 SCHEMA = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -193,16 +194,6 @@ def vendor_history(raw: DataFrame, seq: str, start: Column, end: Column, now: Co
     return bars, split_suspects(bars, ["symbol"])
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def synthetic_scan(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The bars in `path`; made and saved there first if there are none."""
     if not exists(spark, path):

@@ -25,3 +25,25 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop's, for what the DataFrame API cannot do to files; the one place with handles of the JVM's."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = hadoop(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, at = hadoop(spark, path)
+    fs.create(at).close()

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from ..sources.bars import OHLCV, remove
+from ..sources.bars import OHLCV
+from ..sources.scratch import remove, touch
 from .bars import next_delay
 
 POLLED = "symbol string, ts timestamp, open double, high double, low double, close double, volume double, poll int"
@@ -83,8 +84,7 @@ def record(spark: SparkSession, bars: DataFrame, path: str, poll: int) -> None:
 def record_failure(spark: SparkSession, path: str, poll: int) -> None:
     folder = f"{path}/poll={poll}"
     remove(spark, folder)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{FAILED}")
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at).close()
+    touch(spark, f"{folder}/{FAILED}")
 
 
 @dataclass
