@@ -13,9 +13,12 @@ from .operators.cross_sectional import list_xs_strategies
 from .operators.engine import Costs
 from .operators.panel import make_panel
 from .operators.strategies import list_strategies
-from .plans import lab
+from .plans import agentic, lab
 from .ship import ship
-from .sources.bars import read_cache, read_csv
+from .sources.bars import load_data, read_cache, read_config, read_csv
+from .sources.scratch import exists, scratch
+from .streaming import bars as live
+from .streaming import poll
 
 
 PORTFOLIO = ("portfolio", "portfolio-arena")
@@ -63,9 +66,49 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--param", action="append", default=[])
             c.add_argument("--folds", type=int, default=folds)
     sub.add_parser("strategies")
+    c = sub.add_parser("run", help="the one-rule signal, as a config says")
+    c.add_argument("--mode", choices=["standard", "backtest", "live"], default="standard")
+    c.add_argument("--config", default="config.yaml")
+    c.add_argument("--start-date", default="2024-01-01")
+    c.add_argument("--end-date", default="2024-12-31")
+    c.add_argument("--duration", type=float, default=60, help="minutes of live trading")
+    c.add_argument("--json", action="store_true")
     return p
 
 
+def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The latest bar's fill of each symbol; a backtest's summary between two dates; or the fills of a live run.
+
+    config: data_source (type csv with path, or polls with the folder of polls as path), trading (symbol,
+    capital), risk (max_position), live (output folder, checkpoint folder, seconds between batches).
+    """
+    cfg = read_config(a.config)
+    trading, source = cfg.get("trading", {}), cfg.get("data_source", {})
+    how = {"capital": float(trading.get("capital", 100_000.0)), "max_position": int(cfg.get("risk", {}).get("max_position", 100))}
+    if a.mode == "live":
+        live_cfg = cfg.get("live", {})
+        out = live_cfg.get("output") or scratch(spark)
+        poll.register(spark)
+        stream = spark.readStream.format("bar_poll").option("path", source["path"]).option("interval", live_cfg.get("seconds", 60)).load().drop("poll")
+        query = live.trade_live(stream, live.batch_sink(out), live_cfg.get("checkpoint") or scratch(spark), every=f"{live_cfg.get('seconds', 60)} seconds", **how)
+        try:
+            query.awaitTermination(int(a.duration * 60))
+        finally:
+            query.stop()
+        return spark.read.parquet(out) if exists(spark, out) else spark.createDataFrame([], "symbol string")
+    bars = load_data(spark, cfg, vendors={"polls": lambda c: _polled(spark, c)})
+    bars = bars.withColumn("symbol", F.coalesce("symbol", F.lit(trading.get("symbol", "UNKNOWN"))))
+    if a.mode == "standard":
+        return agentic.run_once(bars, ["symbol"], **how)
+    inside = bars.filter(F.col("ts").between(F.lit(a.start_date).cast("timestamp_ntz"), F.lit(a.end_date).cast("timestamp_ntz")))
+    return agentic.signal_backtest_summary(agentic.signal_backtest(inside, ["symbol"], **how), ["symbol"], how["capital"])
+
+
+def _polled(spark: SparkSession, cfg: dict) -> DataFrame:
+    poll.register(spark)
+    return spark.read.format("bar_poll").option("path", cfg["data_source"]["path"]).load().drop("poll").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def config(a: argparse.Namespace) -> lab.LabConfig:
     """What the flags say; a command has those flags only that it heeds."""
     given = {"costs": Costs(a.commission, a.slippage, a.borrow), "n_permutations": a.permutations, "seed": a.seed, "lag": a.lag, "max_leverage": a.leverage, "allow_short": not a.long_only, "capital": a.capital}
@@ -96,8 +139,10 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         spark = SparkSession.builder.getOrCreate()
         ship(spark)
-        bars, cfg = load(spark, a), config(a)
-        if a.command == "arena":
+        bars, cfg = (None, None) if a.command == "run" else (load(spark, a), config(a))
+        if a.command == "run":
+            rows = run(spark, a)
+        elif a.command == "arena":
             rows = lab.run_arena(bars, a.permutations, cfg)
         elif a.command == "portfolio-arena":
             rows = lab.run_portfolio_arena(make_panel(bars), a.permutations, cfg)

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pandas as pd
 import pytest
@@ -6,9 +7,11 @@ from conftest import as_bars, wander
 from pyspark.sql import functions as F
 
 from barloom import cli
+from barloom.plans import agentic
 from barloom.sources import bars as src
 from barloom.sources import generators as gen
 from barloom.streaming import bars as live
+from barloom.streaming import poll
 
 ROW = "symbol string, Date timestamp_ntz, Open double, `Adj Close` double, seq int"
 D = dt.datetime
@@ -114,3 +117,46 @@ def test_high_water_over_restarts(spark, tmp_path):
 def test_cli(capsys):
     assert cli.main(["strategies"]) == 0 and "sma_cross" in capsys.readouterr().out
     assert cli.params(["fast=10"]) == {"fast": 10.0} and cli.main(["lab", "/nowhere", "--param", "fast"]) == 1
+
+
+def shown(capsys):
+    return [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+
+def test_cli_runs_the_signal_in_its_three_modes(spark, capsys, tmp_path):
+    bars = as_bars(spark, wander(120, 4))
+    src.write_csv(bars, f"{tmp_path}/csv")
+    config = {"data_source": {"type": "csv", "path": f"{tmp_path}/csv"}, "trading": {"symbol": "WAVE", "capital": 5000}, "risk": {"max_position": 7}}
+    where = tmp_path / "config.json"
+    go = lambda c, *more: (where.write_text(json.dumps(c)), cli.main(["run", "--config", str(where), "--json", *more]))[1]
+    assert go(config) == 0
+    one = shown(capsys)
+    want = agentic.run_once(bars, ["symbol"], capital=5000.0, max_position=7).first()
+    assert len(one) == 1 and one[0]["action"] == want.action and one[0]["quantity"] == want.quantity <= 7
+    assert go(config, "--mode", "backtest", "--start-date", "2021-03-10", "--end-date", "2021-07-30") == 0
+    got = shown(capsys)[0]
+    some = bars.filter((F.col("ts") >= "2021-03-10") & (F.col("ts") <= "2021-07-30"))
+    summary = agentic.signal_backtest_summary(agentic.signal_backtest(some, ["symbol"], 5000.0, 7), ["symbol"], 5000.0).first()
+    assert got["total_return"] == pytest.approx(summary.total_return) and got["trades"] == summary.trades
+    for k in range(2):
+        poll.record(spark, bars.filter(F.col("ts") < "2021-05-01") if k == 0 else bars.filter(F.col("ts") >= "2021-05-01"), f"{tmp_path}/polls", k)
+    polled = config | {"data_source": {"type": "polls", "path": f"{tmp_path}/polls"}, "live": {"output": f"{tmp_path}/fills", "checkpoint": f"{tmp_path}/ck", "seconds": 1}}
+    assert go(polled, "--mode", "live", "--duration", "0.5") == 0
+    fills = shown(capsys)
+    assert len(fills) == 1 and fills[0]["quantity"] == want.quantity and fills[0]["price"] == pytest.approx(want.price)
+    assert go(polled) == 0 and shown(capsys)[0]["quantity"] == want.quantity  # the same polls as a table
+
+
+def test_cli_flags_are_heeded(spark, tmp_path):
+    p = cli.parser()
+    a = p.parse_args(["portfolio-arena", "x", "--lag", "2", "--leverage", "0.5", "--long-only", "--seed", "9", "--rebalance", "W", "--capital", "5", "--max-weight", "0.2", "--borrow", "7"])
+    cfg = cli.config(a)
+    assert (cfg.lag, cfg.max_leverage, cfg.allow_short, cfg.seed, cfg.rebalance, cfg.capital, cfg.max_weight, cfg.costs.borrow, a.permutations) == (2, 0.5, False, 9, "W", 5.0, 0.2, 7.0, 80)
+    b = cli.config(p.parse_args(["arena", "x", "--block", "5"]))
+    assert b.block == 5 and p.parse_args(["arena", "x"]).permutations == 120 and p.parse_args(["portfolio", "x"]).permutations == 150 and p.parse_args(["lab", "x"]).folds == 5
+    for flag in (["lab", "x", "--rebalance", "W"], ["arena", "x", "--strategy", "momentum"]):  # refused, not ignored
+        with pytest.raises(SystemExit):
+            p.parse_args(flag)
+    src.write_cache(as_bars(spark, wander(60, 1, "A")), f"{tmp_path}/cache", "1d")
+    got = cli.load(spark, p.parse_args(["lab", f"{tmp_path}/cache", "--source", "cache", "--symbol", "A,B", "--start", "2021-03-08", "--end", "2021-03-20"]))
+    assert got.count() == 10
