@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_names, join_by_size, small, text_col, with_components
+from .common import WORD, cut, free_names, join_by_size, small, text_col, tidy, with_components
 from .shingles import pieces, shingles, signatures
 
 SIMILARITY = 0.8
@@ -71,7 +71,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "same", "node", "signature"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_col()).alias("same"), text_col().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, same bigint, node binary, signature binary")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, same bigint, node binary, signature binary")
 
 
 def blocked(rows: DataFrame, size: str, block: int) -> DataFrame:
@@ -172,7 +172,7 @@ def candidate_edges(classes: DataFrame, need: list[tuple[int, int]]) -> DataFram
             yield pa.RecordBatch.from_arrays([node.take(pa.array(joined)), node.take(pa.array(label[joined]))], names=["a", "b"])
 
     keys = ["key", "bi", "bj"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "blk", "node", "signature").mapInArrow(compare, "a binary, b binary").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "blk", "node", "signature").mapInArrow(tidy(compare), "a binary, b binary").distinct()
 
 
 def band_pairs(sig: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def verified_links(docs: DataFrame, members: DataFrame, similarity: float, need:
     ids = small(cut(m.select("of", "alike").distinct(), "members"))
     wanted = d.join(ids, d["id"].eqNullSafe(ids["of"]) & (d["own"] == ids["alike"]), "left_semi")
     found = wanted.join(m, wanted["id"].eqNullSafe(m["of"]) & (wanted["own"] == m["alike"])).select("text", "node", "component", "signature", "size")
-    rows = blocked(found.mapInArrow(sets, "node binary, component binary, signature binary, size bigint, shingles binary"), "size", GROUP_BLOCK)
+    rows = blocked(found.mapInArrow(tidy(sets), "node binary, component binary, signature binary, size bigint, shingles binary"), "size", GROUP_BLOCK)
     least = similarity - 1e-12
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def verified_links(docs: DataFrame, members: DataFrame, similarity: float, need:
             yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_root, pa.binary())], names=["node", "links", "root"])
 
     keys = ["component", "bi", "bj"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "blk", "node", "signature", "shingles").mapInArrow(verify, "node binary, links bigint, root binary")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "blk", "node", "signature", "shingles").mapInArrow(tidy(verify), "node binary, links bigint, root binary")
 
 
 def _joined(docs: DataFrame, similarity: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, text_col
+from .common import cut, text_col, tidy
 from .tokenizing import encoder as worker_encoder
 from .tokenizing import pack, vocabulary
 
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=NAMES)
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_col().alias("text")).mapInArrow(cut_up, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), text_col().alias("text")).mapInArrow(tidy(cut_up), PIECES)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
             at = np.searchsorted(s["key"], (length << 48) + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s["sequence"][at] + rank - s["rank"][at]), pa.array(s["offset"][at])], names=[*NAMES, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, PIECES + ", sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(tidy(assign), PIECES + ", sequence_id bigint, offset bigint")
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

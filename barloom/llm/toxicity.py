@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_col
+from .common import text_col, tidy
 
 #: Labelled rows that the models are fitted on, at most.
 SAMPLE = 6000
@@ -171,7 +171,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=None, sample: int =
             y = np.array([[np.nan if r[n] is None else r[n] for n in names] for r in rows], float)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Chain(names).fit([r["text"] for r in rows], y))], pa.binary())], names=["chain"])
 
-    made = texts.coalesce(1).mapInArrow(fit, "chain binary").collect()
+    made = texts.coalesce(1).mapInArrow(tidy(fit), "chain binary").collect()
     return pickle.loads(made[0][0]) if made else None
 
 
@@ -190,7 +190,7 @@ def toxicity(docs: DataFrame, chain: Chain | None, reject: str = REJECT, at: flo
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(c)) for c in p.T], pa.array(p[:, names.index(reject)] >= at)], names=["doc_id", *[f"p_{n}" for n in names], "rejected"])
 
     schema = "doc_id bigint, " + ", ".join(f"p_{n} double" for n in names) + ", rejected boolean"
-    return docs.select(F.col("doc_id").cast("bigint"), text_col().alias("text")).mapInArrow(score, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), text_col().alias("text")).mapInArrow(tidy(score), schema)
 
 
 def keep_clean(docs: DataFrame, chain: Chain | None, reject: str = REJECT, at: float = AT) -> DataFrame:
@@ -208,7 +208,7 @@ def keep_clean(docs: DataFrame, chain: Chain | None, reject: str = REJECT, at: f
                     part = part.filter(pa.array(chain.score(texts, cache)[:, k] < at))
                 yield part
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
