@@ -194,7 +194,7 @@ def run_portfolio_lab(panel: DataFrame, cfg: PortfolioConfig = PortfolioConfig()
     bench = _one_row(sharpes(dates.withColumn("_k", F.lit(0)), ["_k"], ppy, "bench"))["sharpe"]
     row = {k: float(m[k]) for k in ("total_return", "sharpe", "max_drawdown", "n_trades", "turnover_ann")} | {
         "benchmark_sharpe": bench, "p_value": test["p_value"], "dsr": dsr["dsr"], "pbo": over["pbo"], "wf_efficiency": forward.get("efficiency"), "wf_win_rate": forward.get("oos_win_rate"),
-        "cost_ratio": _one_row(v.cost_stress(both, [], ppy))["ratio"], "benchmark_correlation": _one_row(dates.agg(F.corr("net", "bench").alias("c")))["c"],
+        "cost_ratio": _one_row(v.cost_stress(both, [], ppy))["ratio"], "benchmark_correlation": _one_row(dates.agg(v.correlation("net", "bench").alias("c")))["c"],
         "alpha_significant": style.get("alpha_significant"), "r_squared": style.get("r_squared"), "biased": life["biased"],
     }
     return Report(held, metrics, trials, reality_score(_input_row(spark, row)), {"dsr": dsr, "pbo": over, "permutation": test, "walk_forward": forward, "attribution": style, "survivorship": life, "null": null, "ppy": ppy})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -273,7 +273,12 @@ def cost_stress(runs: DataFrame, by: list[str], ppy: int = 252) -> DataFrame:
     return s.withColumn("ratio", F.when(F.col("sharpe_1x") > 1e-9, F.col("sharpe_3x") / F.col("sharpe_1x")).otherwise(0.0))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Null where either does not move."""
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def benchmark_correlation(runs: DataFrame, by: list[str]) -> DataFrame:
-    return runs.groupBy(*by).agg(F.corr("net", "ret").alias("correlation"))
+    return runs.groupBy(*by).agg(correlation("net", "ret").alias("correlation"))
 
 
