@@ -341,7 +341,7 @@ query("w_blocked_scans", o.query(
 ))(
     lambda s, d: cols(scanned(
         src.ticks(s, d).join(src.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("part")), "event_id"), BY,
-        {"summed": ("sum", "price"), "log_product": ("sum", F.log("price")), "top": ("max", "price"), "low": ("min", "price"), "n_parts": ("count", "part"), "held": ("last", "part"), "before": ("lag", "price", 1), "before_7": ("lag", "price", 7)}, block="day",
+        {"summed": ("sum", "price"), "log_product": ("sum", F.log("price")), "top": ("max", "price"), "low": ("min", "price"), "n_parts": ("count", "part"), "held": ("last", "part"), "before": ("lag", "price", 1), "before_7": ("lag", "price", 7)}, block="day", ties="event_id",
     ), "symbol", "event_id", "summed", "log_product", "top", "low", "n_parts", "held", "before", "before_7")
 )
 query("i2_ema_of_ticks", o.query("t AS (SELECT event_type AS symbol, event_id, ts, CASE WHEN event_id % 5 > 0 THEN value + 1 END AS price FROM events WHERE event_id % 5 > 0)", f"symbol, event_id, {o.r(o.ema('price', 2 / 13, 12), 'ema_12')}, {o.r(o.ema('price', 2 / 201, 200), 'ema_200')}", "t"))(

@@ -57,28 +57,30 @@ KINDS = {
 }
 
 
-def scanned(df: DataFrame, by: list[str], scans: dict[str, tuple], order: str = "ts", block: Column | str | None = None) -> DataFrame:
+def scanned(df: DataFrame, by: list[str], scans: dict[str, tuple], order: str = "ts", block: Column | str | None = None, ties: str | None = None) -> DataFrame:
     """df with a column for each scan of the rows of its key so far.
 
     scans: name -> (kind, column); kinds are sum, product, count, max, min, last (the last value that
     is not null) and, with a number of rows as a third part, lag. Nulls are passed over, but for lag.
+    ties: a column that orders rows of one time; without it, each step may meet them in another order.
     """
+    at = [order] if ties is None else [order, ties]
     lags = {n: s for n, s in scans.items() if s[0] == "lag"}
     plain = {n: s for n, s in scans.items() if s[0] != "lag"}
     x = _at(df.withColumns({f"_v_{n}": F.col(s[1]) if isinstance(s[1], str) else s[1] for n, s in scans.items()}), by, order, block)
-    aggs = {n: (F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))) if s[0] == "last" else KINDS[s[0]][0](f"_v_{n}")) for n, s in plain.items()}
+    aggs = {n: (F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*at))) if s[0] == "last" else KINDS[s[0]][0](f"_v_{n}")) for n, s in plain.items()}
     blocks = x.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), *[v.alias(f"_t_{n}") for n, v in aggs.items()])
     earlier = W.partitionBy(*_keys(by)).orderBy("_at.block")
     before = [KINDS[s[0]][1](f"_t_{n}").over(earlier.rowsBetween(W.unboundedPreceding, -1)).alias(f"_b_{n}") for n, s in plain.items()]
     if lags:
         # the last rows of every block; as many blocks back as rows are wanted hold them
         k = max(s[2] for s in lags.values())
-        tail = x.withColumn("_back", F.row_number().over(W.partitionBy("_at").orderBy(F.col(order).desc()))).filter(F.col("_back") <= k)
+        tail = x.withColumn("_back", F.row_number().over(W.partitionBy("_at").orderBy(*[F.col(c).desc() for c in at]))).filter(F.col("_back") <= k)
         tail = tail.groupBy("_at").agg(F.collect_list(F.struct(F.col("_back"), *[F.col(f"_v_{n}") for n in lags])).alias("_rows"))
         blocks = blocks.join(tail.withColumn("_rows", F.reverse(F.array_sort("_rows"))), "_at")
         before.append(F.slice(F.reverse(F.flatten(F.collect_list("_rows").over(earlier.rowsBetween(-k, -1)))), 1, k).alias("_before"))
     table = blocks.select("_at", *before)
-    inside = W.partitionBy("_at").orderBy(order)
+    inside = W.partitionBy("_at").orderBy(*at)
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     own = {f"_o_{n}": KINDS[s[0]][2](f"_v_{n}").over(so_far) for n, s in plain.items()}
     own |= {f"_o_{n}": F.lag(f"_v_{n}", s[2]).over(inside) for n, s in lags.items()} | ({"_row": F.row_number().over(inside)} if lags else {})

@@ -6,6 +6,7 @@ import pytest
 from conftest import as_bars, wander
 from pyspark.sql import functions as F
 
+from barloom import catalogue
 from barloom.functions import scans
 from barloom.functions.columns import numbered
 from barloom.functions.quantiles import exact_quantiles
@@ -65,6 +66,21 @@ def test_scans_by_blocks(gappy):
     assert scans.scanned(df.limit(0), BY, wanted, "i").count() == 0 == scans.averaged(df.limit(0), BY, EMAS).count()
 
 
+def test_scans_order_rows_of_one_time(spark, tmp_path):
+    """The query over events that share their times, later ids first in the table: ids order them, over the ends of blocks too."""
+    g = np.random.default_rng(3)
+    n = 400
+    f = pd.DataFrame({"event_id": np.arange(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n) // 8 * 5, unit="h"), "event_type": np.where(g.random(n) < 0.5, "a", "b"), "value": g.integers(0, 5000, n) / 100})
+    rows = [(int(i), t.to_pydatetime(), e, float(v)) for i, t, e, v in f[::-1].itertuples(index=False)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.QUERIES["w_blocked_scans"](spark, str(tmp_path)).toPandas().sort_values("event_id").reset_index(drop=True)
+    f["price"], f["part"] = f.value + 1, f.value.where(f.event_id % 3 > 0)
+    by = f.groupby("event_type")
+    want = {"summed": by.price.cumsum(), "n_parts": f.part.notna().groupby(f.event_type).cumsum(), "held": by.part.ffill(), "before": by.price.shift(1), "before_7": by.price.shift(7)}
+    for k, v in want.items():
+        np.testing.assert_allclose(got[k].astype(float), v.astype(float), atol=2e-6, err_msg=k)
+
+
 def test_a_long_key_is_many_tasks(spark):
     """One symbol's running product and averages: no task has more than a block of its rows."""
     one = spark.range(0, 60_000, 1, 8).select(F.lit("x").alias("symbol"), F.col("id").alias("i"), (100 + F.sin("id")).alias("close"))
